@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from quern.llm import quality
+from quern.llm import mixing, quality, sharding, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_sharding": sharding.op4_sharding,
+    "op6_url_filters": urls.op6_url_filters,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.quality_sql(),
+    "op3_mixing": mixing.MIX_SQL,
+    "op4_sharding": sharding.SHARD_SQL,
+    "op6_url_filters": urls.url_sql(),
 }
