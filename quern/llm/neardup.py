@@ -8,9 +8,12 @@ full sets. With 5 coordinates a band and 48 bands, a pair at similarity 0.8 shar
 band with probability (1 - 0.8**5)**48 = 5e-9, and pairs above it less.
 
 Equal sets are folded first and only their smallest doc_id goes on. In a band's bucket
-every member is compared with the bucket's smallest; once those links have formed
-components, only members of different components that still share a bucket are
-compared, all of them, so a group of near copies costs its size and not its square.
+every member is first compared with the bucket's smallest. Where a bucket then holds
+several components, the members outside its largest one are compared with a random
+member of that one, round after round while links are found and much is left; in the
+end all pairs of different components that share a bucket are compared. Pairs inside
+a component need no comparison, so a group of near copies costs its size and not its
+square, and nothing is left out.
 
 Defined cases: null and wordless texts have no shingles, link with nothing and stay;
 rows that share a doc_id count as one document (a null doc_id: never linked, kept);
@@ -162,16 +165,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     shared = stage(banded.join(heads, "key").select("key", "id", "head"), "shared-buckets")
     first = stage(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "head-pairs")
-    links = confirmed(first, docs, sizes, size, percent)
-    parts = stage(connected(links), "components")
-    # members of one bucket that are still apart: every pair of them is compared
-    placed = shared.join(parts, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part"))
-    placed = stage(placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    apart = stage(placed.join(mixed, "key", "left_semi"), "apart")
-    left, right = apart.toDF("key", "a", "part_a"), apart.toDF("key", "b", "part_b")
-    rest = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(stage(rest, "bucket-pairs"), docs, sizes, size, percent)
+    links = [confirmed(first, docs, sizes, size, percent)]
+    parts = stage(connected(links[0]), "components")
+    compared, turn, found = first, 0, True
+    while True:
+        placed = stage(shared.join(parts, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part")), "placed")
+        tally = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("pick"))
+        largest = F.max_by(F.struct("part", "pick"), "n")
+        mixed = tally.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("parts"), largest.alias("best"))
+        mixed = stage(mixed.where("parts > 1"), "mixed-buckets")
+        work = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+        if not work["rows"]:
+            break
+        last = work["pairs"] <= 4 * work["rows"] or not found
+        if last:
+            apart = placed.join(mixed.select("key"), "key")
+            left, right = apart.toDF("key", "a", "part_a"), apart.toDF("key", "b", "part_b")
+            pairs = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b")
+        else:
+            joined = placed.join(mixed.select("key", "best"), "key").where("part <> best.part")
+            pairs = joined.select(F.least("best.pick", "id").alias("a"), F.greatest("best.pick", "id").alias("b"))
+        pairs = stage(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "bucket-pairs")
+        links.append(confirmed(pairs, docs, sizes, size, percent))
+        if last:
+            break
+        found = not links[-1].isEmpty()
+        compared, turn = compared.union(pairs), turn + 1
+        parts = stage(connected(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links[-1])), "components")
+    more = links[-1]
     same = signed.where("n_shingles > 0").join(folded, whole).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     final = stage(connected(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more).union(same)), "components")
     out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import mixing, quality, sharding, urls
+from quern.llm import mixing, neardup, quality, sharding, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_minhash_neardup": neardup.op5_minhash_neardup,
     "op6_url_filters": urls.op6_url_filters,
 }
 
