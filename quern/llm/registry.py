@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quern.llm import mixing, neardup, quality, sharding, urls
+from quern.llm import bpe, mixing, neardup, quality, sharding, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op4_sharding": sharding.op4_sharding,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
