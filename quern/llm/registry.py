@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, mixing, neardup, quality, sharding, urls, vectors
+from quern.llm import bpe, mixing, neardup, quality, sharding, toxicity, urls, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
     "op6_url_filters": urls.op6_url_filters,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_vector_neardup": vectors.op9_vector_neardup,
 }
 
