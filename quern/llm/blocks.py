@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 12 << 20
 EXCHANGE = "key long, block long, bucket int, a binary, b binary, c binary, doc_ids array<long>"
-ANSWERS = "block long, bucket int, a binary, b binary"
+ANSWERS = "block long, bucket int, a binary, b binary, c binary"
 
 #: Only such a space parts a text into units that can be read apart: the white space before it ends there.
 INNER = re.compile(r" \s")
@@ -101,7 +101,7 @@ class LowerWords:
 def cutter(kind: type, buckets: int):
     """mapInArrow function from (doc_id, text) to the rows of the exchange."""
 
-    def flush(block: int, maker, ids: list, counts: list, codes: list) -> Iterator[pa.RecordBatch]:
+    def flush(block: int, maker, ids: list, counts: list, codes: list, flags: list) -> Iterator[pa.RecordBatch]:
         units = maker.units()
         flat = np.concatenate([np.asarray(c, np.int64) for c in codes]) if codes else np.zeros(0, np.int64)
         # frequent units get small codes
@@ -111,31 +111,34 @@ def cutter(kind: type, buckets: int):
         bucket = np.fromiter((xxhash.xxh32_intdigest(u) for u in units), np.int64, len(units)) % buckets
         by_bucket = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        used = np.bincount(flat, np.repeat(np.asarray(flags, float), counts), len(units)).astype("<i8")
         rows = [(block, block, -1, pack_codes(rank[flat]), pack(rank[by_bucket].astype("<u4")), pack(np.asarray(counts, "<i4")), ids)]
         for k in range(buckets):
             own = [units[i] for i in by_bucket[edges[k] : edges[k + 1]]]
             if own:
-                rows.append((-1 - k, block, k, pack(b"".join(own)), pack(np.array([len(u) for u in own], "<u4")), None, None))
+                rows.append((-1 - k, block, k, pack(b"".join(own)), pack(np.array([len(u) for u in own], "<u4")), pack(used[by_bucket[edges[k] : edges[k + 1]]]), None))
         names = ["key", "block", "bucket", "a", "b", "c", "doc_ids"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        n, held, maker, ids, counts, codes = 0, 0, kind(), [], [], []
+        n, held, maker, ids, counts, codes, flags = 0, 0, kind(), [], [], [], []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            marks = batch.column(2).to_pylist() if batch.num_columns > 2 else [False] * batch.num_rows
+            for doc, text, mark in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), marks, strict=True):
                 text = text.as_py() or b""
                 found = maker.codes(text)
                 ids.append(doc)
                 counts.append(len(found))
                 codes.append(np.asarray(found, np.int32))
+                flags.append(mark)
                 held += len(text) + 64
                 if held >= BLOCK_BYTES:
-                    yield from flush(task | n, maker, ids, counts, codes)
-                    n, held, maker, ids, counts, codes = n + 1, 0, kind(), [], [], []
+                    yield from flush(task | n, maker, ids, counts, codes, flags)
+                    n, held, maker, ids, counts, codes, flags = n + 1, 0, kind(), [], [], [], []
         if ids:
-            yield from flush(task | n, maker, ids, counts, codes)
+            yield from flush(task | n, maker, ids, counts, codes, flags)
 
     return cut
 
@@ -148,11 +151,13 @@ def unit_lists(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
             yield block, bucket, [text[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def buckets_for(docs: DataFrame) -> int:
+    return max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def exchange(docs: DataFrame, kind: type) -> DataFrame:
     """The exchanged rows of docs (doc_id, text); use the one DataFrame for both sides, so Spark reuses its shuffle."""
-    spark = docs.sparkSession
-    buckets = max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return docs.mapInArrow(cutter(kind, buckets), EXCHANGE).repartition("key")
+    return docs.mapInArrow(cutter(kind, buckets_for(docs)), EXCHANGE).repartition("key")
 
 
 def reassemble(rows: DataFrame, answers: DataFrame, body: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -52,10 +52,10 @@ def word_encoder(path: str):
                     if found is None:
                         found = known[u] = np.array(of(u.decode()), "<u4").tobytes()
                     ids.append(found)
-                rows.append((block, bucket, pack(b"".join(ids)), pack(np.array([len(x) >> 2 for x in ids], "<u4"))))
+                rows.append((block, bucket, pack(b"".join(ids)), pack(np.array([len(x) >> 2 for x in ids], "<u4")), None))
             if rows:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "bucket", "a", "b"])
+                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "bucket", "a", "b", "c"])
 
     return encode
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, mixing, neardup, quality, sharding, toxicity, urls, vectors
+from quern.llm import bpe, lm, mixing, neardup, quality, sharding, toxicity, urls, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filters": urls.op6_url_filters,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_vector_neardup": vectors.op9_vector_neardup,
+    "op10_lm_scores": lm.op10_lm_scores,
 }
 
 ORACLE_SQL = {
