@@ -10,10 +10,11 @@ band with probability (1 - 0.8**5)**48 = 5e-9, and pairs above it less.
 Equal sets are folded first and only their smallest doc_id goes on. In a band's bucket
 every member is first compared with the bucket's smallest. Where a bucket then holds
 several components, the members outside its largest one are compared with a random
-member of that one, round after round while links are found and much is left; in the
+member of that one, round after round while one in a hundred links and much is left; in the
 end all pairs of different components that share a bucket are compared. Pairs inside
-a component need no comparison, so a group of near copies costs its size and not its
-square, and nothing is left out.
+a component need no comparison, and parity bits of the sets (an exact bound on how many
+shingles differ) drop most pairs that are too far apart before any text moves, so a
+group of near copies costs about its size and not its square.
 
 Defined cases: null and wordless texts have no shingles, link with nothing and stay;
 rows that share a doc_id count as one document (a null doc_id: never linked, kept);
@@ -29,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import stage
@@ -41,7 +42,9 @@ BANDS = 48
 SEED = 20_240_501
 CACHE = 400_000
 
-SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>"
+WORDS = 16  # of 64 parity bits
+
+SIGNATURE = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, " + ", ".join(f"w{i} long" for i in range(WORDS))
 
 
 class WordHashes(dict):
@@ -97,6 +100,12 @@ def band_keys(signatures: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """64 * WORDS bits: each is set if an odd number of the set's shingles fall on it."""
+    at = ((items >> np.uint64(24)) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def signer(size: int, bands: int, rows: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -116,7 +125,9 @@ def signer(size: int, bands: int, rows: int):
                     pa.array(np.array([b for _, b in folded], np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands"])
+                bits = np.stack([parity(x) for x in sets])
+                columns += [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORDS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hi", "set_lo", "bands", *[f"w{i}" for i in range(WORDS)]])
 
     return sign
 
@@ -140,11 +151,22 @@ def verifier(size: int, percent: int):
     return verify
 
 
+def alike(percent: int) -> Column:
+    """False only where the parity bits of a pair (a, b) prove it less similar: each differing bit is a shingle that one has and one lacks."""
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WORDS)), F.lit(0))
+    total = F.col("n_a") + F.col("n_b")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return fits & F.coalesce((100 + percent) * apart <= (100 - percent) * total, F.lit(True))
+
+
+def side(sizes: DataFrame, name: str) -> DataFrame:
+    return sizes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), *[F.col(f"w{i}").alias(f"{name}{i}") for i in range(WORDS)])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; texts travel only for pairs whose sizes allow it."""
-    few, many = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    fit = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    fit = stage(fit.where(100 * few >= percent * many).select("a", "b"), "fitting")
+    fit = pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
+    fit = stage(fit.where(alike(percent)).select("a", "b"), "fitting")
     ids = fit.select(F.col("a").alias("doc_id")).union(fit.select("b")).distinct()
     texts = stage(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id"), "text"), "candidate-texts")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -157,9 +179,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stage(docs.mapInArrow(signer(size, bands, rows), SIGNATURE), "signatures")
     whole = ["set_hi", "set_lo"]
-    folded = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"))
+    folded = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), *[F.max(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
     folded = stage(folded, "folded")
-    sizes = folded.groupBy("id").agg(F.max("n").alias("n"))
+    # rows that share a doc_id but not a text have no one set of bits
+    sizes = folded.groupBy("id").agg(F.max("n").alias("n"), *[F.when(F.count("*") == 1, F.max(f"w{i}")).alias(f"w{i}") for i in range(WORDS)])
     singles = signed.join(folded.select(*whole, F.col("id").alias("doc_id")), [*whole, "doc_id"], "left_semi").dropDuplicates([*whole, "doc_id"])
     banded = stage(singles.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "banded")
     heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
@@ -178,18 +201,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         if not work["rows"]:
             break
         last = work["pairs"] <= 4 * work["rows"] or not found
+        joined = placed.join(mixed.select("key", "best"), "key")
         if last:
-            apart = placed.join(mixed.select("key"), "key")
-            left, right = apart.toDF("key", "a", "part_a"), apart.toDF("key", "b", "part_b")
-            pairs = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b")
+            apart = stage(joined.select("key", "id", "part").join(sizes, "id"), "apart")
+            left = apart.select("key", F.col("part").alias("part_a"), F.col("id").alias("a"), F.col("n").alias("n_a"), *[F.col(f"w{i}").alias(f"a{i}") for i in range(WORDS)])
+            right = apart.select("key", F.col("part").alias("part_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), *[F.col(f"w{i}").alias(f"b{i}") for i in range(WORDS)])
+            pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & alike(percent)).select("a", "b")
         else:
-            joined = placed.join(mixed.select("key", "best"), "key").where("part <> best.part")
-            pairs = joined.select(F.least("best.pick", "id").alias("a"), F.greatest("best.pick", "id").alias("b"))
+            outside = joined.where("part <> best.part")
+            pairs = outside.select(F.least("best.pick", "id").alias("a"), F.greatest("best.pick", "id").alias("b"))
         pairs = stage(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "bucket-pairs")
         links.append(confirmed(pairs, docs, sizes, size, percent))
         if last:
             break
-        found = not links[-1].isEmpty()
+        found = 100 * links[-1].count() >= pairs.count()
         compared, turn = compared.union(pairs), turn + 1
         parts = stage(connected(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links[-1])), "components")
     more = links[-1]
