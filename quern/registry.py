@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from quern.plans import retrieval, signals
+
+PLANS = [retrieval.plan, signals.plan]
+
+QUERIES = {name: query for plan in PLANS for name, query in plan.queries.items()}
+ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.oracles.items()}
