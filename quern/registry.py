@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import retrieval, signals
+from quern.plans import detection, retrieval, signals
 
-PLANS = [retrieval.plan, signals.plan]
+PLANS = [retrieval.plan, signals.plan, detection.plan]
 
 QUERIES = {name: query for plan in PLANS for name, query in plan.queries.items()}
 ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.oracles.items()}
