@@ -51,13 +51,13 @@ def clean_extracted(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r" +([,.;:!?])", "$1"))
 
 
-def excerpt(text: Column, limit: int, least: float = 0.55) -> Column:
-    """At most ``limit`` characters, cut after the last sentence mark past ``least`` of it, else at a space."""
+def excerpt(text: Column, limit: int, least_percent: int = 55) -> Column:
+    """At most ``limit`` characters, cut after the last sentence mark past that percentage of it, else at a space."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     head = F.substring(flat, 1, limit)
     sentence = F.regexp_extract(head, r"^(.*[.!?])", 1)
     word = F.regexp_replace(head, r"\s\S*$", "")
-    return F.when(F.char_length(flat) <= limit, flat).when(F.char_length(sentence) >= least * limit, sentence).otherwise(word)
+    return F.when(F.char_length(flat) <= limit, flat).when(100 * F.char_length(sentence) >= least_percent * limit, sentence).otherwise(word)
 
 
 def shorten(text: Column, limit: int, note: str = " …") -> Column:
