@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stage
+from quern.llm.common import bounded_sample, stage
 
 # Insults that vote on their own.
 LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting"]
@@ -93,7 +93,7 @@ def telling_forms(sample: DataFrame, toxic: int, other: int, most: int) -> list[
     """The forms of the sample (text, p) that tell toxic texts apart best."""
     counts = sample.select("text", "p").mapInArrow(counted_forms, "form string, toxic double, other double").groupBy("form").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
     lift = (F.col("t") / max(toxic, 1)) / ((F.col("o") + 1) / max(other, 1))
-    good = counts.where((F.col("t") >= max(4, toxic // 200)) & (lift >= 20))
+    good = counts.where((F.col("t") >= max(4, toxic // 200)) & (lift >= 15))
     return [r["form"] for r in good.orderBy((F.col("t") * F.log(lift)).desc(), "form").limit(most).collect()]
 
 
@@ -200,16 +200,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def some(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, the same ones on every run."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     """Weights of word forms and a bias, learned from docs (doc_id, text) and labels (doc_id, toxic)."""
     docs = docs.select("doc_id", "text")
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("p"))
-    taught = stage(some(known.where("p >= 0.5"), TOXIC_ROWS).union(some(known.where("p < 0.5"), OTHER_ROWS)), "taught")
+    taught = stage(bounded_sample(known.where("p >= 0.5"), TOXIC_ROWS).union(bounded_sample(known.where("p < 0.5"), OTHER_ROWS)), "taught")
     # at most TOXIC_ROWS + OTHER_ROWS rows of two numbers, so the broadcast is bounded
     sample = stage(docs.join(F.broadcast(taught), "doc_id").select("text", "p"), "taught-texts")
     n = {r["t"]: r["n"] for r in taught.groupBy((F.col("p") >= 0.5).alias("t")).agg(F.count("*").alias("n")).collect()}
@@ -223,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
 
     judged = votes.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).mapInArrow(posteriors, "doc_id long, p double").dropDuplicates(["doc_id"])
     judged = stage(judged, "posteriors")
-    chosen = stage(some(judged.where("p >= 0.5"), TOXIC_ROWS).union(some(judged.where("p < 0.5"), OTHER_ROWS)), "chosen")
+    chosen = stage(bounded_sample(judged.where("p >= 0.5"), TOXIC_ROWS).union(bounded_sample(judged.where("p < 0.5"), OTHER_ROWS)), "chosen")
     texts = stage(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "p"), "chosen-texts")
     n = {r["t"]: r["n"] for r in chosen.groupBy((F.col("p") >= 0.5).alias("t")).agg(F.count("*").alias("n")).collect()}
     names = telling_forms(texts, n.get(True, 0), n.get(False, 0), FEATURES)
