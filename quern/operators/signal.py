@@ -53,25 +53,24 @@ def phase(start: Column, end: Column, middle: Column, healthy: Column) -> Column
     return F.when(healthy, "healthy").when(end <= middle, "pre_fault").when(start >= middle, "post_fault").otherwise("transition")
 
 
-SHARES = (0.50, 0.15, 0.15)
+BOUNDS = (0.50, 0.65, 0.80, 1.0)
 ROLES = ("train", "validation", "calibration", "test")
 
 
-def purged_split(rows: DataFrame, trial: str, order: list[str], gap: int = 2, least: int = 60) -> DataFrame:
-    """rows with idx and ``role``: consecutive shares with ``gap`` rows purged between them (role null).
+def purged_split(rows: DataFrame, trial: str, order: list[str], gap: int = 2, least: int = 60, least_role: int = 10) -> DataFrame:
+    """rows with idx and ``role``: consecutive blocks that end at shares of the trial, ``gap`` rows purged before each but the first.
 
-    Of n rows, 3 * gap are purged; shares are floored and the test role takes the rest.
-    Trials with fewer than ``least`` rows have no role.
+    Purged rows have no role, nor has a trial with fewer than ``least`` rows or a role under ``least_role``.
     """
     w = Window.partitionBy(trial)
     tagged = rows.withColumn("idx", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n_rows", F.count("*").over(w))
-    room = F.col("n_rows") - (len(ROLES) - 1) * gap
-    role, at = F.lit(None).cast("string"), F.lit(0)
-    for name, share in zip(ROLES, (*SHARES, None), strict=True):
-        end = at + F.floor(room * share) if share else F.col("n_rows")
-        role = F.when((F.col("idx") >= at) & (F.col("idx") < end), name).otherwise(role)
-        at = end + gap
-    return tagged.withColumn("role", F.when(F.col("n_rows") >= least, role)).drop("n_rows")
+    role, ok, start = F.lit(None).cast("string"), F.col("n_rows") >= least, F.lit(0)
+    for name, share in zip(ROLES, BOUNDS, strict=True):
+        end = F.floor(F.col("n_rows") * share)
+        role = F.when((F.col("idx") >= start) & (F.col("idx") < end), name).otherwise(role)
+        ok = ok & (end - start >= least_role)
+        start = end + gap
+    return tagged.withColumn("role", F.when(ok, role)).drop("n_rows")
 
 
 def robust_baseline(rows: DataFrame, trial: str, value: str, floor_share: float = 0.10, least: float = 1e-6) -> DataFrame:

@@ -54,14 +54,14 @@ def thd_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS = "e as (select user_id, event_id, ts, value, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, count(*) over (partition by user_id) as n from events)"
-SPLIT = f"""with {EVENTS}, s as (select *, floor((n - 6) * 0.5)::bigint as a, floor((n - 6) * 0.15)::bigint as b from e),
-r as (select *, case when n < 60 then null when idx < a then 'train' when idx >= a + 2 and idx < a + 2 + b then 'validation' when idx >= a + b + 4 and idx < a + 2 * b + 4 then 'calibration' when idx >= a + 2 * b + 6 then 'test' end as role from s)
+SPLIT = f"""with {EVENTS}, s as (select *, floor(n * 0.5::double)::bigint as a, floor(n * 0.65::double)::bigint as b, floor(n * 0.8::double)::bigint as c from e),
+r as (select *, case when n < 60 or b - a - 2 < 5 or c - b - 2 < 5 then null when idx < a then 'train' when idx >= a + 2 and idx < b then 'validation' when idx >= b + 2 and idx < c then 'calibration' when idx >= c + 2 then 'test' end as role from s)
 """
 
 
 def split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    return S.purged_split(rows, "user_id", ["ts", "event_id"])
+    return S.purged_split(rows, "user_id", ["ts", "event_id"], least_role=5)
 
 
 @plan.query(SPLIT + "select user_id, event_id, idx, role from r")
