@@ -4,8 +4,9 @@ A document is the set of its word shingles. One permutation scatters the shingle
 over 2**20 places; a second one, shifted round by k places, gives the k-th signature
 coordinate as the smallest value it assigns to the set, so two permutations make all
 coordinates. Bands of coordinates collect candidates; every link is confirmed on the
-full sets. With 5 coordinates a band and 48 bands, a pair at similarity 0.8 shares no
-band with probability (1 - 0.8**5)**48 = 5e-9, and pairs above it less.
+full sets. With 6 coordinates a band and 56 bands, a pair at similarity 0.8 shares no
+band with probability (1 - 0.8**6)**56 = 4e-8, and pairs above it less; unrelated ones
+almost never meet.
 
 Equal sets are folded first and only their smallest doc_id goes on. In a band's bucket
 every member is first compared with the bucket's smallest. Where a bucket then holds
@@ -37,8 +38,8 @@ from quern.llm.common import stage
 from quern.llm.components import connected
 
 PLACES = 1 << 20
-ROWS = 5
-BANDS = 48
+ROWS = 6
+BANDS = 56
 SEED = 20_240_501
 CACHE = 400_000
 
