@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, lm, mixing, neardup, quality, sharding, toxicity, urls, vectors
+from quern.llm import bpe, chat, lm, mixing, neardup, quality, sharding, toxicity, urls, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
     "op6_url_filters": urls.op6_url_filters,
+    "op7_chat_preferences": chat.op7_chat_preferences,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_vector_neardup": vectors.op9_vector_neardup,
     "op10_lm_scores": lm.op10_lm_scores,
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op3_mixing": mixing.MIX_SQL,
     "op4_sharding": sharding.SHARD_SQL,
     "op6_url_filters": urls.url_sql(),
+    "op7_chat_preferences": chat.CHAT_SQL,
 }

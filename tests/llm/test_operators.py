@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from oracle import same
 
-from quern.llm import blocks, bpe, components, lm, mixing, neardup, quality, registry, sharding, toxicity, urls, vectors
+from quern.llm import blocks, bpe, chat, components, lm, mixing, neardup, quality, registry, sharding, toxicity, urls, vectors
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, size string, kept string, key int, u double"
@@ -231,6 +231,26 @@ def test_bloom_has_no_misses_and_few_false_hits(spark):
     assert passed(spark.range(20000).select(F.concat(F.lit("other"), F.col("id"), F.lit(".test/")).alias("key"))) < 600
 
 
+# chat
+
+
+def test_preference_pairs(spark):
+    rows = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "good"), (0, 1, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (1, 2, "user", None),
+        (2, 0, "user", "same"), (3, 0, "user", "same"), (3, 1, "assistant", "more"), (4, 0, None, "alone"), (None, 0, "user", "lost"),
+    ]
+    turns = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, prompt string")
+    out = {r["pair_id"]: r for r in chat.preference_pairs(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0).collect()}
+    hi = "<|user|>\nhi<|end|>\n"
+    assert (out[0]["prompt"], out[0]["prompt_turns"]) == (hi, 1)
+    assert out[0]["chosen"] == "<|assistant|>\ngood<|end|>\n" and out[0]["rejected"] == "<|assistant|>\nbad<|end|>\n<|user|>\n<|end|>\n"
+    spans = out[0]["chosen_learned"]
+    assert [out[0]["chosen"][s["start"] : s["end"]] for s in spans] == ["good<|end|>\n"]
+    assert out[1]["prompt_turns"] == 1 and out[1]["chosen"] == "" and out[1]["chosen_learned"] == []
+    assert out[2]["prompt_turns"] == 0 and out[2]["rejected"] == "" and out[2]["chosen"] == "<|unknown|>\nalone<|end|>\n"
+    assert chat.preference_pairs(turns.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
+
+
 # toxicity
 
 
