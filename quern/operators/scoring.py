@@ -53,10 +53,11 @@ def binary_metrics(c: DataFrame) -> DataFrame:
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """The Wilson score interval of a proportion; null for no rows."""
-    p = F.try_divide(hits.cast("double"), n)
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = hits.cast("double") / n
     middle = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.greatest(middle - half, F.lit(0.0)), F.least(middle + half, F.lit(1.0))
+    return F.when(n.isNotNull(), F.greatest(middle - half, F.lit(0.0))), F.when(n.isNotNull(), F.least(middle + half, F.lit(1.0)))
 
 
 def score_steps(rows: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:

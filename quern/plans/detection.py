@@ -69,7 +69,7 @@ def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan.query(CONF + """, w as (select lang, (tp + fn)::double as n, tp / nullif(tp + fn, 0)::double as p, 1.959963984540054 as z from c)
-select lang, round(greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 0), 6) as low, round(least((p + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1), 6) as high from w""")
+select lang, round(case when n > 0 then greatest((p + z * z / (2 * n)) / (1 + z * z / n) - z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 0) end, 6) as low, round(case when n > 0 then least((p + z * z / (2 * n)) / (1 + z * z / n) + z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1) end, 6) as high from w""")
 def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = S.wilson(F.col("tp"), (F.col("tp") + F.col("fn")).cast("double"))
     return counted(spark, sf_dir).select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
