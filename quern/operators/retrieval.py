@@ -43,21 +43,30 @@ def top(df: DataFrame, group: str | list[str], order: list[Column], n: int, rank
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two numeric arrays, in double precision; null for a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """(query, vec_id, similarity, rank): exact neighbours of stated queries (query, q), other than themselves.
+def unit(v: Column) -> Column:
+    """A vector over its length, in double precision; null for a zero vector."""
+    double = F.transform(v, lambda x: x.cast("double"))
+    length = F.nullif(F.sqrt(dot(double, double)), F.lit(0.0))
+    # the length is bound once, not computed for each component
+    return F.element_at(F.transform(F.array(length), lambda n: F.transform(v, lambda x: x / n)), 1)
 
-    The query set is stated and small, so it is what travels: each vector is read once,
-    compared with all queries, and only its best n a partition need be ranked.
+
+def nearest(queries: DataFrame, vectors: DataFrame, n: int, where: str | None = None) -> DataFrame:
+    """(query, vec_id, similarity, rank): exact neighbours by cosine of stated queries (query, q), other than themselves.
+
+    Lengths are divided out before the pairing, so a pair costs one product. Spark sends the
+    queries to all executors while they are small and pairs the two sides in blocks beyond that.
     """
-    pairs = vectors.crossJoin(F.broadcast(queries)).where(F.col("vec_id") != F.col("query"))
-    scored = pairs.select("query", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
-    return top(scored, "query", [F.desc("similarity"), F.asc("vec_id")], n)
+    q = queries.withColumn("q", unit(F.col("q")))
+    pairs = vectors.withColumn("embedding", unit(F.col("embedding"))).crossJoin(q).where(F.col("vec_id") != F.col("query"))
+    if where:
+        pairs = pairs.where(where)
+    scored = pairs.select("query", "vec_id", dot(F.col("q"), F.col("embedding")).alias("similarity"))
+    return top(scored, "query", [F.desc(F.round("similarity", 9)), F.asc("vec_id")], n)
 
 
 def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:

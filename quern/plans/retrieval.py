@@ -81,12 +81,8 @@ r as (select *, row_number() over (partition by query order by round(sim, 9) des
 
 
 def neighbours_of(spark: SparkSession, sf_dir: str, n: int, same_label: bool = False) -> DataFrame:
-    v, q = table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir)
-    pairs = v.crossJoin(F.broadcast(q)).where("vec_id <> query")
-    if same_label:
-        pairs = pairs.where("label = q_label")
-    s = pairs.select("query", "vec_id", "q_label", "label", R.cosine(F.col("q"), F.col("embedding")).alias("sim"))
-    return R.top(s, "query", [F.desc(F.round("sim", 9)), F.asc("vec_id")], n)
+    hits = R.nearest(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), n, "label = q_label" if same_label else None)
+    return hits.withColumnRenamed("similarity", "sim")
 
 
 @plan.query(KNN.format(extra="") + "select query, vec_id, rank, round(sim, 6) as similarity from r where rank <= 10")
