@@ -25,11 +25,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one where the session sets none (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.gettempdir() + "/quern-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/quern-checkpoints"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
