@@ -21,18 +21,19 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return kept(docs, quality.score_quality(docs).where("kept"))
+    return quality.keep_good(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the classifier learns from the documents that came here."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kept(docs, toxicity.score_toxicity(docs, labels).where("predicted = 0"))
+    return toxicity.keep_clean(docs, labels)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return kept(docs, neardup.near_duplicates(docs, size=5, percent=80).where("kept"))
+    gone = stage(neardup.near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id").distinct(), "copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +47,6 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def kept(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is chosen; a null doc_id is kept if any such row is."""
-    ids = stage(chosen.select("doc_id").distinct(), "kept-ids").select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 STAGES = [
     ("quality_rules", quality_stage),
     ("toxicity", toxicity_stage),

@@ -119,14 +119,20 @@ def label_model(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> Dat
     return fitted.select(F.expr(learned.format(body="m")).alias("m")).select("m.prior", "m.weights")
 
 
-def score_quality(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, the counts, base_failed, posterior and kept for every row of docs."""
-    counted = docs.select("doc_id", measures(F.coalesce(F.col("text"), F.lit(""))).alias("m")).select("doc_id", "m.*")
-    names = [f"vote_{name}" for name, _, _ in RULES]
-    voted = stage(counted.select("*", *[F.expr(vote(good, bad)).alias(f"vote_{name}") for name, good, bad in RULES]), "quality-votes")
-    model = label_model(voted, names, rounds).first()
+NAMES = [f"vote_{name}" for name, _, _ in RULES]
+
+
+def cast_votes(docs: DataFrame, *carried: Column) -> DataFrame:
+    """The carried columns, the counts and the votes of every row of docs."""
+    counted = docs.select(*carried, measures(F.coalesce(F.col("text"), F.lit(""))).alias("m")).select("*", "m.*").drop("m")
+    return counted.select("*", *[F.expr(vote(good, bad)).alias(f"vote_{name}") for name, good, bad in RULES])
+
+
+def judged(voted: DataFrame, votes: DataFrame, rounds: int) -> DataFrame:
+    """voted with base_failed, posterior and kept, by the label model of votes."""
+    model = label_model(votes, NAMES, rounds).first()
     odds = F.lit(model["prior"])
-    for j, name in enumerate(names):
+    for j, name in enumerate(NAMES):
         low, none, high = model["weights"][3 * j : 3 * j + 3]
         odds = odds + F.when(F.col(name) == -1, low).when(F.col(name) == 0, none).otherwise(high)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -137,6 +143,18 @@ def score_quality(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     )
 
 
+def score_quality(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, the counts, base_failed, posterior and kept for every row of docs."""
+    voted = stage(cast_votes(docs, F.col("doc_id")), "quality-votes")
+    return judged(voted, voted, rounds)
+
+
+def keep_good(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of docs that are kept, all columns: texts are counted twice so that they need not move."""
+    voted = cast_votes(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return judged(voted, voted.select(*NAMES), rounds).where("kept").select("row.*")
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

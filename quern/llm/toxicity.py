@@ -239,5 +239,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not predicted toxic, all columns; scored where they stand."""
+    weights, bias = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
+    score = scoring(weights, bias)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["doc_id", "text"])
+            (scores,) = score(iter([pair]))
+            yield batch.filter(pa.array(scores.column("score").to_numpy() < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
