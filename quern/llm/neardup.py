@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import stage
 from quern.llm.components import connected
+from quern.llm.urls import BROADCAST_BLOCKS, bloom_block, bloom_blocks, bloom_mask
 
 PLACES = 1 << 20
 ROWS = 6
@@ -164,12 +165,24 @@ def side(sizes: DataFrame, name: str) -> DataFrame:
     return sizes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), *[F.col(f"w{i}").alias(f"{name}{i}") for i in range(WORDS)])
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, text) whose doc_id is in ids.
+
+    A blocked Bloom filter of the ids, of at most BROADCAST_BLOCKS blocks of 16 bytes, drops
+    other texts where they are read; the exact join then moves little more than what it keeps.
+    """
+    known, blocks = bloom_blocks(ids.select(F.col("doc_id").alias("key")), BROADCAST_BLOCKS)
+    wanted = bloom_mask(F.col("doc_id"))
+    hit = (bloom_block(F.col("doc_id"), blocks) == F.col("block")) & (F.col("filter").bitwiseAND(wanted) == wanted)
+    return docs.join(F.broadcast(known), hit).select("doc_id", "text").join(ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; texts travel only for pairs whose sizes allow it."""
     fit = pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
     fit = stage(fit.where(alike(percent)).select("a", "b"), "fitting")
-    ids = fit.select(F.col("a").alias("doc_id")).union(fit.select("b")).distinct()
-    texts = stage(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id"), "text"), "candidate-texts")
+    ids = stage(fit.select(F.col("a").alias("doc_id")).union(fit.select("b")).distinct(), "candidate-ids")
+    texts = stage(only(docs, ids).select("doc_id", "text"), "candidate-texts")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return stage(fit.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(verifier(size, percent), "a long, b long"), "verified")

@@ -51,11 +51,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _block(key: Column, blocks: int) -> Column:
+def bloom_block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
-def _mask(key: Column) -> Column:
+def bloom_mask(key: Column) -> Column:
     """Four bits of a 64-bit block, from a second hash of the key."""
     h = F.xxhash64(F.lit("bits"), key)
     bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(PROBES)]
@@ -65,10 +65,11 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def bloom_blocks(entries: DataFrame) -> tuple[DataFrame, int]:
-    """The filter as rows (block, filter) and its number of blocks."""
+def bloom_blocks(entries: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """The filter of entries (key) as rows (block, filter) and its number of blocks, at most ``most``."""
     blocks = max(16, entries.count() * BITS_PER_KEY // 64)
-    return entries.select(_block(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("m")).groupBy("block").agg(F.bit_or("m").alias("filter")), blocks
+    blocks = min(blocks, most) if most else blocks
+    return entries.select(bloom_block(F.col("key"), blocks).alias("block"), bloom_mask(F.col("key")).alias("m")).groupBy("block").agg(F.bit_or("m").alias("filter")), blocks
 
 
 def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
     if blocks <= BROADCAST_BLOCKS:
         known = F.broadcast(known)
     keys = urls.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(F.array_compact(F.array(*[candidate(n, p) for n, p in shapes]))).alias("key"))
-    mask = _mask(F.col("key"))
-    possible = keys.join(known, _block(F.col("key"), blocks) == F.col("block")).where(F.col("filter").bitwiseAND(mask) == mask)
+    mask = bloom_mask(F.col("key"))
+    possible = keys.join(known, bloom_block(F.col("key"), blocks) == F.col("block")).where(F.col("filter").bitwiseAND(mask) == mask)
     hits = possible.select("host", "path", "key").join(entries.select("key", "verdict", "is_rule"), "key")
     length = F.char_length("key")
     rule = F.when(F.col("is_rule"), F.struct("key", "verdict"))

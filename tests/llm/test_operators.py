@@ -225,8 +225,8 @@ def test_urls(spark):
 def test_bloom_has_no_misses_and_few_false_hits(spark):
     entries = urls.listed(spark, [(f"h{i}.test", "/", "block") for i in range(2000)], [])
     known, n = urls.bloom_blocks(entries)
-    mask = urls._mask(F.col("key"))
-    passed = lambda df: df.join(known, urls._block(F.col("key"), n) == F.col("block")).where(F.col("filter").bitwiseAND(mask) == mask).count()
+    mask = urls.bloom_mask(F.col("key"))
+    passed = lambda df: df.join(known, urls.bloom_block(F.col("key"), n) == F.col("block")).where(F.col("filter").bitwiseAND(mask) == mask).count()
     assert passed(entries.select("key")) == 2000
     assert passed(spark.range(20000).select(F.concat(F.lit("other"), F.col("id"), F.lit(".test/")).alias("key"))) < 600
 
