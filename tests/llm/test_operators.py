@@ -336,6 +336,19 @@ def test_windows_score_every_place_once():
     assert (p * share).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_training_reads_whole_texts():
+    # what follows subword 16 of a text does not occur before it
+    texts = [np.array([1, 2] * 8 + [3, 4] * 40 + [lm.END])] * 20
+    counts = np.bincount(np.concatenate(texts), minlength=lm.END + 1).astype(float)
+    lengths = np.array([len(t) for t in texts])
+    _, _, weight = lm.training_windows(np.concatenate(texts), lengths, lm.END)
+    assert weight.sum() == lengths.sum()
+    model = lm.Attention.start(counts)
+    model.train(texts, 120)
+    late = np.tile([4, 3], lm.LENGTH // 2)[None]
+    assert np.exp(model.log_p(model.cluster[late], model.cluster[np.roll(late, -1, 1)], 4)).mean() > 0.8
+
+
 def test_attention_gradients():
     model = lm.Attention.start(np.ones(lm.END + 1))
     rng = np.random.default_rng(11)
