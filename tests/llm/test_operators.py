@@ -349,6 +349,41 @@ def test_training_reads_whole_texts():
     assert np.exp(model.log_p(model.cluster[late], model.cluster[np.roll(late, -1, 1)], 4)).mean() > 0.8
 
 
+def test_lm_counts_context_over_all_training_texts(spark):
+    rng = np.random.default_rng(12)
+    words_in = list("abcdefghijklmnopqrstuvwxyz")  # one subword each
+    docs = [(i, " ".join(rng.choice(words_in, 30))) for i in range(2 * lm.SAMPLE)]
+    train = [i for i in range(2 * lm.SAMPLE, 2 * lm.SAMPLE + 60) if zlib.crc32(str(i).encode()) % 7 != 2][:1]
+    held = [i for i in range(3 * lm.SAMPLE, 3 * lm.SAMPLE + 60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    said = list(rng.permutation(words_in))
+    text, other = " ".join(said), " ".join([said[0], *said[:0:-1]])
+    # one training document, outside the sample or not, says text often; no words differ between text and other
+    docs += [(train[0], " ".join([text] * 40)), (held[0], text), (held[1], other)]
+    out = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[held[0]]["base_score"] == pytest.approx(out[held[1]]["base_score"])
+    assert out[held[0]]["score"] > out[held[1]]["score"] + 5
+
+    path = lm.public_tokenizers.path(lm.RANKS)
+    counts, pairs, sample = np.zeros(lm.END + 1), collections.Counter(), {i: lm.subwords(t.encode(), path) for i, t in docs}
+    for i, t in sample.items():
+        if i not in held and zlib.crc32(str(i).encode()) % 7 != 2:
+            np.add.at(counts, t, 1)
+            pairs.update(zip([lm.END, *t[:-1].tolist()], t.tolist(), strict=True))
+    kinds = np.bincount([a for a, _ in pairs], minlength=lm.END + 1)
+    # after any subword, the discounted shares and what they free sum to one
+    for a in {a for a, _ in pairs}:
+        assert sum(max(n - lm.DISCOUNT, 0) for (b, _), n in pairs.items() if b == a) / counts[a] + lm.DISCOUNT * kinds[a] / counts[a] == pytest.approx(1)
+    # the counts that the exchange gives back are those of plain Python
+    tokens, lengths = np.concatenate(list(sample.values())), np.array([len(t) for t in sample.values()])
+    number, names, order, edges = lm.pairs_of(tokens, lengths, 7)
+    assert sorted(order) == list(range(len(names))) and edges[-1] == len(names)
+    assert [(int(p) >> 16, int(p) & 65535) for p in names[number]] == list(zip(lm.earlier(tokens, lengths).tolist(), tokens.tolist(), strict=True))
+    model = lm.Attention.start(counts)
+    seen = np.array([pairs[(int(p) >> 16, int(p) & 65535)] for p in names])[number]
+    by_hand = [np.log((max(n - lm.DISCOUNT, 0) + lm.DISCOUNT * kinds[a] * np.exp(q)) / counts[a]) for a, n, q in zip(lm.earlier(tokens, lengths), seen, model.places(tokens, lengths), strict=True)]
+    assert model.score(tokens, lengths, seen, counts, kinds).sum() == pytest.approx(sum(by_hand) / np.log(10))
+
+
 def test_attention_gradients():
     model = lm.Attention.start(np.ones(lm.END + 1))
     rng = np.random.default_rng(11)
