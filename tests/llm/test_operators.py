@@ -346,7 +346,7 @@ def test_training_reads_whole_texts():
     model = lm.Attention.start(counts)
     model.train(texts, 120)
     late = np.tile([4, 3], lm.LENGTH // 2)[None]
-    assert np.exp(model.log_p(model.cluster[late], model.cluster[np.roll(late, -1, 1)], 4)).mean() > 0.8
+    assert np.exp(model.log_p(late, model.cluster[np.roll(late, -1, 1)], 4)).mean() > 0.8
 
 
 def test_lm_counts_context_over_all_training_texts(spark):
@@ -384,6 +384,17 @@ def test_lm_counts_context_over_all_training_texts(spark):
     assert model.score(tokens, lengths, seen, counts, kinds).sum() == pytest.approx(sum(by_hand) / np.log(10))
 
 
+def test_subwords_of_one_band_are_told_apart():
+    counts = np.ones(lm.END + 1)
+    counts[:64] = 1e6
+    model = lm.Attention.start(counts)
+    a, b = np.flatnonzero(model.cluster == model.cluster[40_000])[:2]
+    # a stands before 5, b before 6
+    model.train([np.array([a, 5] * 20 + [lm.END]), np.array([b, 6] * 20 + [lm.END])] * 10, 120)
+    assert model.log_p(np.array([[lm.END, a]]), model.cluster[np.array([[a, 5]])], 1) > np.log(0.8)
+    assert model.log_p(np.array([[lm.END, b]]), model.cluster[np.array([[b, 6]])], 1) > np.log(0.8)
+
+
 def test_attention_gradients():
     model = lm.Attention.start(np.ones(lm.END + 1))
     rng = np.random.default_rng(11)
