@@ -2,7 +2,8 @@
 
 Voters fire on a word (lexicon) or on words that begin alike (pattern) and abstain
 otherwise: a fixed list, and words and word beginnings mined from labelled training
-rows. A generative label model estimates, over all documents, how often each voter
+rows: every one that passes a significance test, by presence or by number of uses. A
+generative label model estimates, over all documents, how often each voter
 fires on toxic and on other texts, and how strongly voters are correlated inside the
 toxic class; correlated voters share their weight. A logistic classifier learns the
 posterior labels from the words of a bounded sample of training rows and scores all.
@@ -31,7 +32,9 @@ from quern.llm.common import bounded_sample, stage
 # Insults that vote on their own.
 LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worthless", "pathetic", "disgusting"]
 
-MINED = 48  # voters mined from labels, at most
+BEGINNINGS = (4, 5, 6, 7, 8)  # letters of a word beginning
+REPEATS = (2, 4, 8)  # uses that make a form of their own
+SIGNIFICANT = 30.0  # log-likelihood ratio of a voter; by chance one of 20 million forms has it
 TOXIC_ROWS = 8_000  # labelled or posterior-labelled rows learned from, at most, of each kind
 OTHER_ROWS = 16_000
 FEATURES = 1_024  # of the classifier
@@ -42,32 +45,40 @@ THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: bytes | None) -> set[str]:
-    return set(LETTERS.findall((text or b"").decode("utf-8", "replace").lower()))
+def words_of(text: bytes | None) -> Counter:
+    """The words of a text and their uses."""
+    return Counter(LETTERS.findall((text or b"").decode("utf-8", "replace").lower()))
 
 
-def forms(words: set[str]) -> set[str]:
-    """The words, and with a star the beginnings of four and five letters of longer ones."""
-    out = set(words)
-    out.update(w[:4] + "*" for w in words if len(w) > 4)
-    out.update(w[:5] + "*" for w in words if len(w) > 5)
-    return out
+def forms(words: Counter) -> set[str]:
+    """The words, with a star the beginnings of longer ones, and with #n either that has n uses or more."""
+    uses: dict[str, int] = dict(words)
+    for w, n in words.items():
+        for k in BEGINNINGS:
+            if len(w) > k:
+                start = w[:k] + "*"
+                uses[start] = uses.get(start, 0) + n
+    return set(uses).union(f"{f}#{k}" for f, n in uses.items() if n > 1 for k in REPEATS if n >= k)
 
 
-def found(words: set[str], known: dict) -> set:
+def found(words: Counter, known: dict) -> set:
     """Values of known for the forms that occur, without making all forms of all words."""
-    hits = {known[w] for w in known.keys() & words}
-    starts = known.get("*starts")
-    if starts is None:
-        starts = known["*starts"] = {k[:-1] for k in known if k.endswith("*")}
-        known["*fours"] = {s for s in starts if len(s) == 4}, {s for s in starts if len(s) == 5}
-    fours, fives = known["*fours"]
-    for w in words:
-        if len(w) > 4 and w[:4] in fours:
-            hits.add(known[w[:4] + "*"])
-        if len(w) > 5 and w[:5] in fives:
-            hits.add(known[w[:5] + "*"])
-    return hits
+    stems = known.get("*stems")
+    if stems is None:
+        stems = {}
+        for form in known:
+            stem, _, least = form.partition("#")
+            stems.setdefault(stem, []).append((int(least or 1), known[form]))
+        known["*stems"] = stems
+        known["*starts"] = [(k, {f[:-1] for f in stems if f.endswith("*") and len(f) == k + 1}) for k in BEGINNINGS]
+    uses = {w: words[w] for w in words.keys() & stems.keys()}
+    for k, starts in known["*starts"]:
+        if starts:
+            for w, n in words.items():
+                if len(w) > k and w[:k] in starts:
+                    start = w[:k] + "*"
+                    uses[start] = uses.get(start, 0) + n
+    return {value for stem, n in uses.items() for least, value in stems[stem] if n >= least}
 
 
 def counted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,12 +100,31 @@ def counted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def telling_forms(sample: DataFrame, toxic: int, other: int, most: int) -> list[str]:
-    """The forms of the sample (text, p) that tell toxic texts apart best."""
+def telling_forms(sample: DataFrame, toxic: int, other: int, most: int | None = None) -> list[str]:
+    """The forms of the sample (text, p) that tell toxic texts apart with significance, best first.
+
+    A form that implies a better one, or that a better one implies, is left out.
+    """
     counts = sample.select("text", "p").mapInArrow(counted_forms, "form string, toxic double, other double").groupBy("form").agg(F.sum("toxic").alias("t"), F.sum("other").alias("o"))
-    lift = (F.col("t") / max(toxic, 1)) / ((F.col("o") + 1) / max(other, 1))
-    good = counts.where((F.col("t") >= max(4, toxic // 200)) & (lift >= 15))
-    return [r["form"] for r in good.orderBy((F.col("t") * F.log(lift)).desc(), "form").limit(most).collect()]
+    t, o = F.col("t"), F.col("o")
+    share = (t + o) / max(toxic + other, 1)
+    term = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
+    inside = term(t, share * toxic) + term(o, share * other)
+    outside = term(toxic - t, (1 - share) * toxic) + term(other - o, (1 - share) * other)
+    good = counts.withColumn("g", 2 * (inside + outside)).where((t * max(other, 1) > o * max(toxic, 1)) & (F.col("g") >= SIGNIFICANT))
+    kept, below, above = [], set(), set()
+    for form in (r["form"] for r in good.orderBy(F.desc("g"), "form").select("form").collect()):  # of a bounded sample
+        stem = form.partition("#")[0]
+        word = stem.rstrip("*")
+        whole = [stem, *(word[:k] + "*" for k in BEGINNINGS if k <= len(word))]
+        if stem in above or below.intersection(whole):
+            continue
+        kept.append(form)
+        below.add(stem)
+        above.update(whole)
+        if most and len(kept) == most:
+            break
+    return kept
 
 
 def voting(voters: list[str]):
@@ -130,7 +160,7 @@ class LabelModel:
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(self.n * self.n + self.n + 2)
-            for batch in batches:
+            for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
                 p, hot = self.posterior(batch.column(0).to_pylist())
                 total += np.concatenate([((hot * p[:, None]).T @ hot).reshape(-1), (1 - p) @ hot, [p.sum(), (1 - p).sum()]])
             at = np.flatnonzero(total)
@@ -208,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     # at most TOXIC_ROWS + OTHER_ROWS rows of two numbers, so the broadcast is bounded
     sample = stage(docs.join(F.broadcast(taught), "doc_id").select("text", "p"), "taught-texts")
     n = {r["t"]: r["n"] for r in taught.groupBy((F.col("p") >= 0.5).alias("t")).agg(F.count("*").alias("n")).collect()}
-    voters = list(dict.fromkeys([*LEXICON, *telling_forms(sample, n.get(True, 0), n.get(False, 0), MINED)]))
+    voters = list(dict.fromkeys([*LEXICON, *telling_forms(sample, n.get(True, 0), n.get(False, 0))]))
     votes = stage(docs.mapInArrow(voting(voters), "doc_id long, fired array<int>"), "votes")
     model = fit_label_model(votes, len(voters))
 

@@ -273,6 +273,26 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_toxicity_counts_uses(spark):
+    rng = np.random.default_rng(14)
+    rows = []
+    for i in range(1200):
+        toxic = i % 8 == 0
+        t = list(rng.choice([f"plain{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)], 60))
+        # one word of the kind stands in every eighth clean text, several stand in each toxic one
+        for at in rng.choice(60, 5 if toxic else int(i % 8 == 1), replace=False):
+            t[at] = "achl" + "".join(rng.choice(list("abcdefgh"), 5))
+        rows.append((i, " ".join(t), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert sum(out[i]["predicted"] != y for i, _, y in rows if out[i]["held_out"]) <= 3
+    words_in = toxicity.words_of(b"achlum achlor Plain")
+    assert {"achl*", "achl*#2", "achlu*", "plain"} <= toxicity.forms(words_in) and "achlu*#2" not in toxicity.forms(words_in)
+    names = sorted(toxicity.forms(words_in)) + ["achl*#4", "other"]
+    assert toxicity.found(words_in, {f: f for f in names}) == toxicity.forms(words_in)
+
+
 # vectors
 
 
