@@ -21,8 +21,10 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 12 << 20
+BUCKET_BYTES = 64 << 20  # of text a bucket
 EXCHANGE = "key long, block long, bucket int, a binary, b binary, c binary, doc_ids array<long>"
 ANSWERS = "block long, bucket int, a binary, b binary, c binary"
 
@@ -152,7 +154,9 @@ def unit_lists(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def buckets_for(docs: DataFrame) -> int:
-    return max(256, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Buckets by the bytes of all texts, so what meets in one bucket does not grow with them."""
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(256, held // BUCKET_BYTES)
 
 
 def exchange(docs: DataFrame, kind: type) -> DataFrame:

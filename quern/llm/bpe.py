@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from quern.llm.blocks import ANSWERS, SpacedUnits, exchange, pack, reassemble, unit_lists, unpack, unpack_codes
 
 RANKS = "byte_bpe_50k.tiktoken"
+CACHE = 400_000  # units a task remembers between blocks
+SLICE_BYTES = 64 << 20  # of ids or decoded text in one Arrow batch, whose offsets have 32 bits
 
 
 @lru_cache(2)
@@ -41,12 +43,14 @@ def encoding(path: str) -> tiktoken.Encoding:
 
 def word_encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}
         of = encoding(path).encode_ordinary
         for batch in batches:
             rows = []
             for block, bucket, units in unit_lists(batch):
                 ids = []
+                if len(known) > CACHE:
+                    known.clear()
                 for u in units:
                     found = known.get(u)
                     if found is None:
@@ -63,9 +67,13 @@ def word_encoder(path: str):
 def spread(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values of each code's run, run after run, and how many each code has."""
     n = sizes[codes]
-    ends = np.cumsum(n)
-    at = np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    return values[at], n
+    ends = np.concatenate([[0], np.cumsum(n)])
+    out = np.empty(ends[-1], values.dtype)
+    for i in range(0, len(codes), 1 << 20):  # a part at a time, for the size of the index
+        own, part = codes[i : i + (1 << 20)], n[i : i + (1 << 20)]
+        first, last = ends[i], ends[i + len(own)]
+        out[first:last] = values[np.repeat(starts[own] - (ends[i : i + len(own)] - first), part) + np.arange(last - first)]
+    return out, n
 
 
 def block_ids(code: pa.Table, answers: pa.Table) -> pa.Table:
@@ -85,9 +93,27 @@ def block_ids(code: pa.Table, answers: pa.Table) -> pa.Table:
     return _ids_table(doc_ids, np.diff(ends), tokens)
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum to at most ``most``; a larger row stands alone."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, stop
+        at = stop
+
+
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Rows of bytes of data between ends, which must fit 32-bit offsets: a row of Spark does, and runs() keeps batches below."""
+    if ends[-1] - ends[0] >= 1 << 31:
+        raise ValueError("one text needs more than 2 GB; no row of Spark can hold it")
+    part = np.ascontiguousarray(data[ends[0] : ends[-1]])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends - ends[0]).astype("<i4")), pa.py_buffer(part)])
+
+
 def _ids_table(doc_ids: list, n_tokens: np.ndarray, tokens: np.ndarray) -> pa.Table:
-    offsets = pa.py_buffer((4 * np.concatenate([[0], np.cumsum(n_tokens)])).astype("<i4").tobytes())
-    ids = pa.BinaryArray.from_buffers(pa.binary(), len(n_tokens), [None, offsets, pa.py_buffer(tokens.astype("<u4").tobytes())])
+    data, ends = tokens.astype("<u4").view(np.uint8), 4 * np.concatenate([[0], np.cumsum(n_tokens)])
+    pieces = [binaries(data, ends[i : j + 1]) for i, j in runs(4 * n_tokens, SLICE_BYTES)]
+    ids = pa.chunked_array(pieces, pa.binary())
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": ids})
 
 
@@ -106,14 +132,15 @@ def decoder(path: str):
             size[i] = len(b)
         raw, starts = np.frombuffer(b"".join(b for _, b in table), np.uint8), np.cumsum(size) - size
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = part.column("ids").to_pylist()
-                tokens = np.frombuffer(b"".join(lists), "<u4")
+            # a token has few bytes on average, but a batch is cut by what its ids stand for
+            lists = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
+            held = np.array([int(size[x].sum()) for x in lists], np.int64)
+            for i, j in runs(held, SLICE_BYTES):
+                tokens = np.concatenate(lists[i:j])
                 text, n = spread(tokens, starts, size, raw)
-                ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum([len(x) >> 2 for x in lists])]).astype(np.int64)]
-                decoded = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(text.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
+                ends = np.concatenate([[0], np.cumsum(held[i:j])])
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, binaries(text, ends)], names=[*part.schema.names, "decoded"])
 
     return decode
 
