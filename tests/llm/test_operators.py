@@ -341,87 +341,111 @@ def test_windows_score_every_place_once():
     model = lm.Attention.start(counts)
     for n in (1, 15, 16, 17, 28, 29, 100):
         seen = np.zeros(n)
-        for later in (0, 1):
-            _, _, weight, _ = lm.window_rows(np.zeros(n, np.int64), np.array([n]), 0, later)
-            for k, row in enumerate(weight):
-                for place in range((lm.LENGTH - lm.STEP) * later, lm.LENGTH):
-                    at = (k + later) * lm.STEP + place
-                    if row[place] and at < n:
-                        seen[at] += 1
+        for number in range(int(lm.window_counts(np.array([n]))[0])):
+            _, _, weight, place = lm.window_rows(np.zeros(n, np.int64), np.array([0]), np.array([n]), np.array([number]))
+            skip = lm.LENGTH - lm.STEP if number else 0
+            np.add.at(seen, place[0, skip:][weight[0, skip:] > 0], 1)
         assert (seen == 1).all(), n
     # probabilities of all subwords after a context sum to one
-    x = np.full((1, lm.LENGTH), int(model.cluster[lm.END]))
+    x = np.full((1, lm.LENGTH), lm.END)
     p = np.array([np.exp(model.log_p(x, np.full((1, lm.LENGTH), c), 0)[0, 0]) for c in range(lm.CLUSTERS)])
     share = np.bincount(model.cluster, np.exp(model.share), lm.CLUSTERS)
     assert (p * share).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_places_do_not_depend_on_other_texts():
+    rng = np.random.default_rng(13)
+    texts = [np.append(rng.integers(0, 50_000, n), lm.END) for n in (0, 3, 15, 16, 40, 20_000)]
+    model = lm.Attention.start(np.ones(lm.END + 1))
+    together = model.places(np.concatenate(texts), np.array([len(t) for t in texts]))
+    alone = np.concatenate([model.places(t, np.array([len(t)])) for t in texts])
+    assert together == pytest.approx(alone, abs=1e-5)
+
+
 def test_training_reads_whole_texts():
     # what follows subword 16 of a text does not occur before it
     texts = [np.array([1, 2] * 8 + [3, 4] * 40 + [lm.END])] * 20
     counts = np.bincount(np.concatenate(texts), minlength=lm.END + 1).astype(float)
-    lengths = np.array([len(t) for t in texts])
-    _, _, weight = lm.training_windows(np.concatenate(texts), lengths, lm.END)
-    assert weight.sum() == lengths.sum()
     model = lm.Attention.start(counts)
-    model.train(texts, 120)
+    for _ in range(4):
+        model.learn(np.concatenate(texts), np.array([len(t) for t in texts]), np.random.default_rng(1), 0.02)
     late = np.tile([4, 3], lm.LENGTH // 2)[None]
     assert np.exp(model.log_p(late, model.cluster[np.roll(late, -1, 1)], 4)).mean() > 0.8
 
 
-def test_lm_counts_context_over_all_training_texts(spark):
-    rng = np.random.default_rng(12)
-    words_in = list("abcdefghijklmnopqrstuvwxyz")  # one subword each
-    docs = [(i, " ".join(rng.choice(words_in, 30))) for i in range(2 * lm.SAMPLE)]
-    train = [i for i in range(2 * lm.SAMPLE, 2 * lm.SAMPLE + 60) if zlib.crc32(str(i).encode()) % 7 != 2][:1]
-    held = [i for i in range(3 * lm.SAMPLE, 3 * lm.SAMPLE + 60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
-    said = list(rng.permutation(words_in))
-    text, other = " ".join(said), " ".join([said[0], *said[:0:-1]])
-    # one training document, outside the sample or not, says text often; no words differ between text and other
-    docs += [(train[0], " ".join([text] * 40)), (held[0], text), (held[1], other)]
-    out = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert out[held[0]]["base_score"] == pytest.approx(out[held[1]]["base_score"])
-    assert out[held[0]]["score"] > out[held[1]]["score"] + 5
-
-    path = lm.public_tokenizers.path(lm.RANKS)
-    counts, pairs, sample = np.zeros(lm.END + 1), collections.Counter(), {i: lm.subwords(t.encode(), path) for i, t in docs}
-    for i, t in sample.items():
-        if i not in held and zlib.crc32(str(i).encode()) % 7 != 2:
-            np.add.at(counts, t, 1)
-            pairs.update(zip([lm.END, *t[:-1].tolist()], t.tolist(), strict=True))
-    kinds = np.bincount([a for a, _ in pairs], minlength=lm.END + 1)
-    # after any subword, the discounted shares and what they free sum to one
-    for a in {a for a, _ in pairs}:
-        assert sum(max(n - lm.DISCOUNT, 0) for (b, _), n in pairs.items() if b == a) / counts[a] + lm.DISCOUNT * kinds[a] / counts[a] == pytest.approx(1)
-    # the counts that the exchange gives back are those of plain Python
-    tokens, lengths = np.concatenate(list(sample.values())), np.array([len(t) for t in sample.values()])
-    number, names, order, edges = lm.pairs_of(tokens, lengths, 7)
-    assert sorted(order) == list(range(len(names))) and edges[-1] == len(names)
-    assert [(int(p) >> 16, int(p) & 65535) for p in names[number]] == list(zip(lm.earlier(tokens, lengths).tolist(), tokens.tolist(), strict=True))
-    model = lm.Attention.start(counts)
-    seen = np.array([pairs[(int(p) >> 16, int(p) & 65535)] for p in names])[number]
-    by_hand = [np.log((max(n - lm.DISCOUNT, 0) + lm.DISCOUNT * kinds[a] * np.exp(q)) / counts[a]) for a, n, q in zip(lm.earlier(tokens, lengths), seen, model.places(tokens, lengths), strict=True)]
-    assert model.score(tokens, lengths, seen, counts, kinds).sum() == pytest.approx(sum(by_hand) / np.log(10))
-
-
-def test_subwords_of_one_band_are_told_apart():
+def test_company_tells_subwords_of_one_band_apart():
     counts = np.ones(lm.END + 1)
     counts[:64] = 1e6
-    model = lm.Attention.start(counts)
-    a, b = np.flatnonzero(model.cluster == model.cluster[40_000])[:2]
-    # a stands before 5, b before 6
-    model.train([np.array([a, 5] * 20 + [lm.END]), np.array([b, 6] * 20 + [lm.END])] * 10, 120)
+    a, b = np.flatnonzero(lm.Attention.start(counts).cluster == lm.Attention.start(counts).cluster[40_000])[:2]
+    # a stands before 5, b before 6; so do their sums over the training texts
+    sums = np.zeros((lm.END + 1, len(lm.SUMS)), np.int64)
+    for x, y in ((a, 5), (b, 6)):
+        sums[x, 1], sums[x, 3 : 3 + lm.WIDTH // 2] = 10_000, 10_000 * lm.signs(lm.END + 1)[y]
+    model = lm.Attention.start(counts, lm.company(sums))
+    texts = [np.array([a, 5] * 20 + [lm.END]), np.array([b, 6] * 20 + [lm.END])] * 10
+    for _ in range(4):
+        model.learn(np.concatenate(texts), np.array([len(t) for t in texts]), np.random.default_rng(1), 0.02)
     assert model.log_p(np.array([[lm.END, a]]), model.cluster[np.array([[a, 5]])], 1) > np.log(0.8)
     assert model.log_p(np.array([[lm.END, b]]), model.cluster[np.array([[b, 6]])], 1) > np.log(0.8)
 
 
+def test_lm_scores_brute(spark, monkeypatch):
+    monkeypatch.setattr(lm, "ROUNDS", 1)
+    rng = np.random.default_rng(12)
+    vocabulary = ["red", "Green", "blue", "internationalisation", "Donaudampfschifffahrt", "x", "漢字", "qwzxkv"]
+    docs = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 60)))) for i in range(150)] + [(None, "red blue unseenword"), (7, None), (7, ""), (7, "again red"), (900, "word " * 3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    path = lm.public_tokenizers.path(lm.RANKS)
+    of = lm.learn(df, path)
+    encode = lm.encoding(path).encode_ordinary
+    spelled = lambda t: [*[encode(" " + w.decode()) for w in words(t)], [lm.END]]
+
+    def contexts(t):
+        last = lm.END
+        for pieces in spelled(t):
+            for j, piece in enumerate(pieces):
+                yield (("start", last) if j == 0 else tuple(pieces[max(0, j - 3) : j]) if j >= 3 else ("whole", *pieces[:j])), piece
+            last = pieces[-1]
+
+    pairs = collections.Counter()
+    for i, t in docs:
+        if lm.is_training(i):
+            pairs.update(contexts(t))
+    total, kinds = collections.Counter(), collections.Counter()
+    for (c, _), n in pairs.items():
+        total[c] += n
+        kinds[c] += 1
+    want = []
+    for i, t in docs:
+        tokens = np.array([p for w in spelled(t) for p in w])
+        score = 0.0
+        for (c, piece), q in zip(contexts(t), of.model.places(tokens, np.array([len(tokens)])), strict=True):
+            free = lm.DISCOUNT * kinds[c] / total[c] if total[c] else 1.0
+            score += np.log10(max(pairs[c, piece] - lm.DISCOUNT, 0) / max(total[c], 1) + free * np.exp(q))
+        want.append((str(i), len(spelled(t)), score))
+    monkeypatch.setattr(lm, "learn", lambda *_: of)
+    got = [(str(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm.score_texts(df).collect()]
+    assert [g[:2] for g in sorted(got)] == [w[:2] for w in sorted(want)]
+    assert [g[2] for g in sorted(got)] == pytest.approx([w[2] for w in sorted(want)], rel=1e-4)
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+def test_lm_beats_its_base_where_all_words_are_known(spark):
+    rows = [r for r in lm.op10_lm_scores(spark, SF.replace("0.001", "0.01")).collect() if r["held_out"] and r["n_known"] == r["n_tokens"]]
+    assert len(rows) > 10
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    assert sum(r["score"] > r["base_score"] for r in rows) > 0.8 * len(rows)
+
+
 def test_attention_gradients():
     model = lm.Attention.start(np.ones(lm.END + 1))
     rng = np.random.default_rng(11)
     x, y, w = rng.integers(0, lm.CLUSTERS, (3, lm.LENGTH)), rng.integers(0, lm.CLUSTERS, (3, lm.LENGTH)), np.ones((3, lm.LENGTH), np.float32)
     model.parts = {k: v.astype(np.float64) for k, v in model.parts.items()}
     g = model.step(x, y, w)
-    for name in "qkvou":
+    model.company = rng.standard_normal(model.company.shape)
+    g = model.step(x, y, w)
+    for name in "qkvoufp":
         i = (1, 2)
         loss = lambda: -model.log_p(x, y, 0).mean()  # noqa: B023, E731
         model.parts[name][i] += 1e-4
