@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,22 +297,85 @@ def test_toxicity_counts_uses(spark):
 # vectors
 
 
+def brute_links(vectors_in):
+    """Links of each row by comparing all pairs of its length in double precision."""
+    out = np.zeros(len(vectors_in), int)
+    sizes = np.array([len(v) for v in vectors_in])
+    for n in set(sizes):
+        at = np.flatnonzero(sizes == n)
+        x = np.array([vectors_in[i] for i in at], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.95
+        np.fill_diagonal(near, False)
+        out[at] = near.sum(1)
+    return out
+
+
 def test_vectors_brute(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((300, 16))
-    x[100:160] = x[0] + 0.05 * rng.standard_normal((60, 16))
-    x[200:203] = x[1]
-    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
-    odd_rows = [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [1.0, None] + [1.0] * 14), (904, [1.0] * 3), (905, [])]
-    df = spark.createDataFrame([(*r, "clash") for r in rows + odd_rows], "vec_id long, embedding array<float>, component_id string")
+    x[100:160] = x[0] + 0.05 * rng.standard_normal((60, 16))  # a tight group
+    x[160:190] = x[1] + 0.21 * rng.standard_normal((30, 16))  # a loose one
+    x[200:203] = x[2]
+    good = [r.tolist() for r in x]
+    # other lengths do not disturb: one alone, and a pair of 9 components
+    good += [[1.0] * 17, [float(i) for i in range(9)], [float(i) + 0.01 for i in range(9)]]
+    odd_rows = [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [1.0, None] + [1.0] * 14), (905, []), (906, [float("inf")] * 16), (None, good[0])]
+    df = spark.createDataFrame([(i, v, "clash") for i, v in [*enumerate(good), *odd_rows]], "vec_id long, embedding array<double>, component_id string")
     out = {r["vec_id"]: r for r in vectors.near_vectors(df).collect()}
-    f = np.array([r for _, r in rows])
-    f /= np.linalg.norm(f, axis=1, keepdims=True)
-    near = f @ f.T >= 0.95
-    np.fill_diagonal(near, False)
-    assert [out[i]["n_links"] for i in range(300)] == near.sum(1).tolist()
+    assert [out[i]["n_links"] for i in range(len(good))] == brute_links(good).tolist()
     assert all(out[i]["n_links"] == 0 and out[i]["kept"] for i, _ in odd_rows)
+    assert [out[i]["component_id"] for i in (301, 302)] == [301, 301] and out[300]["kept"]
     assert vectors.near_vectors(df.limit(0)).count() == 0
+    # the order of the lengths does not matter, and neither do more long vectors than short ones
+    assert vectors.near_vectors(df.where("size(embedding) = 17")).first()["n_links"] == 0
+
+
+def test_vectors_repeated_rows_and_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (3, [1.0, 0.01]), (4, [-1.0, 0.0])]
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert out == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 0, 1, False), (3, 3, 1, False), (4, 0, 4, True)]
+
+
+def test_vectors_double_precision(spark):
+    # cosines that differ from 0.95 by less than single precision can tell
+    c = 0.95
+    above, below = [c + 1e-10, np.sqrt(1 - (c + 1e-10) ** 2)], [c - 1e-10, -np.sqrt(1 - (c - 1e-10) ** 2)]
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [float(v) for v in above]), (2, [float(v) for v in below])], "vec_id long, embedding array<double>")
+    assert [r["n_links"] for r in vectors.near_vectors(df).orderBy("vec_id").collect()] == [1, 1, 0]
+
+
+def test_vector_windows_cross_partitions(spark):
+    # one pass over many partitions finds what the same pass finds in one
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((400, 8))
+    x[200:] = x[:200] + 0.1 * rng.standard_normal((200, 8))
+    df = spark.createDataFrame([(i, r.tolist(), 1, i) for i, r in enumerate(x)], "id long, v array<double>, n long, k long")
+    links = {}
+    for parts in (1, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = vectors.half_links(df, 0, 3, np.zeros(8), 16, 0.95)
+        links[parts] = {tuple(sorted((r["id"], r["component_id"]))) for r in components.connected(found.where("a <> b")).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert links[1] == links[40] and len(links[1]) > 100
+
+
+def test_vectors_recall_at_the_threshold(spark):
+    # 50,000 vectors, 500 planted pairs of cosine 0.95 to 0.96
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((50_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    across = rng.standard_normal((500, 32))
+    across -= (across * x[:500]).sum(1, keepdims=True) * x[:500]
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.96, (500, 1))
+    x[500:1000] = c * x[:500] + np.sqrt(1 - c * c) * across
+    table = pa.table({"vec_id": np.arange(50_000), "embedding": pa.FixedSizeListArray.from_arrays(x.reshape(-1), 32).cast(pa.list_(pa.float64()))})
+    out = vectors.near_vectors(spark.createDataFrame(table.to_pandas())).where("vec_id < 1000 and n_links > 0").count()
+    assert out >= 0.98 * 1000
+    assert vectors.passes_for(10**9) > vectors.passes_for(10**6) > vectors.passes_for(50_000) > vectors.LEAST_PASSES
 
 
 # language model
