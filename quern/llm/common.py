@@ -36,11 +36,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def uniform(*parts: Column) -> Column:
-    """A repeatable number in (0, 1) from the parts: 52 bits of their md5."""
+def bits52(*parts: Column) -> Column:
+    """A repeatable number of 52 bits from the parts, by their md5."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
-    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double")
-    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def bounded_sample(rows: DataFrame, most: int) -> DataFrame:

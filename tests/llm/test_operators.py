@@ -124,15 +124,48 @@ def test_mix_awkward_rows(odd, empty):
     assert mixing.apply_mix(odd).columns == odd.columns
 
 
-def test_mix_comes_near(spark):
-    rng = np.random.default_rng(5)
-    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{i % 5 if i % 3 else 0}") for i in range(900)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+def off_target(out):
+    """By source: words taken beyond the target."""
     taken, target = collections.Counter(), {}
     for r in out:
         taken[r["row"]["source"]] += r["taken"]
         target[r["row"]["source"]] = r["target"]
-    assert all(abs(taken[s] - t) <= 60 for s, t in target.items())
+    return {s: taken[s] - t for s, t in target.items()}
+
+
+def test_mix_comes_near(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{i % 5 if i % 3 else 0}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    out = mixing.mix(df).collect()
+    off = off_target(out)
+    assert all(abs(v) <= 120 for v in off.values()) and abs(sum(off.values())) <= 60
+    # the sample is drawn by unequal odds: a share f of the documents of each source, and f differs by source
+    drawn, n, f = collections.Counter(), collections.Counter(), {}
+    for r in out:
+        s = r["row"]["source"]
+        whole = int(r["target"] // r["source_size"])
+        f[s] = r["target"] / r["source_size"] - whole
+        drawn[s] += r["copies"] - whole
+        n[s] += 1
+        assert r["copies"] - whole in (0, 1)
+    assert len({round(v, 3) for v in f.values()}) > 1
+    assert all(abs(drawn[s] / n[s] - f[s]) < 0.1 for s in f)
+    # another seed draws others
+    assert sorted((str(r["row"]), r["copies"]) for r in mixing.mix(df, seed=8).collect()) != sorted((str(r["row"]), r["copies"]) for r in out)
+
+
+@pytest.mark.parametrize("kind", ["null ids", "equal rows", "equal sizes", "one long text"])
+def test_mix_comes_near_in_awkward_tables(spark, kind):
+    rows = []
+    for i in range(3000):
+        text = {"equal rows": "w " * 50, "equal sizes": f"w{i} " * 50, "one long text": f"w{i} " * (20_000 if i == 0 else 50)}.get(kind, f"w{i} " * 50)
+        rows.append((None if i % 2 and kind == "null ids" else 1 if i % 2 and kind == "equal rows" else i, text, f"s{i % 3}"))
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(3)).collect()
+    assert len(out) == 3000
+    # within two documents in a hundred of the source, or the one long text
+    most = 20_000 if kind == "one long text" else 0.02 * 50_000
+    assert all(abs(v) <= most for v in off_target(out).values()), off_target(out)
 
 
 # sharding
