@@ -104,11 +104,15 @@ def number_rows(keyed: DataFrame, spread: int = 20_000) -> DataFrame:
     n = keyed.count()
     bits = min(20, max(STEP, math.ceil(math.log2(max(n, 1) / spread + 1))))
     most = max(spread, n >> STEP)
-    heavy = sorted(r["hi"] for r in keyed.groupBy("hi").count().where(F.col("count") > most // 8).collect())  # at most 8 * 2**12 of them
-    place = sum((F.when(F.col("hi") > h, 2).when(F.col("hi") == h, 1).otherwise(0) for h in heavy), F.lit(0))
     ranges = ["shard", "range", "place", "part"]
-    cut = keyed.withColumn("range", F.shiftright("hi", KEY_BITS - bits)).withColumn("place", place)
-    cut = cut.withColumn("part", F.when(F.col("hi").isin(heavy), F.shiftright("lo", KEY_BITS - STEP)).otherwise(0))
+    at = F.shiftright("hi", KEY_BITS - bits).alias("range")
+    # hashes with many rows, at most 8 * 2**12 of them whatever the table, so their broadcast is bounded
+    heavy = keyed.groupBy("hi").count().where(F.col("count") > most // 8).groupBy(at).agg(F.array_sort(F.collect_list("hi")).alias("heavy"))
+    cut = keyed.select("*", at).join(F.broadcast(heavy), "range", "left")
+    is_heavy = F.coalesce(F.array_contains("heavy", F.col("hi")), F.lit(False))
+    below = F.coalesce(F.size(F.filter("heavy", lambda h: h < F.col("hi"))), F.lit(0))
+    cut = cut.withColumn("place", F.when(F.col("heavy").isNull(), 0).otherwise(2 * below + is_heavy.cast("int")))
+    cut = cut.withColumn("part", F.when(is_heavy, F.shiftright("lo", KEY_BITS - STEP)).otherwise(0)).drop("heavy")
     counts = cut.groupBy(*ranges).count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("range", "place", "part")) - F.col("count")
     starts = stage(counts.select(*ranges, before.alias("start")), "shard-starts")
