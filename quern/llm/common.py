@@ -9,6 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITS_PER_KEY = 16  # of a Bloom filter
+PROBES = 4
+BROADCAST_BLOCKS = 1_000_000  # of 16 bytes: a filter up to this size is sent to all executors
+
 #: Characters that part words: space, and tab to carriage return.
 BREAKS = r"[\x20\x09-\x0D]+"
 
@@ -24,18 +28,34 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where the session sets none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/quern-checkpoints"
+    """The folder all executors share: spark.checkpoint.dir; only a local session without one (tests) gets a local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder; on a cluster all executors must share one")
+    return tempfile.gettempdir() + "/quern-checkpoints"
+
+
+def stage_root(spark: SparkSession) -> str:
+    """Where this application's staged tables lie."""
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete this application's staged tables; call it when no result that reads them is needed any more."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def bits52(*parts: Column) -> Column:
     """A repeatable number of 52 bits from the parts, by their md5."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("~")) for p in parts])
@@ -52,3 +72,24 @@ def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(span))
     share = min(1.0, (1.25 * most + 100) / max(n, 1))
     return rows.where(place < int(share * span)).orderBy(place, "doc_id").limit(most)
+
+
+def bloom_block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def bloom_mask(key: Column) -> Column:
+    """Four bits of a 64-bit block, from a second hash of the key."""
+    h = F.xxhash64(F.lit("bits"), key)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(PROBES)]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask.bitwiseOR(b)
+    return mask
+
+
+def bloom_blocks(entries: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """The filter of entries (key) as rows (block, filter) and its number of blocks, at most ``most``."""
+    blocks = max(16, entries.count() * BITS_PER_KEY // 64)
+    blocks = min(blocks, most) if most else blocks
+    return entries.select(bloom_block(F.col("key"), blocks).alias("block"), bloom_mask(F.col("key")).alias("m")).groupBy("block").agg(F.bit_or("m").alias("filter")), blocks

@@ -1,16 +1,22 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join.
 
-A listed entry is a host and a path prefix. A url can fit an entry of its host or of
-a parent domain, so each distinct url offers a few candidate keys (a suffix of the
-host and a prefix of the path, of the lengths that the list has). The filter is a
-table of 64-bit blocks: a key sets four bits of one block, and a candidate passes if
-its block has all four. What passes meets the list in a hash join that removes the
-false positives. The longest fitting rule decides; without one, a listed spam host
-is blocked and everything else allowed.
-
-Defined cases: a null url or one without "://" has empty host and path, fits nothing
-and is allowed; repeated urls are judged once and each row gets its row; an empty
-table gives an empty result; other columns are ignored.
+The list is a table of hosts and path prefixes: the rules, which decide by the longest
+that fits, and listed urls, which are blocked where no rule fits. An entry fits its host
+and all subdomains. Rules are met with the host as it stands in the url; listed urls
+with the canonical host, which has no user name, port or final dot.
+
+A distinct url offers the suffixes of its hosts; those that the list has, told by a
+blocked Bloom filter and an exact join, bring the path lengths listed under them, and so
+the url's candidate keys (a host suffix and a path prefix). The filter of all keys is a
+table of 64-bit blocks: a key sets four bits of one block, and a candidate passes if its
+block has all four. What passes meets the list in a hash join that removes the false
+positives. The list may be as large as the pages; nothing of it reaches the driver but
+its number of entries and the most labels of a host.
+
+Defined cases: a null url or one without "://" has empty host and path, fits nothing and
+is allowed; very long hosts and paths are judged whole; repeated urls are judged once and
+each row gets its row; an empty table or list gives an empty result or no rule; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The rules of the contract and the listed spam hosts.
+from quern.llm.common import BROADCAST_BLOCKS, bloom_block, bloom_blocks, bloom_mask
+
+# The rules of the contract, and the listed spam hosts as names and endings.
 RULES = [
     ("com", "/", "allow"),
     ("example.com", "/en/", "block"),
@@ -26,21 +34,12 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-SPAM_HOSTS = ["cheap-pills.example.com", "spam-farm.example.org", "casino-win.example.org", "free-bets.example.com", "ads-track.example.org"]
-
-BITS_PER_KEY = 16
-PROBES = 4
-BROADCAST_BLOCKS = 1_000_000  # of 16 bytes: a filter up to this size is sent to all executors
+SPAM_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+ENDINGS = ["example.com", "example.net", "example.org"]
+SPAM_HOSTS = [f"{name}.{ending}" for name in SPAM_NAMES for ending in ENDINGS]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def listed(spark: SparkSession, rules: list[tuple[str, str, str]] | None = None, hosts: list[str] | None = None) -> DataFrame:
-    """The list as (key, host, path, verdict, is_rule)."""
-    rules = RULES if rules is None else rules
-    hosts = SPAM_HOSTS if hosts is None else hosts
-    rows = [(h + p, h, p, v, True) for h, p, v in rules] + [(h, h, "", "block", False) for h in hosts]
-    return spark.createDataFrame(rows, "key string, host string, path string, verdict string, is_rule boolean")
+USER, PORT = "^.*@", r":[0-9]*$"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -51,57 +50,70 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def bloom_block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
+def canonical_host(host: Column) -> Column:
+    """A host without user name, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, USER, ""), PORT, ""), r"\.$", "")
 
 
-def bloom_mask(key: Column) -> Column:
-    """Four bits of a 64-bit block, from a second hash of the key."""
-    h = F.xxhash64(F.lit("bits"), key)
-    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(PROBES)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return mask
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """Rules as (host, path, verdict)."""
+    return spark.createDataFrame(RULES if rules is None else rules, "host string, path string, verdict string")
 
 
-def bloom_blocks(entries: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
-    """The filter of entries (key) as rows (block, filter) and its number of blocks, at most ``most``."""
-    blocks = max(16, entries.count() * BITS_PER_KEY // 64)
-    blocks = min(blocks, most) if most else blocks
-    return entries.select(bloom_block(F.col("key"), blocks).alias("block"), bloom_mask(F.col("key")).alias("m")).groupBy("block").agg(F.bit_or("m").alias("filter")), blocks
+def url_list(urls: DataFrame) -> DataFrame:
+    """Listed urls (url) as canonical (host, path); a listed host without a path, or with "/", covers all of its pages."""
+    host, path = split_url(F.col("url"))
+    return urls.select(canonical_host(host).alias("host"), F.when(path == "/", "").otherwise(path).alias("path")).where("host <> ''").distinct()
 
 
-def judge(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of pages."""
-    host, path = split_url(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    # how many labels and how many characters of path the listed entries have
-    shapes = [(r[0], r[1]) for r in entries.select(F.size(F.split("host", r"\.")), F.char_length("path")).distinct().collect()]
-    labels = F.split("host", r"\.")
+def spam_urls(spark: SparkSession, hosts: list[str] | None = None) -> DataFrame:
+    return spark.createDataFrame([(f"http://{h}/",) for h in (SPAM_HOSTS if hosts is None else hosts)], "url string")
 
-    def candidate(n: int, length: int) -> Column:
-        suffix = F.array_join(F.slice(labels, -n, n), ".")
-        fits = (F.size(labels) >= n) & (F.char_length("path") >= length)
-        return F.when(fits, F.concat(suffix, F.substring("path", 1, length)))
 
+def possible(keys: DataFrame, entries: DataFrame) -> DataFrame:
+    """Rows of keys (key, ...) that the blocked Bloom filter of entries (key) lets pass."""
     known, blocks = bloom_blocks(entries)
     if blocks <= BROADCAST_BLOCKS:
         known = F.broadcast(known)
-    keys = urls.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(F.array_compact(F.array(*[candidate(n, p) for n, p in shapes]))).alias("key"))
     mask = bloom_mask(F.col("key"))
-    possible = keys.join(known, bloom_block(F.col("key"), blocks) == F.col("block")).where(F.col("filter").bitwiseAND(mask) == mask)
-    hits = possible.select("host", "path", "key").join(entries.select("key", "verdict", "is_rule"), "key")
-    length = F.char_length("key")
-    rule = F.when(F.col("is_rule"), F.struct("key", "verdict"))
-    fits = hits.groupBy("host", "path").agg(F.max_by(rule, F.when(F.col("is_rule"), length)).alias("best"), F.max(~F.col("is_rule")).alias("spam"))
-    judged = urls.join(fits, ["host", "path"], "left")
+    hit = (bloom_block(F.col("key"), blocks) == F.col("block")) & (F.col("filter").bitwiseAND(mask) == mask)
+    return keys.join(known, hit).select(*keys.columns)
+
+
+def fitting(urls: DataFrame, entries: DataFrame) -> DataFrame:
+    """(host, path, key, ...) of each of urls (host, path) and each entry (host, path, ...) that fits it."""
+    entries = entries.withColumn("key", F.concat("host", "path"))
+    most = entries.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+    labels = F.split("host", r"\.")
+    n = F.least(F.size(labels), F.lit(most))
+    # suffixes of one to n labels
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    offered = urls.where((F.col("host") != "") & (n > 0)).select("host", "path", F.explode(suffixes).alias("key"))
+    lengths = entries.groupBy(F.col("host").alias("key")).agg(F.collect_set(F.char_length("path")).alias("lengths"))
+    known = possible(offered, lengths.select("key")).join(lengths, "key")
+    fit = F.filter("lengths", lambda k: k <= F.char_length("path"))
+    keys = known.select("host", "path", F.col("key").alias("suffix"), F.explode(fit).alias("length"))
+    keys = keys.select("host", "path", "suffix", F.concat("suffix", F.substring(F.col("path"), F.lit(1), F.col("length"))).alias("key"))
+    own = entries.select("key", F.col("host").alias("suffix"), *[c for c in entries.columns if c not in ("host", "path", "key")])
+    return possible(keys, entries.select("key").distinct()).join(own, ["key", "suffix"])
+
+
+def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
+    """page_id, host, path, rule and verdict of every row of pages, by rules (host, path, verdict) and listed (host, path)."""
+    host, path = split_url(F.col("url"))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    distinct = urls.select("host", "path").where("host <> ''").distinct()
+    best = fitting(distinct, rules).groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), F.char_length("key")).alias("best"))
+    plain = distinct.select("host", "path", canonical_host(F.col("host")).alias("canonical"))
+    hits = fitting(plain.select(F.col("canonical").alias("host"), "path").distinct(), listed)
+    spam = plain.join(hits.select(F.col("host").alias("canonical"), "path").distinct(), ["canonical", "path"]).select("host", "path", F.lit(True).alias("spam"))
+    judged = urls.join(best.join(spam, ["host", "path"], "full"), ["host", "path"], "left")
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("spam"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"))
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), listed(spark))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), rule_table(spark), url_list(spam_urls(spark)))
 
 
 def url_sql() -> str:
@@ -111,6 +123,7 @@ def url_sql() -> str:
 with r(rh, rp, rv) as (values {rules}), spam(sh) as (values {hosts}),
 u as (select row_number() over () as i, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 p as (select i, page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+c as (select i, regexp_replace(regexp_replace(regexp_replace(host, '{USER}', ''), '{PORT}', ''), '\.$', '') as host from p),
 best as (select i, max_by(rh || rp, length(rh || rp)) as rule, max_by(rv, length(rh || rp)) as rv from p join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by i),
-s as (select distinct i from p join spam on host = sh or ends_with(host, '.' || sh))
+s as (select distinct i from c join spam on host = sh or ends_with(host, '.' || sh))
 select page_id, host, path, rule, coalesce(rv, case when s.i is not null then 'block' else 'allow' end) as verdict from p left join best using (i) left join s using (i)"""
