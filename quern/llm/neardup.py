@@ -34,15 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import stage
+from quern.llm.common import BROADCAST_BLOCKS, bloom_block, bloom_blocks, bloom_mask, stage
 from quern.llm.components import connected
-from quern.llm.urls import BROADCAST_BLOCKS, bloom_block, bloom_blocks, bloom_mask
 
 PLACES = 1 << 20
 ROWS = 6
 BANDS = 56
 SEED = 20_240_501
 CACHE = 400_000
+SALTED = 256  # pairs of one document that may meet in a task
 
 WORDS = 16  # of 64 parity bits
 
@@ -183,9 +183,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, pe
     fit = stage(fit.where(alike(percent)).select("a", "b"), "fitting")
     ids = stage(fit.select(F.col("a").alias("doc_id")).union(fit.select("b")).distinct(), "candidate-ids")
     texts = stage(only(docs, ids).select("doc_id", "text"), "candidate-texts")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    # a document of many pairs is a hot key: its pairs are dealt on as many salts as they ask for, and its text goes to each
+    hot = stage(fit.groupBy("a").count().where(F.col("count") > SALTED).select("a", F.ceil(F.col("count") / SALTED).cast("int").alias("salts")), "hot-heads")
+    salted = fit.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left")
+    one = one.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return stage(fit.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(verifier(size, percent), "a long, b long"), "verified")
+    return stage(salted.join(two, "b").join(one, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(verifier(size, percent), "a long, b long"), "verified")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
