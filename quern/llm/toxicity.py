@@ -12,7 +12,8 @@ Labels, lang, source and doc_id are no inputs of a score; rows with
 crc32(doc_id) mod 3 = 1 are held out of all learning from labels.
 
 Defined cases: a null or empty text has no words and gets the classifier's base score;
-very long texts are read whole; repeated rows each get their row; without labels only
+very long texts are read whole; repeated rows each get their row, and of rows that
+share a doc_id the least text teaches; without labels only
 the fixed voters teach; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -230,13 +231,18 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def one_text_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text and p of the chosen documents (doc_id, p), which have a stated bound; of rows that share a doc_id the least text."""
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("p").alias("p"))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     """Weights of word forms and a bias, learned from docs (doc_id, text) and labels (doc_id, toxic)."""
     docs = docs.select("doc_id", "text")
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("double").alias("p"))
     taught = stage(bounded_sample(known.where("p >= 0.5"), TOXIC_ROWS).union(bounded_sample(known.where("p < 0.5"), OTHER_ROWS)), "taught")
     # at most TOXIC_ROWS + OTHER_ROWS rows of two numbers, so the broadcast is bounded
-    sample = stage(docs.join(F.broadcast(taught), "doc_id").select("text", "p"), "taught-texts")
+    sample = stage(one_text_each(docs, taught), "taught-texts")
     n = {r["t"]: r["n"] for r in taught.groupBy((F.col("p") >= 0.5).alias("t")).agg(F.count("*").alias("n")).collect()}
     voters = list(dict.fromkeys([*LEXICON, *telling_forms(sample, n.get(True, 0), n.get(False, 0))]))
     votes = stage(docs.mapInArrow(voting(voters), "doc_id long, fired array<int>"), "votes")
@@ -249,11 +255,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     judged = votes.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).mapInArrow(posteriors, "doc_id long, p double").dropDuplicates(["doc_id"])
     judged = stage(judged, "posteriors")
     chosen = stage(bounded_sample(judged.where("p >= 0.5"), TOXIC_ROWS).union(bounded_sample(judged.where("p < 0.5"), OTHER_ROWS)), "chosen")
-    texts = stage(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "p"), "chosen-texts")
+    texts = stage(one_text_each(docs, chosen), "chosen-texts")
     n = {r["t"]: r["n"] for r in chosen.groupBy((F.col("p") >= 0.5).alias("t")).agg(F.count("*").alias("n")).collect()}
     names = telling_forms(texts, n.get(True, 0), n.get(False, 0), FEATURES)
     names = list(dict.fromkeys([*LEXICON, *names]))[:FEATURES]
-    present = texts.mapInArrow(voting(names), "doc_id long, fired array<int>").join(F.broadcast(chosen), "doc_id")
+    present = texts.select("doc_id", "text").mapInArrow(voting(names), "doc_id long, fired array<int>").join(F.broadcast(chosen), "doc_id")
     rows = sorted((r["fired"], r["p"]) for r in present.select("fired", "p").collect())  # bounded as above
     if not rows:
         return {w: 6.0 for w in LEXICON}, -3.0

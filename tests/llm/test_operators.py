@@ -171,6 +171,17 @@ def test_mix_comes_near_in_awkward_tables(spark, kind):
 # sharding
 
 
+def test_shards_number_heavy_hashes_and_ties(spark):
+    rows = [(i, "same text") for i in range(600)] + [(None, "same text")] * 50 + [(i, f"text {i}") for i in range(300)] + [(7, "tie"), (7, "tie")]
+    keyed = sharding.sort_keys(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("shard", F.pmod(F.col("hi"), F.lit(3)))
+    out = sharding.number_rows(keyed, spread=16).collect()
+    assert len(out) == len(rows)
+    for k in range(3):
+        own = sorted((r["slot"], r["hi"], r["lo"]) for r in out if r["shard"] == k)
+        assert [r[0] for r in own] == list(range(len(own)))
+        assert [r[1:] for r in own] == sorted(r[1:] for r in own)
+
+
 def test_shards(spark, odd, empty):
     rows = sharding.shard(odd).collect()
     assert len(rows) == len(ODD)
@@ -248,21 +259,32 @@ def test_components_of_a_chain(spark):
 # urls
 
 
+def judged(df, hosts=None, rules=None):
+    spark = df.sparkSession
+    return urls.judge(df, urls.rule_table(spark, rules), urls.url_list(urls.spam_urls(spark, hosts)))
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://X.COM/a"), (4, "https://a.example.com/en/x?q#f"), (5, "https://www.example.com/en/"), (6, "http://b.net/es/1"), (7, "http://notexample.com"), (8, "http://spam-farm.example.org/x"), (8, "http://spam-farm.example.org/x"), (9, "http://?q")]
-    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id int, url string, host string")
-    out = collections.Counter((r["page_id"], r["rule"], r["verdict"]) for r in urls.judge(df, urls.listed(spark)).collect())
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id int, url string, host string, key string")
+    out = collections.Counter((r["page_id"], r["rule"], r["verdict"]) for r in judged(df).collect())
     assert out == collections.Counter([(1, None, "allow"), (2, None, "allow"), (3, "com/", "allow"), (4, "example.com/en/", "block"), (5, "www.example.com/en/", "allow"), (6, "net/es/", "block"), (7, None, "allow"), (8, None, "block"), (8, None, "block"), (9, None, "allow")])
-    assert urls.judge(df.limit(0), urls.listed(spark)).count() == 0
+    assert judged(df.limit(0)).count() == 0
+    assert {r["verdict"] for r in judged(df, [], []).collect()} == {"allow"}
+
+
+def test_listed_urls_are_canonical(spark):
+    listed = urls.url_list(spark.createDataFrame([("http://user@Bad.test:80/",), ("https://ok.test/bad/",), (None,), ("no url",)], "url string"))
+    assert sorted((r["host"], r["path"]) for r in listed.collect()) == [("bad.test", ""), ("ok.test", "/bad/")]
+    rows = [(1, "http://bad.test"), (2, "http://a.BAD.test:8080/x"), (3, "http://me:pw@bad.test./?q"), (4, "http://ok.test/good"), (5, "http://ok.test/bad/1"), (6, "http://notbad.test/"), (7, "http://" + "a." * 3000 + "bad.test/" + "p/" * 30_000)]
+    out = urls.judge(spark.createDataFrame(rows, "page_id int, url string"), urls.rule_table(spark, []), listed).collect()
+    assert {r["page_id"] for r in out if r["verdict"] == "block"} == {1, 2, 3, 5, 7} and len(out) == 7
 
 
 def test_bloom_has_no_misses_and_few_false_hits(spark):
-    entries = urls.listed(spark, [(f"h{i}.test", "/", "block") for i in range(2000)], [])
-    known, n = urls.bloom_blocks(entries)
-    mask = urls.bloom_mask(F.col("key"))
-    passed = lambda df: df.join(known, urls.bloom_block(F.col("key"), n) == F.col("block")).where(F.col("filter").bitwiseAND(mask) == mask).count()
-    assert passed(entries.select("key")) == 2000
-    assert passed(spark.range(20000).select(F.concat(F.lit("other"), F.col("id"), F.lit(".test/")).alias("key"))) < 600
+    entries = spark.createDataFrame([(f"h{i}.test/",) for i in range(2000)], "key string")
+    assert urls.possible(entries, entries).count() == 2000
+    assert urls.possible(spark.range(20000).select(F.concat(F.lit("other"), F.col("id"), F.lit(".test/")).alias("key")), entries).count() < 600
 
 
 # chat
@@ -288,6 +310,47 @@ def test_preference_pairs(spark):
 # toxicity
 
 
+def test_label_model_brute(spark):
+    rng = np.random.default_rng(31)
+    n, rows = 5, []
+    for i in range(400):
+        toxic = i % 4 == 0
+        fired = [k for k in range(n) if rng.random() < (0.6 if toxic else 0.04)]
+        fired += [4] if 3 in fired and 4 not in fired else []  # voter 4 repeats voter 3
+        rows.append((i, sorted(fired)))
+    votes = spark.createDataFrame(rows, "doc_id long, fired array<int>")
+    model = toxicity.fit_label_model(votes, n, rounds=4)
+    # the same expectation maximisation, row by row
+    odds, fires, tied = -2.2, [5.0] * n, [[0.0] * n for _ in range(n)]
+    for _ in range(4):
+        yes = no = 0.0
+        both, other = np.zeros((n, n)), np.zeros(n)
+        for _, fired in rows:
+            evidence = sum(fires[j] / (1 + sum(tied[i][j] for i in fired)) for j in fired)
+            p = 1 / (1 + np.exp(-(odds + evidence))) if fired else toxicity.UNCOVERED
+            yes, no = yes + p, no + 1 - p
+            for i in fired:
+                other[i] += 1 - p
+                for j in fired:
+                    both[i, j] += p
+        b = (other + 0.05) / (no + 1)
+        a = np.maximum((np.diag(both) + 0.5) / (yes + 1), b)
+        odds, fires = np.log((yes + 1) / (no + 1)), np.log(a / b)
+        tied = [[0.0 if i == j else min(1, max(0, (both[i, j] / (yes + 1) - a[i] * a[j]) / max(np.sqrt(a[i] * (1 - a[i]) * a[j] * (1 - a[j])), 1e-9))) for j in range(n)] for i in range(n)]
+    assert model.odds == pytest.approx(odds) and model.fires == pytest.approx(fires)
+    assert model.tied == pytest.approx(np.array(tied)) and model.tied[3, 4] > 0.5
+    found = model.posterior([f for _, f in rows])[0]
+    assert np.mean((found > 0.5) == (np.arange(400) % 4 == 0)) > 0.8  # calling none toxic gives 0.75
+
+
+def test_toxicity_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, f"idiot text {i}", "x", 1, 0.5) for i in range(50)] + [(2, "a plain text", "x", 1, 0.5)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, p string, toxic int, score double")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 1), (None, 1, 1), (3, None, 1)], "doc_id long, toxic int, quality int")
+    assert toxicity.score_toxicity(docs, labels).count() == 53
+    assert toxicity.keep_clean(docs, labels).columns == docs.columns
+
+
 def test_toxicity_held_out(spark):
     rng = np.random.default_rng(8)
     rows = []
