@@ -130,9 +130,12 @@ def mix(docs: DataFrame, limit: int = LIMIT, seed: int = 7) -> DataFrame:
         return at.withColumn("key", rank_key(collocated(F.col("h"), F.col("before"), F.col("held"), F.col("source_size")), F.col("f")))
 
     wanted = plan.agg(F.sum(F.col("extra").cast("decimal(38,6)"))).first()[0]
-    cut = cut_of(stage(ranked_rows(rows).where("key is not null").select("key", "size"), "mix-ranks"), float(wanted or 0))
-    drawn = F.when(F.col("key") <= F.lit(cut), 1).otherwise(0)
-    joined = ranked_rows(told_apart(sized.drop("source"))).withColumn("copies", F.col("whole") + drawn)
+    ranks = stage(ranked_rows(rows).where("key is not null").select("source_id", "h", "key", "size"), "mix-ranks")
+    cut = cut_of(ranks, float(wanted or 0))
+    # within a source the rank grows with the hash, so the one cut is a largest hash for each source
+    last = ranks.where(F.col("key") <= F.lit(cut)).groupBy("source_id").agg(F.max("h").alias("last"))
+    full = stage(plan.join(last, "source_id", "left").select("source_id", "source_size", "target", "whole", F.coalesce("last", F.lit(-1)).alias("last")), "mix-cuts")
+    joined = told_apart(sized.drop("source")).join(full, "source_id").withColumn("copies", F.col("whole") + (F.col("h") <= F.col("last")).cast("int"))
     return joined.select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
