@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Latin letters with marks and their plain forms.
-MARKED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain_letters() -> tuple[str, str]:
+    """Letters that compatibility decomposition turns into one plain character and marks, and these; marks alone come last, without one."""
+    marked, plain = [], []
+    for code in range(0x80, 0x2C00):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        base = [c for c in parts if not unicodedata.combining(c)]
+        if parts != chr(code) and len(base) == 1:
+            marked.append(chr(code))
+            plain.append(base[0])
+    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
+    return "".join(marked + marks), "".join(plain)
+
+
+MARKED, PLAIN = _plain_letters()
 
 # Words that carry no topic, in the four languages served.
 STOP_WORDS = ["the", "and", "that", "for", "with", "this", "was", "les", "des", "une", "que", "qui", "der", "die", "und", "den", "los", "las", "del", "por"]
 
 
 def fold(text: Column) -> Column:
-    """Lower case without marks on Latin letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks: each character by its compatibility decomposition, where that keeps one plain character."""
+    low = F.lower(text)
+    # a text of single bytes holds no marks
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, MARKED, PLAIN))
 
 
 def squeeze(text: Column) -> Column:
@@ -30,7 +45,12 @@ def searchable(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """All search terms of a text, in order."""
-    return F.array_remove(F.split(searchable(text), " "), "")
+    return F.array_remove(F.split(fold(text), "[^a-z0-9]+"), "")
+
+
+def once(df: DataFrame, **values: Column) -> DataFrame:
+    """df with columns worked out once a row, however often they are used further on."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))
 
 
 def query_terms(text: Column, most: int = 40) -> Column:
@@ -123,10 +143,10 @@ def cited_name(file: Column) -> Column:
 
 
 def code_blocks(text: Column) -> Column:
-    """(language, code) of fenced blocks."""
-    langs = F.regexp_extract_all(text, F.lit(r"(?s)```([\w+-]*)\r?\n(.*?)```"), F.lit(1))
-    codes = F.regexp_extract_all(text, F.lit(r"(?s)```([\w+-]*)\r?\n(.*?)```"), F.lit(2))
-    return F.zip_with(langs, codes, lambda a, b: F.struct(a.alias("language"), b.alias("code")))
+    """(language, code) of fenced blocks: a fence has three or more backticks or tildes, at most three spaces before it, and ends at one of its kind and length."""
+    fence = r"(?m)^ {0,3}(?<f>`{3,}|~{3,})[ \t]*(?<l>[^\s`]*)[^\n`]*\n(?<c>(?:(?! {0,3}\k<f>)[^\n]*\n)*?) {0,3}\k<f>[`~]*[ \t]*$"
+    part = lambda k: F.regexp_extract_all(text, F.lit(fence), F.lit(k))
+    return F.zip_with(part(2), part(3), lambda a, b: F.struct(a.alias("language"), b.alias("code")))
 
 
 def wikilinks(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import searchable
+from quern.functions.text import terms
 
 # Words that mark a language, and words that mark a theme of the invented vocabulary.
 LANGUAGE_MARKS = {
@@ -22,14 +22,16 @@ THEMES = {"motion": ["from", "to", "by", "into"], "place": ["in", "on", "at", "u
 
 def best_class(text: Column, marks: dict[str, list[str]], none: str) -> Column:
     """The class with the most marking words in the whole text; the first of equals, ``none`` without any."""
-    words = F.split(searchable(text), " ")
+    marking = sorted({w for words in marks.values() for w in words})
+    told = F.filter(terms(text), lambda x: x.isin(marking))
 
-    def hits(marking: list[str]) -> Column:
-        return F.size(F.filter(words, lambda x: x.isin(marking)))
+    def best(found: Column) -> Column:
+        hits = lambda own: F.size(F.filter(found, lambda x: x.isin(own)))
+        top = F.array_max(F.array(*[F.struct(hits(w).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, w) in enumerate(marks.items())]))
+        return F.when(top["n"] > 0, top["k"]).otherwise(none)
 
-    scored = F.array(*[F.struct(hits(w).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, w) in enumerate(marks.items())])
-    best = F.array_max(scored)
-    return F.when(best["n"] > 0, best["k"]).otherwise(none)
+    # the few marking words are found once, then told apart
+    return F.element_at(F.transform(F.array(told), best), 1)
 
 
 def language(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import markers, searchable
+from quern.functions.text import markers, once, searchable, terms
 
 
 def package(items: DataFrame, query: str, order: str, excluded: list[str]) -> DataFrame:
@@ -51,11 +51,18 @@ def check_answer(answer: Column, known: Column) -> Column:
 def alias_edges(chunks: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """(src, dst, relation, chunks): entities of taxonomy (entity, alias) tied to the documents whose text names an alias as whole words.
 
-    One-word and longer aliases are met by equality on words and word pairs, so no text meets every alias.
+    Aliases of any number of words are met by equality on runs of that many words, so no text meets every alias.
     """
-    words = F.split(searchable(F.col("text")), " ")
-    grams = F.concat(words, F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    named = chunks.select("doc_id", "chunk_id", F.explode(F.array_distinct(grams)).alias("alias")).join(taxonomy, "alias")
+    aliases = once(taxonomy, a=terms(F.col("alias"))).where(F.size("a") > 0).select("entity", F.array_join("a", " ").alias("alias"), F.size("a").alias("n"))
+    lengths = sorted(r["n"] for r in aliases.select("n").distinct().collect())  # how many words aliases have
+
+    def runs(words: Column, n: int) -> Column:
+        last = F.size(words) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))) if n > 1 else words
+
+    words = once(chunks, w=terms(F.col("text"))).select("doc_id", "chunk_id", "w")
+    found = words.select("doc_id", "chunk_id", F.explode(F.array_distinct(F.concat(*[F.coalesce(runs(F.col("w"), n), F.array().cast("array<string>")) for n in lengths]))).alias("alias"))
+    named = found.join(aliases, "alias")
     return named.groupBy(F.concat(F.lit("entity:"), "entity").alias("src"), F.concat(F.lit("document:"), "doc_id").alias("dst")).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunks")).withColumn("relation", F.lit("SUPPORTED_BY"))
 
 

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import terms
+from quern.functions.text import once, terms
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
 
 
-def postings(docs: DataFrame, doc: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(term, doc, tf, len) of a corpus; with wanted (term), only those terms leave the scan."""
-    tokens = docs.select(F.col(doc).alias("doc"), terms(F.col(text)).alias("t"))
-    rows = tokens.select("doc", F.size("t").alias("len"), F.explode("t").alias("term"))
+def tokenised(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, t, len) of a corpus; its terms are worked out once a document."""
+    return once(docs.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), t=terms(F.col("_text"))).select("doc", "t", F.size("t").alias("len"))
+
+
+def postings(tokens: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, len) of a tokenised corpus; with wanted (term), only those terms leave the scan."""
+    rows = tokens.select("doc", "len", F.explode("t").alias("term"))
     if wanted is not None:
         rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
@@ -27,8 +31,8 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
 
 def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
     """(query, doc, score) for queries (query, term): sums over the query's terms, higher is better."""
-    post = postings(docs, doc, text, queries)
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    post = postings(tokenised(docs, doc, text), queries)
+    df = post.groupBy("term").agg(F.count("tf").alias("df"))  # reads tf too, so that Spark reuses the exchange of post
     stats = corpus_stats(docs, text).first()  # two numbers
     n, mean = stats["n_docs"], stats["mean_len"] or 1.0
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))

@@ -9,7 +9,7 @@ from quern.operators import evidence as E
 from quern.operators import retrieval as R
 from quern.plans.base import Plan
 from quern.plans.retrieval import KNN, RANKED, neighbours_of, ranked
-from quern.sources.tables import table
+from quern.sources.tables import documents, table
 
 plan = Plan()
 
@@ -110,7 +110,7 @@ TAX_SQL = ", ".join(f"('{e}', '{a}')" for e, a in TAXONOMY)
 @plan.query(f"""with tx(entity, alias) as (values {TAX_SQL}), d as (select doc_id, ' ' || trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) || ' ' as t from documents)
 select distinct 'entity:' || entity as src, 'document:' || doc_id as dst, 'SUPPORTED_BY' as relation from d join tx on contains(t, ' ' || alias || ' ')""")
 def evidence_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("chunk_id"), "text")
+    chunks = documents(spark, sf_dir).select("doc_id", F.col("doc_id").alias("chunk_id"), "text")
     return E.alias_edges(chunks, spark.createDataFrame(TAXONOMY, "entity string, alias string")).select("src", "dst", "relation")
 
 

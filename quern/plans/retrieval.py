@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import STOP_WORDS, query_terms, terms
 from quern.operators import retrieval as R
 from quern.plans.base import Plan
-from quern.sources.tables import table
+from quern.sources.tables import documents, table
 
 plan = Plan()
 
@@ -36,7 +36,7 @@ RANKED = f"with {BM25_CTE}, r as (select *, row_number() over (partition by quer
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", passages(spark, sf_dir))
+    return R.bm25(documents(spark, sf_dir), "doc_id", "text", passages(spark, sf_dir))
 
 
 def ranked(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
@@ -50,12 +50,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan.query(f"select count(*) as n_docs, round(avg(len({TOKENS})), 6) as mean_len from documents")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.corpus_stats(table(spark, sf_dir, "documents"), "text").select("n_docs", F.round("mean_len", 6).alias("mean_len"))
+    return R.corpus_stats(documents(spark, sf_dir), "text").select("n_docs", F.round("mean_len", 6).alias("mean_len"))
 
 
 @plan.query(f"with p as (select doc_id, unnest({TOKENS}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from p group by term having count(distinct doc_id) >= 5")
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = R.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    post = R.postings(R.tokenised(documents(spark, sf_dir), "doc_id", "text"))
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
 
 
@@ -65,7 +65,7 @@ f as (select doc_id, w, min(i) as i from t where length(w) >= 3 and w not in ({S
 r as (select *, row_number() over (partition by doc_id order by i) as k from f)
 select doc_id, count(w) filter (k <= 40) as n_terms, md5(coalesce(string_agg(w, ' ' order by k) filter (k <= 40), '')) as digest from documents left join r using (doc_id) group by doc_id""")
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", query_terms(F.col("text")).alias("t"))
+    t = documents(spark, sf_dir).select("doc_id", query_terms(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
@@ -104,7 +104,9 @@ f as (select query, item, sum(weight / (60 + rank)) as score, list_sort(list(dis
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical ranks fused, at a quarter of the weight, with the same hits by document length."""
     hits = ranked(spark, sf_dir, 20)
-    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.size(terms(F.col("text"))).alias("len"))
+    # only the texts of hits are counted
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").join(hits.select("doc").distinct(), "doc")
+    sizes = texts.select("doc", F.size(terms(F.col("text"))).alias("len"))
     by_len = R.top(hits.drop("rank").join(sizes, "doc"), "query", [F.desc("len"), F.asc("doc")], 20)
     part = lambda df, source, weight: df.select("query", F.col("doc").alias("item"), F.lit(source).alias("source"), F.lit(weight).alias("weight"), "rank")
     return R.fuse(part(hits, "lexical", 1.0).unionByName(part(by_len, "long", 0.25)))

@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.operators import corpus as C
 from quern.plans.base import Plan
 from quern.sources import snapshots
-from quern.sources.tables import table
+from quern.sources.tables import documents, table
 
 plan = Plan()
 SQUEEZE = "trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g'))"
@@ -19,7 +19,7 @@ FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 @plan.query(f"select doc_id, md5({SQUEEZE}) as squeezed, md5({SEARCH}) as searchable from documents")
 def norm_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = documents(spark, sf_dir)
     return d.select("doc_id", F.md5(T.squeeze(F.col("text")).cast("binary")).alias("squeezed"), F.md5(T.searchable(F.col("text")).cast("binary")).alias("searchable"))
 
 
@@ -31,24 +31,24 @@ def _marks(words: list[str]) -> str:
 
 @plan.query("with c as (select doc_id, " + ", ".join(f"{_marks(w)} as {k}" for k, w in C.LANGUAGE_MARKS.items()) + " from documents) select doc_id, case when greatest(en, fr, de, es) = 0 then 'unknown' when en >= greatest(fr, de, es) then 'en' when fr >= greatest(de, es) then 'fr' when de >= es then 'de' else 'es' end as language from c")
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", C.language(F.col("text")).alias("language"))
+    return documents(spark, sf_dir).select("doc_id", C.language(F.col("text")).alias("language"))
 
 
 @plan.query("with c as (select doc_id, " + ", ".join(f"{_marks(w)} as {k}" for k, w in C.THEMES.items()) + " from documents) select doc_id, case when greatest(motion, place, being) = 0 then 'general' when motion >= greatest(place, being) then 'motion' when place >= being then 'place' else 'being' end as theme from c")
 def theme_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", C.best_class(F.col("text"), C.THEMES, "general").alias("theme"))
+    return documents(spark, sf_dir).select("doc_id", C.best_class(F.col("text"), C.THEMES, "general").alias("theme"))
 
 
 @plan.query("""with x as (select doc_id, text, unnest(range(0, greatest(length(text) - 100, 1), 900)) as start from documents where length(text) > 0)
 select doc_id, (start // 900)::int as chunk_index, length(substr(text, start + 1, 1000)) as n_chars, md5(substr(text, start + 1, 1000)) as digest from x""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = C.fixed_chunks(table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", "text"), 1000, 100)
+    chunks = C.fixed_chunks(documents(spark, sf_dir).where("length(text) > 0").select("doc_id", "text"), 1000, 100)
     return chunks.select("doc_id", "chunk_index", F.char_length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 @plan.query()
 def chunk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.semantic_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), 1200, 150, 80)
+    return C.semantic_chunks(documents(spark, sf_dir).select("doc_id", "text"), 1200, 150, 80)
 
 
 KEY = "sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))"
@@ -56,7 +56,7 @@ KEY = "sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))))"
 
 @plan.query(f"select doc_id, key from (select doc_id, {KEY} as key, row_number() over (partition by {KEY} order by doc_id) as k from documents) where k = 1")
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.first_of_equal(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "key")
+    return C.first_of_equal(documents(spark, sf_dir), "doc_id", "text").select("doc_id", "key")
 
 
 @plan.query("with h as (select doc_id, sha256(text) as h from documents) select doc_id, h as sha256, exists (select 1 from h o where o.h = h.h and o.doc_id < h.doc_id) as indexed from h")
@@ -86,7 +86,7 @@ def best_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = F.array(*[F.lit(w) for w in ("the", "and", "was")])
     parts = F.filter(F.split(flat, r"\. "), lambda s: F.char_length(s) >= 40)
     places = F.transform(F.split(flat, r"\. "), lambda s, i: F.when(F.char_length(s) >= 40, F.struct(F.size(F.array_intersect(T.terms(s), wanted)).alias("k"), (-i).alias("i"), s.alias("s"))))
-    d = table(spark, sf_dir, "documents").where(F.size(parts) > 0)
+    d = documents(spark, sf_dir).where(F.size(parts) > 0)
     return d.select("doc_id", F.md5(F.array_max(places)["s"].cast("binary")).alias("digest"))
 
 

@@ -11,6 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt out to all cores by key where it comes in fewer splits than there are; a large table stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table, dealt out for work on its texts."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def csv_table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     """A CSV source with a declared schema that fails on rows that break it."""
     return spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=True, sep=sep)
