@@ -60,13 +60,10 @@ def recall_memories(queries: DataFrame, memories: DataFrame, n: int) -> DataFram
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def related(items: DataFrame, least: int, n: int, common: int) -> DataFrame:
-    """(item, other, shared, rank): the n items that share the most terms, ``least`` or more.
-
-    Terms in more than ``common`` items tell nothing about relation and are no terms here.
-    """
+def related(items: DataFrame, least: int, n: int) -> DataFrame:
+    """(item, other, shared, rank): the n items that share the most terms, ``least`` or more."""
     t = items.select("item", F.explode(query_terms(F.col("text"), 10_000)).alias("term")).where(F.char_length("term") >= 4)
-    telling = t.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= common)).select("term")
+    telling = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= 2).select("term")
     t = t.join(telling, "term")
     pairs = t.join(t.withColumnRenamed("item", "other"), "term").where("item <> other").groupBy("item", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("shared"), "other"))).where(F.col("rank") <= n)

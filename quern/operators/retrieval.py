@@ -30,7 +30,7 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
-    """(query, doc, score) for queries (query, term): sums over the query's terms, higher is better."""
+    """(query, doc, score, matched) for queries (query, term): sums over the query's terms, higher is better, and how many of them the document has."""
     post = postings(tokenised(docs, doc, text), queries)
     df = post.groupBy("term").agg(F.count("tf").alias("df"))  # reads tf too, so that Spark reuses the exchange of post
     stats = corpus_stats(docs, text).first()  # two numbers
@@ -38,7 +38,7 @@ def bm25(docs: DataFrame, doc: str, text: str, queries: DataFrame) -> DataFrame:
     idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
     scored = post.join(df, "term").select("term", "doc", weight.alias("w"))
-    return scored.join(queries.select("query", "term").distinct(), "term").groupBy("query", "doc").agg(F.sum("w").alias("score"))
+    return scored.join(queries.select("query", "term").distinct(), "term").groupBy("query", "doc").agg(F.sum("w").alias("score"), F.count("*").alias("matched"))
 
 
 def top(df: DataFrame, group: str | list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

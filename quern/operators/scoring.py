@@ -86,12 +86,14 @@ def pr_areas(rows: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
     return s.groupBy(*keys).agg(F.sum(step * (F.col("c") + F.col("c0")) / 2).alias("pr_auc"), F.sum(step * F.col("c")).alias("average_precision"))
 
 
-def sample_evenly(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
-    """At most ``most`` rows at even places, ends kept; places round half to even."""
-    w = Window.orderBy(*order)
-    numbered = rows.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("n") - 1) / (most - 1), 0).cast("int"))
-    return numbered.where((F.col("n") <= most) | F.array_contains(places, F.col("i"))).drop("i", "n")
+def sample_evenly(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """At most ``most`` rows of each group, evenly along the order with both ends; halves round to even."""
+    w = Window.partitionBy(*keys)
+    placed = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    # a place is taken if one of the points k * (n - 1) / (most - 1) rounds to it; such a k lies next to its own
+    step = (F.col("_n") - 1) / F.lit(float(most - 1))
+    near = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.bround((F.round(F.col("_i") / step) + d) * (F.col("_n") - 1) / float(most - 1)))
+    return placed.where((F.col("_n") <= most) | F.array_contains(near, F.col("_i").cast("double"))).drop("_i", "_n")
 
 
 def bootstrap_means(rows: DataFrame, keys: list[str], value: str, place: str, replicates: int, seed: int = 42) -> DataFrame:

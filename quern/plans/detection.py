@@ -100,11 +100,12 @@ def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.pr_areas(labelled(spark, sf_dir), ["lang"], "y", "score").select("lang", F.round("average_precision", 6).alias("average_precision"))
 
 
-@plan.query(STEPS + """, e as (select score, tp, fp, row_number() over (order by score desc) - 1 as i, count(*) over () as n from k where lang = 'en')
-select round(score, 8) as score, tp::bigint as tp, fp::bigint as fp from e where n <= 101 or i in (select round_even(unnest(range(101)) * (max(n) - 1) / 100.0, 0)::int from e)""")
+@plan.query(STEPS + """, e as (select score, tp, fp, lang, row_number() over (partition by lang order by score desc) - 1 as i, count(*) over (partition by lang) as n from k),
+w as (select distinct lang, n, unnest(range(101)) as j from (select distinct lang, n from e)), p as (select distinct lang, round_even(j * (n - 1) / 100.0, 0)::int as i from w)
+select lang, round(score, 8) as score, tp::bigint as tp, fp::bigint as fp from e where n <= 101 or (lang, i) in (select lang, i from p)""")
 def roc_curve_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = S.score_steps(labelled(spark, sf_dir).where("lang = 'en'"), ["lang"], "y", "score")
-    return S.sample_evenly(steps.select("score", "tp", "fp"), [F.desc("score")], 101).select(F.round("score", 8).alias("score"), "tp", "fp")
+    steps = S.score_steps(labelled(spark, sf_dir), ["lang"], "y", "score")
+    return S.sample_evenly(steps.select("lang", "score", "tp", "fp"), ["lang"], [F.desc("score")], 101).select("lang", F.round("score", 8).alias("score"), "tp", "fp")
 
 
 BOOT = """b as (select o.{k}, r, unnest_s as s, n from (select {k}, count(*) as n from o group by {k}) o, (select unnest(range(200)) as r), (select unnest(range(1000)) as unnest_s) where unnest_s < n),

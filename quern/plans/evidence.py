@@ -94,12 +94,12 @@ def claim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.validate_claims(c, e).select("claim", F.array_join("errors", ",").alias("errors"))
 
 
-@plan.query("""with a as (select conv_id, turn, 'see [E' || (turn % 4) || '] and [E2]' as answer from conversations), u as (select *, list_distinct(['E' || (turn % 4), 'E2']) as used from a)
-select conv_id, turn, array_to_string(list_filter(used, lambda x: x not in ('E1', 'E2')), ',') as unknown, list_contains(used, 'E0') or list_contains(used, 'E3') as withhold from u""")
+@plan.query("""with a as (select conv_id, turn, coalesce(text, '') || case when length(text) % 5 < 4 then ' [E' || (length(text) % 4) || ']' else '' end as answer from conversations), u as (select *, list_sort(list_distinct(regexp_extract_all(answer, '\\[(E\\d+)\\]', 1))) as used from a)
+select conv_id, turn, array_to_string(list_filter(used, lambda x: x not in ('E1', 'E2')), ',') as unknown, len(used) = 0 or len(list_filter(used, lambda x: x not in ('E1', 'E2'))) > 0 as withhold from u""")
 def answer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("see [E"), (F.col("turn") % 4).cast("string"), F.lit("] and [E2]")).alias("answer"))
+    a = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.when(F.char_length("text") % 5 < 4, F.concat(F.lit(" [E"), (F.char_length("text") % 4).cast("string"), F.lit("]"))).otherwise("")).alias("answer"))
     g = a.withColumn("g", E.check_answer(F.col("answer"), F.array(F.lit("E1"), F.lit("E2"))))
-    return g.select("conv_id", "turn", F.array_join("g.unknown", ",").alias("unknown"), F.col("g.withhold").alias("withhold"))
+    return g.select("conv_id", "turn", F.array_join(F.array_sort("g.unknown"), ",").alias("unknown"), F.col("g.withhold").alias("withhold"))
 
 
 # Entities of the invented vocabulary and their aliases.

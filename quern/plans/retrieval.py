@@ -29,7 +29,7 @@ tf as (select term, doc, len, count(*) as tf from p group by all),
 df as (select term, count(*) as df from tf group by term),
 st as (select count(*)::double as n, avg(len(t)) as mean from d),
 q as (select distinct item_id as query, unnest({TOKENS}) as term from benchmark),
-s as (select query, doc, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score
+s as (select query, doc, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score, count(*) as matched
   from q join tf using (term) join df using (term), st group by query, doc)"""
 
 RANKED = f"with {BM25_CTE}, r as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from s)"
@@ -117,13 +117,13 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir).select("query", "item", F.round("score", 8).alias("score"), F.array_join("sources", "+").alias("sources"))
 
 
-WITH_SOURCE = RANKED + """, h as (select query, doc, rank, source, length(text) as len from r join (select doc_id as doc, source, text from documents) using (doc) where rank <= 20)
+WITH_SOURCE = RANKED + """, h as (select query, doc, rank, matched, lang, source, length(text) as len from r join (select doc_id as doc, lang, source, text from documents) using (doc) where rank <= 20)
 """
 
 
 def hits_with_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", F.char_length("text").alias("len"))
-    return ranked(spark, sf_dir, 20).join(docs, "doc").select("query", "doc", "rank", "source", "len")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang", "source", F.char_length("text").alias("len"))
+    return ranked(spark, sf_dir, 20).join(docs, "doc").select("query", "doc", "rank", "matched", "lang", "source", "len")
 
 
 @plan.query(WITH_SOURCE + """, s2 as (select *, row_number() over (partition by query, source order by rank) as sr from h),
@@ -166,8 +166,10 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"))
 
 
-@plan.query(WITH_SOURCE + "select query, doc, rank, round(30.0 / (60 + rank) + case when source in ('src0', 'src1') then 2.0 else 0.5 end + case when len > 8000 then -12.0 else 0.0 end, 6) as score from h")
+@plan.query(WITH_SOURCE + "select query, doc, rank, round(30.0 / (60 + rank) + matched / m.n + case when source = 'src' || (query % 10) then 6.0 else 0 end + case when lang = 'en' then 3.0 else 0 end + case when source in ('src0', 'src1') then 2.0 else 0.5 end + case when len > 8000 then -12.0 else 0.0 end, 6) as score from h join (select query, count(*)::double as n from q group by query) m using (query)")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    no = F.lit(False)
-    score = R.rerank_score(1.0 / (60 + F.col("rank")), F.lit(0.0), no, no, F.when(F.col("source").isin("src0", "src1"), 2.0).otherwise(0.5), F.col("len") > 8000)
-    return hits_with_source(spark, sf_dir).select("query", "doc", "rank", F.round(score, 6).alias("score"))
+    """Overlap is the share of the query's terms that the document has; its source and language stand for author and year."""
+    n = passages(spark, sf_dir).groupBy("query").agg(F.count("*").alias("n"))
+    same_source = F.col("source") == F.concat(F.lit("src"), (F.col("query") % 10).cast("string"))
+    score = R.rerank_score(1.0 / (60 + F.col("rank")), F.col("matched") / F.col("n"), same_source, F.col("lang") == "en", F.when(F.col("source").isin("src0", "src1"), 2.0).otherwise(0.5), F.col("len") > 8000)
+    return hits_with_source(spark, sf_dir).join(n, "query").select("query", "doc", "rank", F.round(score, 6).alias("score"))

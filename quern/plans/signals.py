@@ -115,10 +115,10 @@ def causal_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round(total, 6).alias("total"), F.least(first, F.lit(8)).alias("filled"), F.round(F.element_at(seq, -1), 6).alias("last"))
 
 
-@plan.query("""with g as (select unnest(range(0, 5)) / 4.0 as a), x as (select vec_id, a, list_transform(embedding, lambda v: case when v > 0 then v::double * (1 - a) else v::double end) as h, list_transform(embedding, lambda v: v::double * (1 + 0.2 * a)) as s from embeddings, g where vec_id % 20 = 0)
+@plan.query("""with g as (select unnest(range(0, 5)) / 4.0 as a), x as (select vec_id, a, list_transform(embedding, lambda v: case when v > 0 then v::double * (1 - a) else v::double end) as h, list_transform(embedding, lambda v: v::double * (1 + 0.2 * a)) as s from embeddings, g)
 select vec_id, a, round(sqrt(list_sum(list_transform(h, lambda v: v * v)) / 64), 6) as half_rms, round(sqrt(list_sum(list_transform(s, lambda v: v * v)) / 64), 6) as gain_rms from x""")
 def severity_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     wave = F.transform("embedding", lambda v: v.cast("double"))
-    grid = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select("vec_id", wave.alias("wave"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("a", F.col("k") / 4.0)
+    grid = table(spark, sf_dir, "embeddings").select("vec_id", wave.alias("wave"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("a", F.col("k") / 4.0)
     rms = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, v: s + v * v) / 64)
     return grid.select("vec_id", "a", F.round(rms(S.inject(F.col("wave"), "half_cycle", F.col("a"))), 6).alias("half_rms"), F.round(rms(S.inject(F.col("wave"), "gain", F.col("a"))), 6).alias("gain_rms"))

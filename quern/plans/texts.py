@@ -162,11 +162,24 @@ def gold_referential_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").join(d, "doc_id", "left").select("doc_id", state.alias("state"))
 
 
-@plan.query("""with o as (select source as artefact, sha256(min(text)) as h from documents where doc_id % 2 = 0 group by 1), n as (select source as artefact, sha256(min(text)) as h from documents where doc_id % 3 = 0 group by 1)
+DIGEST = "sum(('0x' || substr(sha256({}), 1, 13))::bigint)::hugeint::varchar"
+
+
+@plan.query(f"""with o as (select source as artefact, {DIGEST.format(FLAT)} as h from documents join labels using (doc_id) group by 1 union all select 'lang-' || lang, {DIGEST.format(FLAT)} from documents group by 1),
+n as (select source as artefact, {DIGEST.format('text')} as h from documents group by 1 union all select 'lang-' || lang, {DIGEST.format('text')} from documents group by 1)
 select artefact, case when o.h is null then 'pending' when n.h is null or n.h <> o.h then 'stale' else 'ready' end as state from o full join n using (artefact)""")
 def manifest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    old, new = (d.where(F.col("doc_id") % m == 0).groupBy(F.col("source").alias("artefact")).agg(F.sha2(F.min("text"), 256).alias("hash")) for m in (2, 3))
+    """Digests recorded of squeezed texts, by source of the labelled and by language of all, against those of the texts as they are."""
+    d = documents(spark, sf_dir)
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+
+    def digests(rows, by, text):
+        part = F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("decimal(38,0)")
+        return rows.groupBy(by.alias("artefact")).agg(F.sum(part).cast("string").alias("hash"))
+
+    lang = F.concat(F.lit("lang-"), "lang")
+    old = digests(d.join(table(spark, sf_dir, "labels"), "doc_id"), F.col("source"), flat).union(digests(d, lang, flat))
+    new = digests(d, F.col("source"), F.col("text")).union(digests(d, lang, F.col("text")))
     return C.artefact_states(old, new)
 
 
