@@ -75,3 +75,11 @@ def rule(text: Column, rules: list[tuple[str, str]], none: str) -> Column:
     for name, pattern in reversed(rules):
         out = F.when(text.rlike(pattern), name).otherwise(out)
     return out
+
+
+def numbered(rows: DataFrame, order: list[Column], into: str = "place") -> DataFrame:
+    """rows numbered from 1 in an order: ranges are numbered apart, and only one count a range meets in a single task."""
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    before = parts.groupBy("_part").count().select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.join(before, "_part").withColumn(into, F.col("_before") + inside).drop("_part", "_before")

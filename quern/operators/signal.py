@@ -115,3 +115,13 @@ def inject(wave: Column, kind: str, a: Column) -> Column:
 def interpolate(healthy: Column, faulty: Column, a: Column) -> Column:
     """The wave a of the way from healthy to faulty."""
     return F.zip_with(healthy, faulty, lambda x, y: (1 - a) * x + a * y)
+
+
+def record_faults(rows: DataFrame, trial: str, order: str, time: str, value: str, needed: list[str]) -> DataFrame:
+    """(trial, n, not_finite, missing, backward): what breaks the contract of a record, counted; a sound one has zeros."""
+    missing = F.lit(False)
+    for c in needed:
+        missing = missing | F.col(c).isNull()
+    bad = F.isnan(value) | (F.abs(F.col(value)) == float("inf"))
+    stepped = rows.withColumn("_before", F.lag(time).over(Window.partitionBy(trial).orderBy(order)))
+    return stepped.groupBy(trial).agg(F.count("*").alias("n"), F.count_if(bad).alias("not_finite"), F.count_if(missing).alias("missing"), F.count_if(F.col(time) < F.col("_before")).alias("backward"))

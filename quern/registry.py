@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import detection, evidence, journals, retrieval, signals, texts
+from quern.plans import detection, evidence, journals, library, retrieval, signals, texts
 
-PLANS = [retrieval.plan, signals.plan, detection.plan, evidence.plan, texts.plan, journals.plan]
+PLANS = [retrieval.plan, signals.plan, detection.plan, evidence.plan, texts.plan, journals.plan, library.plan]
 
 QUERIES = {name: query for plan in PLANS for name, query in plan.queries.items()}
 ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.oracles.items()}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import detect, evidence, reliability, retrieval, scoring, signal
+from quern.operators import detect, evidence, library, reliability, retrieval, scoring, signal
 from quern.operators.models import DenseAutoencoder
 from quern.sources import snapshots, tables
 
@@ -173,3 +173,56 @@ def test_online_crossing(spark, tmp_path):
     stream = streams.file_stream(spark, str(tmp_path / "in"), "k long, place long, c boolean", 100)
     out = streams.run_to_memory(streams.online_crossing(stream, "k", "c"), "crossings", "append")
     assert [(r["k"], r["at"]) for r in out.collect()] == [(1, 1)]
+
+
+def test_sections_keep_the_trail(spark):
+    note = "intro\n# A\none\n## B\ntwo\n### C\nthree\n## D\nfour\n# E\n#### F\nfive"
+    rows = library.sections(spark.createDataFrame([(1, note), (2, "plain"), (3, None)], "k int, t string"), "k", "t").orderBy("k", "section").collect()
+    assert [(r["level"], r["trail"], r["body"]) for r in rows if r["k"] == 1] == [(0, [], "intro"), (1, ["A"], "one"), (2, ["A", "B"], "two"), (3, ["A", "B", "C"], "three"), (2, ["A", "D"], "four"), (1, ["E"], ""), (4, ["E", "F"], "five")]
+    assert [(r["trail"], r["body"]) for r in rows if r["k"] != 1] == [([], "plain")]
+
+
+def test_references_are_cut_at_the_earliest_heading(spark):
+    df = spark.createDataFrame([("Text with references inside.\n\n## References\n[1] x\nBibliography\n[2] y",), ("no list",), (None,)], "t string")
+    assert [r["c"] for r in df.select(library.without_references(F.col("t")).alias("c")).collect()] == ["Text with references inside.", "no list", None]
+
+
+def test_memory_states(spark):
+    rows = [(1, "t", 1, "Likes tea"), (2, "t", 2, "likes  TEA!"), (3, "t", 3, "Likes coffee"), (4, "u", 1, "Other")]
+    out = library.memory_states(spark.createDataFrame(rows, "memory int, topic string, created int, content string"))
+    assert {r["memory"]: r["state"] for r in out.collect()} == {1: "superseded", 2: "duplicate", 3: "active", 4: "active"}
+
+
+def test_levels_of_evidence(spark):
+    hits = spark.createDataFrame([("q", 1, "other", 7, "d")], "query string, rank int, chunk string, page int, document string")
+    expected = spark.createDataFrame([("q", "own", 7, "d")], "query string, chunk string, page int, document string")
+    out = {r["level"]: r["hit"] for r in library.level_hits(hits, expected, ["chunk", "page", "document"], 5).collect()}
+    assert out == {"chunk": 0, "page": 1, "document": 1}
+
+
+def test_gold_errors(spark):
+    rows = [("a", "What does the house hold?", 2, ["e"]), ("a", "Another long question", 9, []), ("b", "what does the HOUSE hold", 1, ["e"]), (None, None, None, None)]
+    out = library.gold_errors(spark.createDataFrame(rows, "id string, question string, relevance int, evidence array<string>")).collect()
+    got = sorted((str(r["id"]), r["errors"]) for r in out)
+    assert got == [("None", ["no_evidence", "relevance", "short_question"]), ("a", ["duplicate_id", "duplicate_question"]), ("a", ["duplicate_id", "no_evidence", "relevance"]), ("b", ["duplicate_question"])]
+
+
+def test_marks_fold_by_decomposition(spark):
+    texts = ["Ångström ＡＢ ① ﬁn Ž ộ e\u0301", "plain"]
+    import unicodedata
+
+    whole = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
+    out = [r["f"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.fold(F.col("t")).alias("f")).collect()]
+    assert out[1] == "plain" and out[0][:8] == whole(texts[0])[:8] and out[0].endswith("z o e")
+
+
+def test_code_blocks_end_at_their_own_fence(spark):
+    text = "a\n```sql\nselect 1\n```\n~~~~\nx\n```\n~~~~\nend"
+    out = one(spark.createDataFrame([(text,)], "t string").select(T.code_blocks(F.col("t")).alias("b")))["b"]
+    assert [(b["language"], b["code"]) for b in out] == [("sql", "select 1\n"), ("", "x\n```\n")]
+
+
+def test_long_aliases_match(spark):
+    chunks = spark.createDataFrame([(1, 1, "He said: once upon a time, all was well"), (2, 2, "once upon")], "doc_id int, chunk_id int, text string")
+    out = evidence.alias_edges(chunks, spark.createDataFrame([("tale", "Once upon a time"), ("well", "well")], "entity string, alias string")).collect()
+    assert sorted((r["src"], r["dst"]) for r in out) == [("entity:tale", "document:1"), ("entity:well", "document:1")]
