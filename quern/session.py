@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -23,4 +29,19 @@ def build_session(app: str = "quern", master: str | None = None, shuffle_partiti
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship(session)
+    return session
+
+
+def ship(session: SparkSession) -> None:
+    """Send this package to the Python workers, so that they need not start in its folder."""
+    held = io.BytesIO()
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(held, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    name = f"quern-{hashlib.sha256(held.getvalue()).hexdigest()[:16]}.zip"
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / name
+    path.write_bytes(held.getvalue())
+    session.sparkContext.addPyFile(str(path))
