@@ -2,7 +2,7 @@
 
 Voters fire on a word (lexicon) or on words that begin alike (pattern) and abstain
 otherwise: a fixed list, and words and word beginnings mined from labelled training
-rows: every one that passes a significance test, by presence or by number of uses. A
+rows: the MINED most significant of those that tell toxic texts apart LIFT times. A
 generative label model estimates, over all documents, how often each voter
 fires on toxic and on other texts, and how strongly voters are correlated inside the
 toxic class; correlated voters share their weight. A logistic classifier learns the
@@ -36,6 +36,8 @@ LEXICON = ["idiot", "moron", "stupid", "loser", "scum", "trash", "clown", "worth
 BEGINNINGS = (4, 5, 6, 7, 8)  # letters of a word beginning
 REPEATS = (2, 4, 8)  # uses that make a form of their own
 SIGNIFICANT = 30.0  # log-likelihood ratio of a voter; by chance one of 20 million forms has it
+LIFT = 15.0  # how many times as often a voter fires on toxic texts as on others
+MINED = 48  # voters beside the lexicon: many weak ones count one thing often, and the label model drifts
 TOXIC_ROWS = 8_000  # labelled or posterior-labelled rows learned from, at most, of each kind
 OTHER_ROWS = 16_000
 FEATURES = 1_024  # of the classifier
@@ -101,7 +103,7 @@ def counted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def telling_forms(sample: DataFrame, toxic: int, other: int, most: int | None = None) -> list[str]:
+def telling_forms(sample: DataFrame, toxic: int, other: int, most: int | None = None, lift: float = 1.0) -> list[str]:
     """The forms of the sample (text, p) that tell toxic texts apart with significance, best first.
 
     A form that implies a better one, or that a better one implies, is left out.
@@ -112,7 +114,7 @@ def telling_forms(sample: DataFrame, toxic: int, other: int, most: int | None =
     term = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
     inside = term(t, share * toxic) + term(o, share * other)
     outside = term(toxic - t, (1 - share) * toxic) + term(other - o, (1 - share) * other)
-    good = counts.withColumn("g", 2 * (inside + outside)).where((t * max(other, 1) > o * max(toxic, 1)) & (F.col("g") >= SIGNIFICANT))
+    good = counts.withColumn("g", 2 * (inside + outside)).where((t * max(other, 1) > lift * o * max(toxic, 1)) & (F.col("g") >= SIGNIFICANT))
     kept, below, above = [], set(), set()
     for form in (r["form"] for r in good.orderBy(F.desc("g"), "form").select("form").collect()):  # of a bounded sample
         stem = form.partition("#")[0]
@@ -247,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
     # at most TOXIC_ROWS + OTHER_ROWS rows of two numbers, so the broadcast is bounded
     sample = stage(one_text_each(docs, taught), "taught-texts")
     n = {r["t"]: r["n"] for r in taught.groupBy((F.col("p") >= 0.5).alias("t")).agg(F.count("*").alias("n")).collect()}
-    voters = list(dict.fromkeys([*LEXICON, *telling_forms(sample, n.get(True, 0), n.get(False, 0))]))
+    voters = list(dict.fromkeys([*LEXICON, *telling_forms(sample, n.get(True, 0), n.get(False, 0), MINED, LIFT)]))
     votes = stage(docs.mapInArrow(voting(voters), "doc_id long, fired array<int>"), "votes")
     model = fit_label_model(votes, len(voters))
 
