@@ -80,8 +80,9 @@ def adoption(events: Column, distinct: Column, r2: Column, quantile: Column) ->
     return F.concat_ws("; ", F.when(events < 10, "few detections"), F.when(distinct < 4, "few distinct values"), F.when(r2.isNull() | (r2 < 0.90), "poor fit"), F.when(quantile.isNull() | ~quantile.between(0, 1), "outside the domain"))
 
 
-def anchor_distance(rows: DataFrame, keys: list[str], feature: str, value: str, is_anchor: str, scale: DataFrame) -> DataFrame:
-    """(keys, l2, median, most, feature): distance of the medians of anchor and other rows, feature by feature over scale (feature, scale)."""
-    m = rows.groupBy(*keys, feature).agg(F.percentile(F.when(F.col(is_anchor), F.col(value)), 0.5).alias("x"), F.percentile(F.when(~F.col(is_anchor), F.col(value)), 0.5).alias("y"))
-    d = m.join(scale, feature).withColumn("d", F.abs(F.col("x") - F.col("y")) / F.col("scale"))
+def anchor_distance(anchor: DataFrame, rows: DataFrame, keys: list[str], feature: str, value: str, scale: DataFrame) -> DataFrame:
+    """(keys, l2, median, most, feature): distance of the medians of each key's rows from the anchor's, feature by feature over scale (feature, scale)."""
+    at = anchor.groupBy(feature).agg(F.percentile(value, 0.5).alias("x")).join(scale, feature)
+    m = rows.groupBy(*keys, feature).agg(F.percentile(value, 0.5).alias("y"))
+    d = m.join(at, feature).withColumn("d", F.abs(F.col("x") - F.col("y")) / F.col("scale"))
     return d.groupBy(*keys).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("l2"), F.percentile("d", 0.5).alias("median"), F.max("d").alias("most"), F.max_by(feature, "d").alias("feature"))

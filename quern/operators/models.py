@@ -6,7 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,31 +68,102 @@ class DenseAutoencoder:
     def errors(self, x: np.ndarray) -> np.ndarray:
         return (self.layers(x)[-1] - x) ** 2
 
-    def train(self, x: np.ndarray, check: np.ndarray, epochs: int = 150, patience: int = 20, batch: int = 32, rate: float = 1e-3) -> float:
-        state = [(np.zeros_like(p), np.zeros_like(p)) for p in (*self.w, *self.b)]
-        best, kept, waited, t = np.inf, None, 0, 0
-        for _ in range(epochs):
-            order = self.rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                rows = x[order[at : at + batch]]
-                out = self.layers(rows)
-                d = 2 * (out[-1] - rows) / rows.size
-                grads_w, grads_b = [], []
-                for i in range(len(self.w) - 1, -1, -1):
-                    grads_w.append(out[i].T @ d)
-                    grads_b.append(d.sum(0))
-                    if i:
-                        d = (d @ self.w[i].T) * (out[i] > 0)
-                t += 1
-                for p, g, (m, v) in zip((*self.w, *self.b), (*grads_w[::-1], *grads_b[::-1]), state, strict=True):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            loss = float(self.errors(check).mean())
-            if loss < best - 1e-8:
-                best, kept, waited = loss, ([w.copy() for w in self.w], [b.copy() for b in self.b]), 0
-            elif (waited := waited + 1) >= patience:
-                break
-        if kept:
-            self.w, self.b = kept
-        return best
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in (*self.w, *self.b)])
+
+    def set_parameters(self, values: np.ndarray) -> DenseAutoencoder:
+        at = 0
+        for p in (*self.w, *self.b):
+            p[...] = values[at : at + p.size].reshape(p.shape)
+            at += p.size
+        return self
+
+    def learn(self, x: np.ndarray, state: list, step: int, batch: int = 32, rate: float = 1e-3) -> int:
+        """Adam steps over the rows of x in random order; state holds the moments of each parameter, step the steps taken so far."""
+        order = self.rng.permutation(len(x))
+        for at in range(0, len(x), batch):
+            rows = x[order[at : at + batch]]
+            out = self.layers(rows)
+            d = 2 * (out[-1] - rows) / rows.size
+            grads_w, grads_b = [], []
+            for i in range(len(self.w) - 1, -1, -1):
+                grads_w.append(out[i].T @ d)
+                grads_b.append(d.sum(0))
+                if i:
+                    d = (d @ self.w[i].T) * (out[i] > 0)
+            step += 1
+            for p, g, (m, v) in zip((*self.w, *self.b), (*grads_w[::-1], *grads_b[::-1]), state, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        return step
+
+
+def whole(vector: str, size: int) -> Column:
+    """Whether a vector has this length and finite components only."""
+    return (F.size(vector) == size) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+
+
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Arrays of one length as the rows of a matrix."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def fit_dense(rows: DataFrame, vector: str, check: Column, size: int, seeds: list[int], rounds: int = 15, patience: int = 20) -> dict[int, tuple[DenseAutoencoder, float]]:
+    """A model for each seed and its least loss on the rows held for ``check``.
+
+    Every round each partition takes steps over its own rows from the shared parameters, and the
+    parameters become the mean of the partitions', weighted by rows; only these means, a few thousand
+    numbers a seed, come to the driver. Vectors of another length, or with a null, teach nothing.
+    The parameters of the best round are kept, and a seed that has not improved for ``patience`` rounds ends it.
+    """
+    usable = rows.where(whole(vector, size))
+    dealt = usable.select(F.coalesce(check, F.lit(False)).alias("check"), vector)
+    models = {s: DenseAutoencoder(size, s) for s in seeds}
+    best = {s: (np.inf, m.parameters(), 0) for s, m in models.items()}
+    for turn in range(rounds + 1):
+        shared = {s: m.parameters() for s, m in models.items()}
+
+        def local(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
+            here = {s: DenseAutoencoder(size, s + 1000 * turn).set_parameters(p) for s, p in shared.items()}
+            asked = {s: DenseAutoencoder(size, s).set_parameters(p) for s, p in shared.items()}
+            state = {s: [(np.zeros_like(p), np.zeros_like(p)) for p in (*m.w, *m.b)] for s, m in here.items()}
+            steps, loss, learned, checked = dict.fromkeys(here, 0), dict.fromkeys(here, 0.0), 0, 0
+            for batch in batches:
+                x, held = matrix(batch.column(1)) if batch.num_rows else np.zeros((0, size)), batch.column(0).to_numpy(zero_copy_only=False)
+                for s, m in here.items():
+                    loss[s] += float(asked[s].errors(x[held]).mean(1).sum())
+                    if turn < rounds:
+                        steps[s] = m.learn(x[~held], state[s], steps[s])
+                learned, checked = learned + int((~held).sum()), checked + int(held.sum())
+            for s, m in here.items():
+                values = np.concatenate([m.parameters() * learned, [learned, loss[s], checked]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), s), pa.int32()), pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], names=["seed", "place", "value"])
+
+        summed = dealt.mapInArrow(local, "seed int, place int, value double").groupBy("seed", "place").agg(F.sum("value").alias("value")).toArrow().sort_by([("seed", "ascending"), ("place", "ascending")])
+        for s, m in models.items():
+            found = summed.filter(pc.equal(summed.column("seed"), s)).column("value").to_numpy()
+            if not len(found):
+                continue
+            loss = found[-2] / found[-1] if found[-1] else 0.0
+            best[s] = (loss, m.parameters(), turn) if loss < best[s][0] - 1e-8 else best[s]
+            if found[-3]:
+                m.set_parameters(found[:-3] / found[-3])
+        if all(turn - b[2] >= patience for b in best.values()):
+            break
+    return {s: (m.set_parameters(best[s][1]), float(best[s][0])) for s, m in models.items()}
+
+
+def mean_scores(rows: DataFrame, vector: str, models: dict[int, DenseAutoencoder], size: int, k: int = 5) -> DataFrame:
+    """(seed, score): the mean over all rows of their k largest squared errors' mean."""
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                sums = [float(np.sort(m.errors(x), 1)[:, -k:].mean(1).sum()) for m in models.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(models), pa.int32()), pa.array(sums), pa.array([len(x)] * len(models), pa.int64())], names=["seed", "total", "n"])
+
+    usable = rows.where(whole(vector, size))
+    parts = usable.select(vector).mapInArrow(scored, "seed int, total double, n long")
+    return parts.groupBy("seed").agg((F.sum("total") / F.sum("n")).alias("score"))

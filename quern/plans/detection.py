@@ -241,9 +241,7 @@ def anchor_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "v")).select("label", (F.col("i") + 1).alias("f"), F.col("v").cast("double").alias("v"))
     healthy = x.where("label = 0")
     scale = healthy.groupBy("f").agg(F.greatest(F.percentile("v", 0.75) - F.percentile("v", 0.25), F.lit(1e-9)).alias("scale"))
-    labels = x.select("label").distinct().where("label <> 0").select(F.col("label").alias("key"))
-    rows = x.where("label <> 0").select(F.col("label").alias("key"), "f", "v", F.lit(False).alias("anchor")).unionByName(healthy.crossJoin(labels).select("key", "f", "v", F.lit(True).alias("anchor")))
-    d = D.anchor_distance(rows, ["key"], "f", "v", "anchor", scale)
+    d = D.anchor_distance(healthy, x.where("label <> 0").withColumnRenamed("label", "key"), ["key"], "f", "v", scale)
     return d.select(F.col("key").alias("label"), F.round("l2", 5).alias("l2"), F.round("median", 5).alias("median"), F.round("most", 5).alias("most"), "feature")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import detect, evidence, library, reliability, retrieval, scoring, signal
-from quern.operators.models import DenseAutoencoder
+from quern.operators.models import DenseAutoencoder, fit_dense
 from quern.sources import snapshots, tables
 
 
@@ -156,13 +156,20 @@ def test_front_matter(spark):
     assert r["meta"] == {"title": "A note", "tags": "x, y"} and r["body"] == "Body [[Link]]"
 
 
-def test_dense_autoencoder_learns():
+def test_dense_autoencoder_learns(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 4)) @ rng.standard_normal((4, 24))
     x /= x.std()
-    model = DenseAutoencoder(24)
-    before = model.errors(x).mean()
-    assert model.train(x[:320], x[320:], epochs=40) < 0.6 * before
+    before = DenseAutoencoder(24).errors(x).mean()
+    odd = [(-1, None), (-2, [1.0] * 23), (-3, [None] * 24), (-4, [float("nan")] * 24), (-5, [float("inf")] * 24)]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + odd, "k int, v array<double>").repartition(2, "k")
+    (model, loss), same = fit_dense(rows, "v", F.col("k") >= 320, 24, [42], rounds=40)[42], model_of_none(rows)
+    assert loss < 0.6 * before and abs(model.errors(x[320:]).mean() - loss) < 1e-9
+    assert same == np.inf
+
+
+def model_of_none(rows):
+    return fit_dense(rows.where("k > 1000"), "v", F.col("k") >= 320, 24, [42], rounds=1)[42][1]
 
 
 def test_online_crossing(spark, tmp_path):
