@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import bpe, chat, lm, mixing, neardup, quality, sharding, toxicity, urls, vectors
+from quern.llm import bpe, chat, lm, mixing, neardup, quality, repair, resampling, sharding, toxicity, urls, vectors, vptrees
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_vector_neardup": vectors.op9_vector_neardup,
     "op10_lm_scores": lm.op10_lm_scores,
+    "op11_nearest_vectors": vptrees.op11_nearest_vectors,
+    "op12_structure_repair": repair.op12_structure_repair,
+    "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
 ORACLE_SQL = {
