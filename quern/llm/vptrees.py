@@ -37,11 +37,11 @@ from quern.llm.common import stage
 from quern.llm.vectors import matrix
 
 K = 20
-FACTOR = 1.5
-SHARDS = 16  # up to 16 * MOST vectors; more shards beyond that
+FACTOR = 4.0  # of neighbours in even data of 64 components about one in a thousand is missed
+SHARDS = 8  # up to 8 * MOST vectors; more shards beyond that
 MOST = 65_536  # vectors of a shard, on average
 QUERIES = 8_192  # of a block
-LEAF = 128
+LEAF = 64
 TRIED = 8  # vantage points that are tried for a node, by the spread of their distances
 SEED = 5
 EVERY = 20
