@@ -3,34 +3,59 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-def _plain_letters() -> tuple[str, str]:
-    """Letters that compatibility decomposition turns into one plain character and marks, and these; marks alone come last, without one."""
-    marked, plain = [], []
-    for code in range(0x80, 0x2C00):
-        parts = unicodedata.normalize("NFKD", chr(code))
-        base = [c for c in parts if not unicodedata.combining(c)]
-        if parts != chr(code) and len(base) == 1:
-            marked.append(chr(code))
-            plain.append(base[0])
-    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
-    return "".join(marked + marks), "".join(plain)
+SPREAD = "\ue000"  # stands for a character that becomes several
 
 
-MARKED, PLAIN = _plain_letters()
+def _decompositions() -> tuple[str, str, list[str], list[str]]:
+    """By compatibility decomposition without marks: (characters, what each becomes, marks last), and those that become several with these."""
+    marked, plain, marks, many, parts = [], [], [], [], []
+    for code in [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x30000)]:  # neither Hangul syllables nor private use
+        char = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if base == "":
+            marks.append(char)
+        elif base != char:
+            marked.append(char)
+            plain.append(base if len(base) == 1 else SPREAD)
+            if len(base) > 1:
+                many.append(char)
+                parts.append(base)
+    return "".join(marked + marks), "".join(plain), many, parts
+
+
+MARKED, PLAIN, MANY, PARTS = _decompositions()
+
+#: Hangul syllables and, by their arithmetic, the three letters of each (the last may be none: a space here).
+HANGUL = "".join(map(chr, range(0xAC00, 0xD7A4)))
+LETTERS = ["".join(chr(0x1100 + i // 588) for i in range(11172)), "".join(chr(0x1161 + i % 588 // 28) for i in range(11172)), "".join(chr(0x11A7 + i % 28) if i % 28 else " " for i in range(11172))]
 
 # Words that carry no topic, in the four languages served.
 STOP_WORDS = ["the", "and", "that", "for", "with", "this", "was", "les", "des", "une", "que", "qui", "der", "die", "und", "den", "los", "las", "del", "por"]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(text: Column) -> Column:
-    """Lower case without marks: each character by its compatibility decomposition, where that keeps one plain character."""
+    """Lower case in whole compatibility decomposition, without marks: ligatures, wide forms, fractions and syllables come apart."""
     low = F.lower(text)
-    # a text of single bytes holds no marks
-    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, MARKED, PLAIN))
+    several = F.map_from_arrays(F.split(F.lit("".join(MANY)), ""), F.split(F.lit("\x01".join(PARTS)), "\x01"))
+
+    def apart(char: Column) -> Column:
+        one = F.translate(char, MARKED, PLAIN)
+        letters = F.concat(*[F.translate(char, HANGUL, part) for part in LETTERS])
+        return F.when(one == SPREAD, F.coalesce(F.try_element_at(several, char), char)).when(char.between(HANGUL[0], HANGUL[-1]), F.rtrim(letters)).otherwise(one)
+
+    # texts of single bytes hold no marks; few others hold what comes apart
+    plain = bound(F.translate(low, MARKED, PLAIN), lambda p: F.when(F.contains(p, F.lit(SPREAD)) | p.rlike("[\uac00-\ud7a3]"), F.array_join(F.transform(F.split(low, ""), apart), "")).otherwise(p))
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(plain)
 
 
 def squeeze(text: Column) -> Column:
@@ -76,13 +101,13 @@ def excerpt(text: Column, limit: int, least_percent: int = 55) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     head = F.substring(flat, 1, limit)
     sentence = F.regexp_extract(head, r"^(.*[.!?])", 1)
-    word = F.regexp_replace(head, r"\s\S*$", "")
+    word = F.regexp_replace(head, r"\s\S*\z", "")
     return F.when(F.char_length(flat) <= limit, flat).when(100 * F.char_length(sentence) >= least_percent * limit, sentence).otherwise(word)
 
 
 def shorten(text: Column, limit: int, note: str = " …") -> Column:
     """Whole words up to limit, with a note where something is cut."""
-    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit), r"\s\S*$", ""), F.lit(note)))
+    return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(F.substring(text, 1, limit), r"\s\S*\z", ""), F.lit(note)))
 
 
 def best_sentence(text: Column, wanted: Column, least: int = 40) -> Column:
@@ -95,7 +120,7 @@ def best_sentence(text: Column, wanted: Column, least: int = 40) -> Column:
 def slug(text: Column, limit: int) -> Column:
     """Folded words joined by hyphens, cut at a word."""
     full = F.regexp_replace(searchable(text), " ", "-")
-    return F.when(F.char_length(full) <= limit, full).otherwise(F.regexp_replace(F.substring(full, 1, limit + 1), "-[^-]*$", ""))
+    return F.when(F.char_length(full) <= limit, full).otherwise(F.regexp_replace(F.substring(full, 1, limit + 1), r"-[^-]*\z", ""))
 
 
 def mask_secrets(text: Column) -> Column:

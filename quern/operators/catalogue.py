@@ -20,7 +20,7 @@ UNKNOWN = "Autor desconhecido"
 
 def trial_fault(name: Column) -> Column:
     """The fault number of a trial's name (a fault of 0 to 7, a mode, perhaps .csv); null for any other name."""
-    return F.when(name.rlike(r"^F[0-7][LM](\.csv)?$"), F.substring(name, 2, 1).cast("int"))
+    return F.when(name.rlike(r"^F[0-7][LM](\.csv)?\z"), F.substring(name, 2, 1).cast("int"))
 
 
 def trial_mode(name: Column) -> Column:

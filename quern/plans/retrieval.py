@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import STOP_WORDS, query_terms, terms
+from quern.operators import lexical as X
 from quern.operators import retrieval as R
 from quern.plans.base import Plan
+from quern.sources.shared import shared_dir
 from quern.sources.tables import documents, table
 
 plan = Plan()
@@ -35,12 +40,14 @@ s as (select query, doc, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * t
 RANKED = f"with {BM25_CTE}, r as (select *, row_number() over (partition by query order by round(score, 9) desc, doc) as rank from s)"
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(documents(spark, sf_dir), "doc_id", "text", passages(spark, sf_dir))
+def kept_index(spark: SparkSession, sf_dir: str) -> X.Index:
+    """The index of the documents table, kept in the shared folder and brought up to date with what the table holds now."""
+    root = f"{shared_dir(spark)}/quern/lexical-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return X.update(root, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
 def ranked(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return R.top(scored(spark, sf_dir), "query", [F.desc(F.round("score", 9)), F.asc("doc")], n)
+    return X.search(kept_index(spark, sf_dir), passages(spark, sf_dir), n)
 
 
 @plan.query(RANKED + " select query, doc, rank, round(score, 6) as score from r where rank <= 10")
@@ -53,10 +60,40 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.corpus_stats(documents(spark, sf_dir), "text").select("n_docs", F.round("mean_len", 6).alias("mean_len"))
 
 
-@plan.query(f"with p as (select doc_id, unnest({TOKENS}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from p group by term having count(distinct doc_id) >= 5")
+@plan.query(f"with p as (select doc_id, unnest({TOKENS}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from p group by term")
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = R.postings(R.tokenised(documents(spark, sf_dir), "doc_id", "text"))
-    return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 5")
+    return kept_index(spark, sf_dir).postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def earlier(docs: DataFrame) -> DataFrame:
+    """An earlier state of docs (doc, text): some texts longer, some documents not there yet, some that are gone by now."""
+    was = F.when(F.col("doc") % 7 == 3, F.concat("text", F.lit(" in an earlier wording"))).otherwise(F.col("text"))
+    old = docs.where("doc % 11 <> 5").select("doc", was.alias("text"))
+    return old.unionByName(docs.where("doc % 13 = 1").select((-F.col("doc")).alias("doc"), "text"))
+
+
+def aged_index(spark: SparkSession, sf_dir: str) -> X.Index:
+    """A new index of the earlier state of the documents."""
+    root = f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/lexical-{uuid.uuid4().hex}"
+    return X.update(root, earlier(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")))
+
+
+@plan.query("""select doc_id as doc, case when doc_id % 11 = 5 then 'added' when doc_id % 7 = 3 and text is not null then 'changed' else 'kept' end as action from documents
+union all select -doc_id, 'removed' from documents where doc_id % 13 = 1""")
+def lexical_index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an update of an index of the earlier state has to do for each document."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    return X.changes(docs, aged_index(spark, sf_dir)).select("doc", "action")
+
+
+@plan.query(f"with t as (select doc_id as doc, {TOKENS} as t from documents) select doc, len(t) as len, len(list_distinct(t)) as n_terms, md5(array_to_string(list_sort(t), ' ')) as digest from t where len(t) > 0")
+def lexical_index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's postings in an index of the earlier state brought up to date: the same as in one built anew."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+    index = X.update(aged_index(spark, sf_dir).root, docs)
+    held = index.postings().groupBy("doc").agg(F.sum("tf").alias("len"), F.count("*").alias("n_terms"), F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("held"))  # a row holds one document
+    again = F.array_join(F.flatten(F.transform("held", lambda h: F.array_repeat(h["term"], h["tf"]))), " ")
+    return held.select("doc", "len", "n_terms", F.md5(again.cast("binary")).alias("digest"))
 
 
 @plan.query(f"""
@@ -104,9 +141,7 @@ f as (select query, item, sum(weight / (60 + rank)) as score, list_sort(list(dis
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical ranks fused, at a quarter of the weight, with the same hits by document length."""
     hits = ranked(spark, sf_dir, 20)
-    # only the texts of hits are counted
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text").join(hits.select("doc").distinct(), "doc")
-    sizes = texts.select("doc", F.size(terms(F.col("text"))).alias("len"))
+    sizes = kept_index(spark, sf_dir).tokens().select("doc", "len")
     by_len = R.top(hits.drop("rank").join(sizes, "doc"), "query", [F.desc("len"), F.asc("doc")], 20)
     part = lambda df, source, weight: df.select("query", F.col("doc").alias("item"), F.lit(source).alias("source"), F.lit(weight).alias("weight"), "rank")
     return R.fuse(part(hits, "lexical", 1.0).unionByName(part(by_len, "long", 0.25)))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import detect, evidence, library, reliability, retrieval, scoring, signal
+from quern.operators import catalogue, detect, evidence, library, reliability, retrieval, scoring, signal
 from quern.operators.models import DenseAutoencoder, fit_dense
 from quern.sources import snapshots, tables
 
@@ -215,12 +215,21 @@ def test_gold_errors(spark):
 
 
 def test_marks_fold_by_decomposition(spark):
-    texts = ["Ångström ＡＢ ① ﬁn Ž ộ e\u0301", "plain"]
     import unicodedata
 
     whole = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c))
-    out = [r["f"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.fold(F.col("t")).alias("f")).collect()]
-    assert out[1] == "plain" and out[0][:8] == whole(texts[0])[:8] and out[0].endswith("z o e")
+    texts = ["Ångström ＡＢ ① ﬁn Ž ộ e\u0301 ½ Ⅳ ㎏ ﬀ 한국어 각 \U0001d400 \ue000", "plain", "Ünter", "", None]
+    every = [chr(c) for c in range(0x80, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    texts += ["".join(every[i : i + 256]).lower() for i in range(0, len(every), 256)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.fold(F.col("t")).alias("f")).collect()
+    different = [(texts[r["i"]], r["f"]) for r in rows if r["f"] != (texts[r["i"]] if texts[r["i"]] is None else whole(texts[r["i"]]))]
+    assert not different, different[:2]
+
+
+def test_cuts_next_to_line_ends(spark):
+    text = "aaa bbb ccc\nddd eee"
+    cut = spark.createDataFrame([(text,)], "t string").select(T.shorten(F.col("t"), 12, "~").alias("s"), T.shorten(F.col("t"), 10, "~").alias("u"), catalogue.trial_fault(F.concat(F.lit("F1L"), F.lit("\n"))).alias("fault")).first()
+    assert (cut["s"], cut["u"], cut["fault"]) == ("aaa bbb ccc~", "aaa bbb~", None)
 
 
 def test_code_blocks_end_at_their_own_fence(spark):
