@@ -1,9 +1,9 @@
 """A kept lexical index: tokens and postings in segments, brought up to date by what changed.
 
 An index is a folder of tables. Each segment holds documents tokenised together:
-``tokens`` (doc, digest, len, t) and ``blocks`` of postings, one row for a term in a
-bucket of about ``BUCKET`` documents, with the bounds that a search needs (the largest
-term frequency and the least length). A version names its segments and the table of dead
+``tokens`` (doc, digest, len, t) and ``postings`` (bucket, term, doc, tf, len). A bucket
+holds some dozens of documents whose most frequent term is the same, so documents of one
+language or kind share buckets. A version names its segments and the table of dead
 documents, those that a later segment or a removal has replaced; its row is appended
 last, so readers see a whole version or none.
 
@@ -11,9 +11,10 @@ last, so readers see a whole version or none.
 pass a quarter of the documents, or there are ``MOST_SEGMENTS`` segments, the live ones
 are written as one segment, from their tokens.
 
-``search`` adds up the bounds of a query's terms by bucket. The ``SEEDS`` best buckets are
-scored first; the n-th best score found there is one that no document of the answer falls
-below, so only buckets whose bound reaches it are scored, with the exact result.
+``search`` bounds a term's score in a bucket by the largest frequency and the least length
+there, and adds these bounds up by query. The ``SEEDS`` best buckets are scored first; the
+n-th best score found there is one that no document of the answer falls below, so only
+buckets whose bound reaches it are scored, with the exact result.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import once, terms
 from quern.operators.retrieval import K1, LEAST_IDF, B, top
 from quern.sources.shared import exists, remove, staged
+from quern.sources.tables import spread
 
 BUCKET = 64
 SEEDS = 4
@@ -59,9 +61,9 @@ class Index:
 
     def _whole(self, kind: str) -> DataFrame:
         read = self.spark.read
-        if kind == "blocks":  # a segment without a term has no file to take the schema from
+        if kind == "postings":  # a segment without a term has no file to take the schema from
             doc = dict(self.spark.read.parquet(f"{self.root}/tokens-{self.segments[0]}").dtypes)["doc"]
-            read = read.schema(f"bucket long, term string, n int, most_tf int, least_len int, held array<struct<doc: {doc}, tf: int, len: int>>, slice int")
+            read = read.schema(f"doc {doc}, term string, len int, tf int, bucket long, slice int")
         parts = [read.parquet(f"{self.root}/{kind}-{s}").withColumn("segment", F.lit(s)) for s in self.segments]
         out = parts[0]
         for p in parts[1:]:
@@ -77,15 +79,9 @@ class Index:
         rows, dead = self._whole("tokens"), self.dead_docs()
         return rows if dead is None else rows.join(dead, ["doc", "segment"], "left_anti")
 
-    def blocks(self) -> DataFrame:
-        """(segment, slice, bucket, term, n, most_tf, least_len, held) with dead documents among them."""
-        return self._whole("blocks")
-
-    def postings(self, blocks: DataFrame | None = None) -> DataFrame:
-        """(term, doc, tf, len) and the other columns of blocks, live documents only."""
-        blocks = self.blocks() if blocks is None else blocks
-        rows = blocks.select(*[c for c in blocks.columns if c not in ("held", "n", "most_tf", "least_len")], F.inline("held"))
-        dead = self.dead_docs()
+    def postings(self) -> DataFrame:
+        """(segment, slice, bucket, term, doc, tf, len) of the live documents."""
+        rows, dead = self._whole("postings"), self.dead_docs()
         return rows if dead is None else rows.join(dead, ["doc", "segment"], "left_anti")
 
 
@@ -118,26 +114,25 @@ def changes(docs: DataFrame, index: Index | None) -> DataFrame:
 
 
 def write_segment(root: str, tokens: DataFrame) -> str:
-    """Tokens (doc, digest, len, t) as a new segment; one exchange brings the documents of a bucket together, one more deals the blocks to their slices."""
+    """Tokens (doc, digest, len, t) as a new segment; one exchange deals the documents out, one more deals the postings to their slices where there are several."""
     spark, name = tokens.sparkSession, uuid.uuid4().hex[:12]
     tokens.write.parquet(f"{root}/tokens-{name}")
     kept = spark.read.parquet(f"{root}/tokens-{name}")
     n = kept.count()
     slices = min(MOST_SLICES, 1 + n // SLICE_DOCS)
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(max(1, n // BUCKET)))
-    dealt = kept.select("doc", "len", "t", bucket.alias("bucket")).repartition("bucket")
-    post = dealt.select("bucket", "doc", "len", F.explode("t").alias("term")).groupBy("bucket", "term", "doc", "len").agg(F.count("*").cast("int").alias("tf"))
-    rows = post.groupBy("bucket", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("len").alias("least_len"), F.collect_list(F.struct("doc", "tf", "len")).alias("held"))
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int"))
+    rows = kept.select("doc", "len", F.explode("t").alias("term")).repartition("doc").groupBy("doc", "term", "len").agg(F.count("*").cast("int").alias("tf"))
+    lead = F.max_by("term", F.struct("tf", "term")).over(Window.partitionBy("doc"))
+    part = F.pmod(F.xxhash64("doc"), F.lit(max(1, n // (8 * BUCKET))))  # a lead's documents in parts; there are about eight common leads
+    rows = rows.withColumn("bucket", F.xxhash64(F.lit(name), lead, part)).withColumn("slice", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int"))
     if slices > 1:
         rows = rows.repartition("slice", F.pmod("bucket", F.lit(16))).sortWithinPartitions("slice", "term")
-    rows.write.partitionBy("slice").parquet(f"{root}/blocks-{name}")
+    rows.write.partitionBy("slice").parquet(f"{root}/postings-{name}")
     return name
 
 
 def tokenise(docs: DataFrame) -> DataFrame:
     """(doc, digest, len, t) of docs (doc, text)."""
-    return once(docs, t=terms(F.col("text"))).select("doc", digest(F.col("text")).alias("digest"), F.when(F.col("t").isNotNull(), F.size("t")).alias("len"), "t")
+    return once(spread(docs, "doc"), t=terms(F.col("text"))).select("doc", digest(F.col("text")).alias("digest"), F.when(F.col("t").isNotNull(), F.size("t")).alias("len"), "t")
 
 
 def update(root: str, docs: DataFrame) -> Index:
@@ -161,7 +156,9 @@ def update(root: str, docs: DataFrame) -> Index:
             segments, dead = [write_segment(root, live.tokens().drop("segment"))], None
     number = 1 if old is None else old.number + 1
     held = Index(spark, root, number, segments, dead, 0, 0, 0, mark).tokens().agg(F.count("*").alias("n"), F.count("len").alias("texts"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
-    spark.createDataFrame([(number, segments, dead, held["n"], held["texts"], held["total"], mark)], VERSION).coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    row = {"number": number, "segments": segments, "dead": dead, "n_docs": held["n"], "n_texts": held["texts"], "total_len": held["total"], "mark": mark}
+    fields = [F.lit(row[name]).cast(kind).alias(name) for name, kind in (c.split() for c in VERSION.split(", "))]
+    spark.range(1).select(*fields).coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return read_index(spark, root)
 
 
@@ -176,26 +173,29 @@ def weight(tf: Column, length: Column, mean: float) -> Column:
 
 def search(index: Index, queries: DataFrame, n: int) -> DataFrame:
     """(query, doc, score, matched, rank): the n best documents for queries (query, term), equal scores by doc."""
-    asked = staged(queries.select("query", "term").distinct(), "lexical-queries")
-    wanted = asked.select("term").distinct()
-    blocks = index.blocks().join(wanted, "term", "left_semi")
-    found = blocks.groupBy("term").agg(F.sum("n").alias("df"))
-    dead = index.dead_docs()
-    if dead is not None:
-        lost = blocks.select("segment", "term", F.inline("held")).join(dead, ["doc", "segment"], "left_semi").groupBy("term").agg(F.count("*").alias("lost"))
-        found = found.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df"))
+    asked = queries.select("query", "term").distinct()
+    # terms get numbers once, so that what follows joins by numbers
+    names = staged(asked.select("term").distinct().withColumn("no", F.monotonically_increasing_id()), "lexical-names")
+    held = index.postings().join(names, "term").select("no", "bucket", "doc", "tf", "len")
+    held = spread(staged(held, "lexical-postings"), "doc")
+    found = held.groupBy("no").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.lit(float(index.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    told = staged(asked.join(found.where("df > 0"), "term").select("query", "term", idf.alias("idf")), "lexical-terms")
-    most = F.sum(F.col("idf") * weight(F.col("most_tf"), F.col("least_len"), index.mean_len)).alias("most")
-    heads = staged(blocks.join(told, "term").groupBy("query", "segment", "bucket").agg(most), "lexical-bounds")
+    told = staged(asked.join(names, "term").join(found, "no").select("query", "no", idf.alias("idf")), "lexical-terms")
+    by_bucket = held.groupBy("no", "bucket").agg(F.max("tf").alias("tf"), F.min("len").alias("len"))
+    most = F.sum(F.col("idf") * weight(F.col("tf"), F.col("len"), index.mean_len)).alias("most")
+    heads = staged(by_bucket.join(told, "no").groupBy("query", "bucket").agg(most), "lexical-bounds")
 
     def scores(of: DataFrame) -> DataFrame:
-        rows = index.postings(blocks.join(told, "term").join(of.select("query", "segment", "bucket"), ["query", "segment", "bucket"]))
+        # written first, so that Spark sees their size: a few buckets are sent to all executors and the postings stay
+        # where they are; two pairs with one hash would only add a whole bucket that is not needed
+        pair = F.xxhash64("query", "bucket").alias("pair")
+        few = staged(of.select(pair).distinct(), "lexical-buckets")
+        rows = held.join(told, "no").select("query", "doc", "tf", "len", "idf", pair).join(few, "pair", "left_semi")
         w = F.col("idf") * weight(F.col("tf"), F.col("len"), index.mean_len)
         return rows.groupBy("query", "doc").agg(F.sum(w).alias("score"), F.count("*").alias("matched"))
 
     order = [F.desc(F.round("score", 9)), F.asc("doc")]
-    seeds = top(heads, "query", [F.desc("most"), F.asc("segment"), F.asc("bucket")], SEEDS)
+    seeds = top(heads, "query", [F.desc("most"), F.asc("bucket")], SEEDS)
     least = top(scores(seeds), "query", order, n).where(F.col("rank") == n).select("query", F.col("score").alias("least"))
     reach = heads.join(least, "query", "left").where(F.col("most") >= F.coalesce("least", F.lit(0.0)) - ROUNDING)
     return top(scores(reach), "query", order, n)
