@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOURS = 8760.0
@@ -25,10 +25,10 @@ def valid_rate(rate: Column) -> Column:
     return F.when((rate > 0) & (rate < float("inf")), rate)
 
 
-def scenarios(spark: SparkSession, rows: list[tuple[str, float]]) -> DataFrame:
-    """(scenario, rate_per_hour) with the yearly rate and the mean time to failure."""
-    table = spark.createDataFrame(rows, "scenario string, rate_per_hour double")
-    return table.withColumn("rate_per_year", F.col("rate_per_hour") * HOURS).withColumn("mttf_hours", F.try_divide(F.lit(1.0), F.col("rate_per_hour")))
+def scenarios(rates: DataFrame) -> DataFrame:
+    """rates (scenario, rate_per_hour) with the yearly rate and the mean time to failure; a rate that is not positive and finite has none."""
+    rate = valid_rate(F.col("rate_per_hour"))
+    return rates.withColumn("rate_per_year", rate * HOURS).withColumn("mttf_hours", F.try_divide(F.lit(1.0), rate))
 
 
 def curves(table: DataFrame, rate: str, years: int = YEARS, points: int = POINTS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import once, terms
+from quern.operators import vectors as V
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -47,30 +48,10 @@ def top(df: DataFrame, group: str | list[str], order: list[Column], n: int, rank
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-
-
-def unit(v: Column) -> Column:
-    """A vector over its length, in double precision; null for a zero vector."""
-    double = F.transform(v, lambda x: x.cast("double"))
-    length = F.nullif(F.sqrt(dot(double, double)), F.lit(0.0))
-    # the length is bound once, not computed for each component
-    return F.element_at(F.transform(F.array(length), lambda n: F.transform(v, lambda x: x / n)), 1)
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, n: int, where: str | None = None) -> DataFrame:
-    """(query, vec_id, similarity, rank): exact neighbours by cosine of stated queries (query, q), other than themselves.
-
-    Lengths are divided out before the pairing, so a pair costs one product. Spark sends the
-    queries to all executors while they are small and pairs the two sides in blocks beyond that.
-    """
-    q = queries.withColumn("q", unit(F.col("q")))
-    pairs = vectors.withColumn("embedding", unit(F.col("embedding"))).crossJoin(q).where(F.col("vec_id") != F.col("query"))
-    if where:
-        pairs = pairs.where(where)
-    scored = pairs.select("query", "vec_id", dot(F.col("q"), F.col("embedding")).alias("similarity"))
-    return top(scored, "query", [F.desc(F.round("similarity", 9)), F.asc("vec_id")], n)
+def nearest(queries: DataFrame, vectors: DataFrame, n: int, same: tuple[str, str] | None = None) -> DataFrame:
+    """(query, vec_id, similarity, rank): exact neighbours by cosine of stated queries (query, q), other than themselves; ``same`` names a column of each that must be equal."""
+    index = V.build(V.sane(vectors, "vec_id", "embedding", same[1] if same else None))
+    return index.search(V.sane(queries, "query", "q", same[0] if same else None), n)
 
 
 def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:

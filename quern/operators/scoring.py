@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,18 +101,61 @@ def sample_evenly(rows: DataFrame, keys: list[str], order: list[Column], most: i
     return placed.where((F.col("_n") <= most) | F.array_contains(near, F.col("_i").cast("double"))).drop("_i", "_n")
 
 
-def bootstrap_means(rows: DataFrame, keys: list[str], value: str, place: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(keys, mean, low, high): mean and 2.5 / 97.5 percentiles of resampled means; nulls are left out.
+#: Poisson resampling: a row counts k times in a replicate if its number in [0, PRIME) passes k of these shares.
+PRIME = (1 << 31) - 1
+SHARES = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+BOUNDS = np.array([math.floor(s * PRIME) for s in SHARES])
+
+
+def resample_counts(place: np.ndarray, replicates: int, seed: int) -> np.ndarray:
+    """How often each row (by its place, a whole number) counts in each replicate; the same wherever and however often it is worked out."""
+    r, place = np.arange(replicates, dtype=np.int64)[None, :], (np.abs(place.astype(np.int64)) % PRIME)[:, None]
+    a = (place * 16807 % PRIME + r * 48271 + seed) % PRIME
+    b = (a * a + r) % PRIME
+    c = (b * 69621 + place) % PRIME
+    d = (c * c + b) % PRIME
+    return np.searchsorted(BOUNDS, d, side="right")
+
+
+def bootstrap_means(rows: DataFrame, keys: list[str], value: str, place: str, replicates: int = 20_000, seed: int = 42) -> DataFrame:
+    """(keys, mean, n_valid, low, high): mean and 2.5 / 97.5 percentiles of resampled means; nulls are left out.
 
-    Slot s of replicate r draws the row whose place is a hash of (seed, r, s) mod n.
+    Rows count by Poisson numbers of mean one drawn from (place, replicate), so every partition
+    resamples its own rows and sends one pair of sums a key and replicate; no row is written out
+    for a draw and no key is gathered. A replicate that draws nothing has no mean.
     """
     good = rows.where(F.col(value).isNotNull())
-    n = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    placed = good.withColumn("_at", (F.row_number().over(n.orderBy(place)) - 1).cast("long")).withColumn("_n", F.count("*").over(n)).select(*keys, "_at", "_n", F.col(value).alias("_v"))
-    slots = placed.select(*keys, "_n", F.col("_at").alias("_s")).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), "_r", "_s").cast("binary"))
-    drawn = slots.withColumn("_at", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_n"))
-    means = drawn.join(placed.drop("_n"), [*keys, "_at"]).groupBy(*keys, "_r").agg(F.avg("_v").alias("m"))
+    taken = good.select(*keys, F.col(place).cast("long").alias("_p"), F.col(value).cast("double").alias("_v"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in taken.schema.fields[: len(keys)])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, total in held.items():
+                columns = [pa.array([k] * replicates, taken_types[i]) for i, k in enumerate(key)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(replicates, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=[*keys, "_r", "_s", "_w"])
+            held.clear()
+
+        taken_types = []
+        for batch in batches:
+            taken_types = batch.schema.types[: len(keys)]
+            key = list(zip(*(c.to_pylist() for c in batch.columns[: len(keys)]), strict=True)) if keys else [()] * batch.num_rows
+            p, v = batch.column(len(keys)).fill_null(0).to_numpy(), batch.column(len(keys) + 1).to_numpy()
+            at: dict[tuple, list[int]] = {}
+            for i, k in enumerate(key):
+                at.setdefault(k, []).append(i)
+            for k, where in at.items():
+                if k not in held and len(held) == 64:
+                    yield from flush()
+                total = held.setdefault(k, np.zeros((2, replicates)))
+                for i in range(0, len(where), 64):
+                    part = where[i : i + 64]
+                    n = resample_counts(p[part], replicates, seed)
+                    total += np.stack([v[part] @ n, n.sum(0)])
+        yield from flush()
+
+    means = taken.mapInArrow(sums, f"{kinds + ', ' if kinds else ''}_r int, _s double, _w double").groupBy(*keys, "_r").agg(F.try_divide(F.sum("_s"), F.sum("_w")).alias("m"))
     bounds = means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     whole = good.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("n_valid"))
     return whole.join(bounds, keys) if keys else whole.join(bounds)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import detect as D
 from quern.operators import reliability as REL
 from quern.operators import scoring as S
+from quern.operators.journal import numbered
 from quern.plans.base import Plan
 from quern.sources.tables import table
 
@@ -39,10 +40,13 @@ def order_stat_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "n", "rank", F.round("threshold", 8).alias("threshold"), F.round("effective", 6).alias("effective"), F.round("resolution", 6).alias("resolution"), "is_max")
 
 
-@plan.query("select p as percent, case when p < 100 then ceil(round((p / 100 - 2) / (p / 100 - 1), 9)) end::bigint as least from (select unnest([99.9, 99.5, 99.0, 95.0, 90.0, 50.0, 100.0])::double as p)")
+@plan.query("""with n as (select lang, count(*) as n from documents group by lang), p as (select unnest([99.9, 99.5, 99.0, 95.0, 90.0, 50.0, 100.0])::double as p)
+select lang, p as percent, case when p < 100 then ceil(round((p / 100 - 2) / (p / 100 - 1), 9)) end::bigint as least, n, p < 100 and n >= ceil(round((p / 100 - 2) / nullif(p / 100 - 1, 0), 9)) as enough from n, p""")
 def min_n_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in (99.9, 99.5, 99.0, 95.0, 90.0, 50.0, 100.0)], "percent double")
-    return rows.select("percent", S.least_rows(F.col("percent")).alias("least"))
+    """For each language and percentile, how many documents a threshold needs and whether there are enough."""
+    percents = F.explode(F.array(*[F.lit(p) for p in (99.9, 99.5, 99.0, 95.0, 90.0, 50.0, 100.0)])).alias("percent")
+    n = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", percents).withColumn("least", S.least_rows(F.col("percent")))
+    return n.select("lang", "percent", "least", "n", F.coalesce(F.col("n") >= F.col("least"), F.lit(False)).alias("enough"))
 
 
 CONF = THR + """, t as (select lang, score as thr from o where place = ceil((n - 1) * 90.0 / 100) + 1),
@@ -108,26 +112,27 @@ def roc_curve_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sample_evenly(steps.select("lang", "score", "tp", "fp"), ["lang"], [F.desc("score")], 101).select("lang", F.round("score", 8).alias("score"), "tp", "fp")
 
 
-BOOT = """b as (select o.{k}, r, unnest_s as s, n from (select {k}, count(*) as n from o group by {k}) o, (select unnest(range(200)) as r), (select unnest(range(1000)) as unnest_s) where unnest_s < n),
-d as (select {k}, r, ('0x' || substr(md5('42|' || r || '|' || s), 1, 8))::bigint % n as pos from b),
-m as (select {k}, r, avg(v) as m from d join o using ({k}, pos) group by all),
+BOOT = """x0 as (select o.{k}, v, r, pos % 2147483647 as p, (pos % 2147483647 * 16807 % 2147483647 + r * 48271 + 42) % 2147483647 as a from o, (select unnest(range(20000)) as r) where v is not null),
+x1 as (select *, (a * a + r) % 2147483647 as b from x0), x2 as (select *, (b * 69621 + p) % 2147483647 as c from x1),
+x3 as (select {k}, r, v, (c * c + b) % 2147483647 as h from x2), w as (select {k}, r, v, """ + " + ".join(f"(h >= {b})::int" for b in S.BOUNDS) + """ as n from x3),
+m as (select {k}, r, sum(v * n) / nullif(sum(n), 0) as m from w group by all),
 q as (select {k}, quantile_cont(m, 0.025) as low, quantile_cont(m, 0.975) as high from m group by {k}),
-a as (select {k}, avg(v) as mean, count(*) as n_valid from o group by {k})
+a as (select {k}, avg(v) as mean, count(*) as n_valid from o where v is not null group by {k})
 """
-USERS = "with u as (select event_type, user_id, avg(value) as v from events group by all), o as (select event_type, v, row_number() over (partition by event_type order by user_id) - 1 as pos from u), "
+USERS = "with u as (select event_type, user_id, avg(value) as v from events group by all), o as (select event_type, v, user_id as pos from u), "
 
 
 @plan.query(USERS + BOOT.format(k="event_type") + "select event_type, round(mean, 6) as mean, n_valid, round(low, 6) as low, round(high, 6) as high from a join q using (event_type)")
 def bootstrap_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("v"))
-    out = S.bootstrap_means(users, ["event_type"], "v", "user_id", 200)
+    out = S.bootstrap_means(users, ["event_type"], "v", "user_id")
     return out.select("event_type", F.round("mean", 6).alias("mean"), "n_valid", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@plan.query("with u as (select user_id, avg(value) filter (event_type = 'click') - avg(value) filter (event_type = 'purchase') as v from events group by user_id), o as (select 1 as g, v, row_number() over (order by user_id) - 1 as pos from u where v is not null), " + BOOT.format(k="g") + "select n_valid, round(mean, 6) as mean, round(low, 6) as low, round(high, 6) as high, case when low > 0 then 'survives' when high < 0 then 'does_not_survive' else 'inconclusive' end as verdict from a join q using (g)")
+@plan.query("with u as (select user_id, avg(value) filter (event_type = 'click') - avg(value) filter (event_type = 'purchase') as v from events group by user_id), o as (select 1 as g, v, user_id as pos from u), " + BOOT.format(k="g") + "select n_valid, round(mean, 6) as mean, round(low, 6) as low, round(high, 6) as high, case when low > 0 then 'survives' when high < 0 then 'does_not_survive' else 'inconclusive' end as verdict from a join q using (g)")
 def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "purchase"]).agg(F.avg("value"))
-    out = S.bootstrap_means(wide.withColumn("v", F.col("click") - F.col("purchase")).withColumn("g", F.lit(1)), ["g"], "v", "user_id", 200)
+    out = S.bootstrap_means(wide.withColumn("v", F.col("click") - F.col("purchase")).withColumn("g", F.lit(1)), ["g"], "v", "user_id")
     return out.select("n_valid", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), S.verdict(F.col("low"), F.col("high")).alias("verdict"))
 
 
@@ -153,12 +158,19 @@ def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("k", "percent", "fp", "tp", F.round(F.col("fp") / F.col("h"), 6).alias("fpr"))
 
 
-@plan.query("""with e as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events), p as (select user_id, value, row_number() over (partition by user_id order by i) as k from e where i > 20)
-select case when k <= 7 then 'transition' else 'sustained' end as cohort, count(*) as n, count(distinct user_id) as users, round(avg(value), 6) as mean from p group by 1""")
+@plan.query("""with e as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events),
+c as (select *, unnest(case when i <= 20 then ['healthy', 'current_full', 'post_fault_reset'] when i <= 27 then ['current_full', 'transition', 'post_fault_reset'] else ['current_full', 'sustained', 'post_fault_reset'] end) as cohort,
+  avg(value) over (partition by user_id order by i rows between 7 preceding and current row) as running, avg(value) over (partition by user_id, i > 20 order by i rows between 7 preceding and current row) as reset from e)
+select cohort, count(*) as n, count(distinct user_id) as users, round(avg(case when cohort = 'post_fault_reset' then reset else running end), 6) as mean from c group by cohort""")
 def ablation_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    post = table(spark, sf_dir, "events").select("user_id", "value", F.row_number().over(w).alias("i")).where("i > 20").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("i")))
-    return post.groupBy(F.when(F.col("k") <= 7, "transition").otherwise("sustained").alias("cohort")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
+    """Every event in its cohorts: the first 20 of a user are healthy, the next seven transition, later ones sustained; the score is a mean of eight that runs on, or starts anew after the fault."""
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    last = lambda *by: F.avg("value").over(Window.partitionBy("user_id", *by).orderBy("i").rowsBetween(-7, 0))
+    e = table(spark, sf_dir, "events").select("user_id", "value", i.alias("i")).withColumn("post", F.col("i") > 20)
+    own = F.when(~F.col("post"), "healthy").when(F.col("i") <= 27, "transition").otherwise("sustained")
+    rows = e.withColumn("running", last()).withColumn("reset", last("post")).select("user_id", "running", "reset", F.explode(F.array(own, F.lit("current_full"), F.lit("post_fault_reset"))).alias("cohort"))
+    score = F.when(F.col("cohort") == "post_fault_reset", F.col("reset")).otherwise(F.col("running"))
+    return rows.groupBy("cohort").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg(score), 6).alias("mean"))
 
 
 CROSS = """with m as (select median(value) as thr from events), e as (select user_id, value > thr as c, row_number() over (partition by user_id order by ts, event_id) as i from events, m),
@@ -249,37 +261,40 @@ def anchor_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 select event_id, fault from h join f on i % m = j""")
 def modulo_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    # one window for the whole list: the pairing is positional by contract; both lists are ids only
-    h = e.where("event_type = 'click'").select("event_id", (F.row_number().over(Window.orderBy("event_id")) - 1).alias("i"))
-    f = e.where("event_type = 'purchase'").select(F.col("event_id").alias("fault"), (F.row_number().over(Window.orderBy("event_id")) - 1).alias("j"))
+    h = numbered(e.where("event_type = 'click'").select("event_id"), [F.asc("event_id")])
+    f = numbered(e.where("event_type = 'purchase'").select(F.col("event_id").alias("fault")), [F.asc("fault")])
     m = f.count()
-    return h.withColumn("j", F.col("i") % F.lit(max(m, 1))).join(f, "j").select("event_id", "fault")
+    return h.withColumn("place", (F.col("place") - 1) % F.lit(max(m, 1)) + 1).join(f, "place").select("event_id", "fault")
 
 
-@plan.query("""with e2 as (select event_type as model, avg(value) as e2 from events where user_id % 2 = 0 group by 1), e3 as (select event_type as model, user_id, avg(value) as recall from events where user_id % 2 = 1 group by all)
+@plan.query("""with e2 as (select event_type as model, avg(value) as e2 from events group by 1), e3 as (select event_type as model, user_id, avg(value) as recall from events group by all)
 select e2.model, count(recall) as n, round(min(recall), 6) as low, round(max(recall), 6) as high, case when count(recall) = 0 then 'missing' when max(e2) between min(recall) and max(recall) then 'inside' else 'outside' end as status from e2 left join e3 using (model) group by e2.model""")
 def fidelity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    e2 = e.where("user_id % 2 = 0").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("e2"))
-    e3 = e.where("user_id % 2 = 1").groupBy(F.col("event_type").alias("model"), "user_id").agg(F.avg("value").alias("recall"))
+    e2 = e.groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("e2"))
+    e3 = e.groupBy(F.col("event_type").alias("model"), "user_id").agg(F.avg("value").alias("recall"))
     g = e3.groupBy("model").agg(F.count("recall").alias("n"), F.min("recall").alias("lo"), F.max("recall").alias("hi"))
     status = F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("e2").between(F.col("lo"), F.col("hi")), "inside").otherwise("outside")
     return e2.join(g, "model", "left").select("model", F.coalesce("n", F.lit(0)).alias("n"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"), status.alias("status"))
 
 
-# Illustrative failure rates per hour, and part scores from the part table.
-RATES = [("capacitor", 2.1e-6), ("switch", 5.4e-6), ("relay", 8.7e-7), ("board", 1.2e-6), ("fan", 1.1e-5), ("inverter", 2.6e-5)]
-RATE_SQL = ", ".join(f"('{n}', {r!r}::double)" for n, r in RATES)
+RATE_SQL = "rt as (select p_brand as s, avg(p_size) * 1e-7 as r from part group by p_brand)"
 
 
-@plan.query(f"select s as scenario, round(r * 8760.0, 10) as rate_per_year, round(1.0 / r, 4) as mttf_hours from (values {RATE_SQL}) t(s, r)")
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A failure rate per hour for each brand of parts: larger ones fail more often."""
+    sizes = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("scenario")).agg(F.avg("p_size").alias("size"))
+    return REL.scenarios(sizes.select("scenario", (F.col("size") * 1e-7).alias("rate_per_hour")))
+
+
+@plan.query(f"with {RATE_SQL} select s as scenario, round(r * 8760.0, 10) as rate_per_year, round(1.0 / r, 4) as mttf_hours from rt")
 def scenario_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return REL.scenarios(spark, RATES).select("scenario", F.round("rate_per_year", 10).alias("rate_per_year"), F.round("mttf_hours", 4).alias("mttf_hours"))
+    return rates(spark, sf_dir).select("scenario", F.round("rate_per_year", 10).alias("rate_per_year"), F.round("mttf_hours", 4).alias("mttf_hours"))
 
 
-@plan.query(f"with x as (select s, r, k, k * 0.05::double as y from (values {RATE_SQL}) t(s, r), (select unnest(range(401)) as k)) select s as scenario, k as step, round(exp(-r * (y * 8760.0)), 8) as reliability, round(1 - exp(-r * (y * 8760.0)), 8) as failure, round(r * exp(-r * (y * 8760.0)), 12) as density from x")
+@plan.query(f"with {RATE_SQL}, x as (select s, r, k, k * 0.05::double as y from rt, (select unnest(range(401)) as k)) select s as scenario, k as step, round(exp(-r * (y * 8760.0)), 8) as reliability, round(1 - exp(-r * (y * 8760.0)), 8) as failure, round(r * exp(-r * (y * 8760.0)), 12) as density from x")
 def reliability_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = REL.curves(REL.scenarios(spark, RATES), "rate_per_hour")
+    c = REL.curves(rates(spark, sf_dir), "rate_per_hour")
     return c.select("scenario", "step", F.round("reliability", 8).alias("reliability"), F.round("failure", 8).alias("failure"), F.round("density", 12).alias("density"))
 
 

@@ -55,10 +55,10 @@ def journal_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.state_of(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id").select("user_id", "event_type", "event_id")
 
 
-@plan.query("""with s as (select user_id as session, min(ts)::date as day, count(*) as interactions, sum(length(props))::bigint as n_chars from events where event_type = 'click' group by user_id)
+@plan.query("""with s as (select user_id as session, min(ts)::date as day, count(*) as interactions, sum(length(props))::bigint as n_chars from events group by user_id)
 select session, (interactions >= 15 or date_diff('day', day, date '2024-01-10') >= 3) and n_chars > 200 as due from s""")
 def consolidation_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "events").where("event_type = 'click'").groupBy(F.col("user_id").alias("session")).agg(F.min("ts").cast("date").alias("day"), F.count("*").alias("interactions"), F.sum(F.char_length("props")).alias("n_chars"))
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.min("ts").cast("date").alias("day"), F.count("*").alias("interactions"), F.sum(F.char_length("props")).alias("n_chars"))
     return J.to_consolidate(s, F.lit("2024-01-10").cast("date")).select("session", "due")
 
 

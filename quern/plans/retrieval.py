@@ -118,7 +118,7 @@ r as (select *, row_number() over (partition by query order by round(sim, 9) des
 
 
 def neighbours_of(spark: SparkSession, sf_dir: str, n: int, same_label: bool = False) -> DataFrame:
-    hits = R.nearest(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), n, "label = q_label" if same_label else None)
+    hits = R.nearest(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), n, ("q_label", "label") if same_label else None)
     return hits.withColumnRenamed("similarity", "sim")
 
 

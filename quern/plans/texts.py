@@ -183,9 +183,9 @@ def manifest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.artefact_states(old, new)
 
 
-@plan.query("""with h as (select doc_id as id, sha256(text) as h from documents), o as (select id, h from h where id % 3 <> 0), n as (select id, case when id % 5 = 0 then sha256(h) else h end as h from h where id % 7 <> 0)
+@plan.query("""with h as (select doc_id as id, sha256(text) as h from documents), o as (select id, h from h where id % 3 <> 0 or id % 7 = 0), n as (select id, case when id % 5 = 0 then sha256(h) else h end as h from h where id % 7 <> 0)
 select id, case when id % 11 = 0 then 'keep' when o.h = n.h then 'keep' when o.h is null then 'insert' when n.h is null then 'delete' else 'update' end as action from o full join n using (id)""")
 def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"))
     new = h.where("id % 7 <> 0").withColumn("hash", F.when(F.col("id") % 5 == 0, F.sha2("hash", 256)).otherwise(F.col("hash")))
-    return snapshots.sync(h.where("id % 3 <> 0"), new, h.where("id % 11 = 0"))
+    return snapshots.sync(h.where("id % 3 <> 0 or id % 7 = 0"), new, h.where("id % 11 = 0"))
