@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -109,31 +109,31 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
 
 
-def fit_dense(rows: DataFrame, vector: str, check: Column, size: int, seeds: list[int], rounds: int = 15, patience: int = 20) -> dict[int, tuple[DenseAutoencoder, float]]:
-    """A model for each seed and its least loss on the rows held for ``check``.
+def fit_dense(rows: DataFrame, vector: str, check: Column, size: int, seeds: list[int], rounds: int = 15, patience: int = 20, make: Callable = DenseAutoencoder, passes: int = 1) -> dict[int, tuple]:
+    """A model made by make(size, seed) for each seed and its least loss on the rows held for ``check``.
 
-    Every round each partition takes steps over its own rows from the shared parameters, and the
+    Every round each partition takes steps, in ``passes``, over its own rows from the shared parameters, and the
     parameters become the mean of the partitions', weighted by rows; only these means, a few thousand
     numbers a seed, come to the driver. Vectors of another length, or with a null, teach nothing.
     The parameters of the best round are kept, and a seed that has not improved for ``patience`` rounds ends it.
     """
     usable = rows.where(whole(vector, size))
     dealt = usable.select(F.coalesce(check, F.lit(False)).alias("check"), vector)
-    models = {s: DenseAutoencoder(size, s) for s in seeds}
+    models = {s: make(size, s) for s in seeds}
     best = {s: (np.inf, m.parameters(), 0) for s, m in models.items()}
     for turn in range(rounds + 1):
         shared = {s: m.parameters() for s, m in models.items()}
 
         def local(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            here = {s: DenseAutoencoder(size, s + 1000 * turn).set_parameters(p) for s, p in shared.items()}
-            asked = {s: DenseAutoencoder(size, s).set_parameters(p) for s, p in shared.items()}
+            here = {s: make(size, s + 1000 * turn).set_parameters(p) for s, p in shared.items()}
+            asked = {s: make(size, s).set_parameters(p) for s, p in shared.items()}
             state = {s: [(np.zeros_like(p), np.zeros_like(p)) for p in (*m.w, *m.b)] for s, m in here.items()}
             steps, loss, learned, checked = dict.fromkeys(here, 0), dict.fromkeys(here, 0.0), 0, 0
             for batch in batches:
                 x, held = matrix(batch.column(1)) if batch.num_rows else np.zeros((0, size)), batch.column(0).to_numpy(zero_copy_only=False)
                 for s, m in here.items():
                     loss[s] += float(asked[s].errors(x[held]).mean(1).sum())
-                    if turn < rounds:
+                    for _ in range(passes if turn < rounds else 0):
                         steps[s] = m.learn(x[~held], state[s], steps[s])
                 learned, checked = learned + int((~held).sum()), checked + int(held.sum())
             for s, m in here.items():
@@ -167,3 +167,17 @@ def mean_scores(rows: DataFrame, vector: str, models: dict[int, DenseAutoencoder
     usable = rows.where(whole(vector, size))
     parts = usable.select(vector).mapInArrow(scored, "seed int, total double, n long")
     return parts.groupBy("seed").agg((F.sum("total") / F.sum("n")).alias("score"))
+
+
+def sequence_scores(rows: DataFrame, keys: list[str], vector: str, model, size: int, k: int = 5) -> DataFrame:
+    """(keys, score): the mean of the k largest squared errors of each usable row under one model."""
+    usable = rows.where(whole(vector, size)).select(*keys, vector)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                e = np.sort(model.errors(matrix(batch.column(len(keys)))), 1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(e[:, -k:].mean(1))], names=[*keys, "score"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in usable.schema.fields[: len(keys)]) + ", score double"
+    return usable.mapInArrow(scored, schema)

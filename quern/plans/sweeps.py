@@ -1,13 +1,17 @@
-"""Severity sweeps over the embeddings as waves, under thresholds set on healthy ones."""
+"""Severity sweeps over the embeddings as waves, and the recurrent model over cycle windows, under thresholds set on healthy ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import models as M
 from quern.operators import scoring as S
+from quern.operators import signal as G
 from quern.operators import sweep as W
+from quern.operators.recurrent import LENGTH, RecurrentAutoencoder
 from quern.plans.base import Plan
+from quern.plans.signals import cycles
 from quern.sources.tables import spread, table
 
 plan = Plan()
@@ -51,3 +55,26 @@ def detectability_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = W.detectability(swept(spark, sf_dir))
     return out.select("injection", "model", "n", "n_detected", F.round("share", 6).alias("share"), "censored", F.round("median", 6).alias("median"))
+
+
+def window_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_suppkey, window, sequence): the standardised features of a supplier's last eight windows, the first one repeated at the head, flat."""
+    price, qty = F.col("l_extendedprice"), F.col("l_quantity")
+    f = cycles(spark, sf_dir).groupBy("l_suppkey", "window").agg(F.percentile(price, 0.5).alias("f0"), G.iqr(price).alias("f1"), G.rms(qty).alias("f2"), F.stddev_pop(qty).alias("f3"), F.avg("l_discount").alias("f4"), F.avg("l_tax").alias("f5"))
+    names = [f"f{i}" for i in range(6)]
+    fitted = f.agg(*[x for n in names for x in (F.avg(n).alias(f"m{n}"), F.stddev_pop(n).alias(f"s{n}"))]).first()  # two numbers a feature
+    scaled = F.array(*[(F.col(n) - F.lit(fitted[f"m{n}"])) / F.lit(fitted[f"s{n}"] or 1.0) for n in names])
+    rows = G.causal_sequence(f.select("l_suppkey", "window", scaled.alias("row")), ["l_suppkey"], "window", "row", LENGTH)
+    return rows.select("l_suppkey", "window", F.flatten("sequence").alias("sequence"))
+
+
+@plan.query()
+def recurrent_autoencoder_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recurrent model learned from four in five suppliers; every window's score, its threshold from the fifth's, and whether it is crossed."""
+    rows = spread(window_sequences(spark, sf_dir), "l_suppkey")
+    size, held = 6 * LENGTH, F.col("l_suppkey") % 5 == 0
+    model, _ = M.fit_dense(rows, "sequence", held, size, [42], rounds=8, make=RecurrentAutoencoder, passes=4)[42]
+    scores = M.sequence_scores(rows, ["l_suppkey", "window"], "sequence", model, size)
+    limit = S.order_threshold(scores.where(held).withColumn("g", F.lit(1)), ["g"], "score", 99.0).first()
+    threshold = F.lit(limit["threshold"] if limit else None).cast("double")
+    return scores.select("l_suppkey", "window", "score", threshold.alias("threshold"), (F.col("score") > threshold).alias("detected"))
