@@ -7,9 +7,13 @@ cosine in double precision, across the borders of partitions too. Passes draw ot
 projections; the verified pairs of all passes are united.
 
 How many passes: two vectors at the wanted cosine meet in a pass if their leading
-log2(n / window) signs agree, so the passes follow from the number of vectors and from
-MISSED. They run in halves, and more follow while a half still joins more than one in
-twenty of the components that it could, as in dense groups, which need more passes.
+log2(n / window) signs agree, so a first number of passes follows from the number of
+vectors and from MISSED. Dense regions need more. So passes go on in halves while a half
+still joins more than one in twenty of the components that it could, or while the vectors
+that were linked in one pass only, against those in two, tell that more than UNSEEN of
+the vectors that are hard to link (linked in a quarter of the passes or fewer) are linked
+in none (Chao's estimate): easy pairs, linked in most passes, do not count there, so they
+do not hide hard ones. At MOST_TIMES the first number the passes end.
 
 The window bounds what a pass compares and not what is counted: inside each component
 links are counted whole. Members so near to its mean that any two of them must be
@@ -44,9 +48,11 @@ WINDOW = 16
 BITS = 48
 MISSED = 0.001  # share of pairs at the wanted cosine that may meet in no pass
 LEAST_PASSES = 8
+UNSEEN = 0.02  # share of the vectors that are hard to link that may be linked in no pass, by estimate
+MOST_TIMES = 5
 SEED = 11
 BLOCK = 4096
-SEAM = "a long, b long, part long, place int, size int, pass int, v array<double>"
+SEAM = "a long, b long, part long, place int, size int, pass int, v array<{}>"
 
 
 def passes_for(n: int, window: int = WINDOW, cosine: float = COSINE, missed: float = MISSED) -> int:
@@ -110,7 +116,7 @@ def keyed(first: int, passes: int, mean: np.ndarray):
 
 
 def links_of(ids: list[int], x: np.ndarray, window: int, cosine: float) -> tuple[list[int], list[int]]:
-    """Links of neighbours in an order, thinned to one tree for each linked run."""
+    """Links of neighbours in an order, thinned to one tree for each linked run; every linked id is in some link."""
     parent = list(range(len(ids)))
 
     def root(i: int) -> int:
@@ -133,7 +139,7 @@ def links_of(ids: list[int], x: np.ndarray, window: int, cosine: float) -> tuple
 def windows(window: int, cosine: float):
     """mapInArrow function over a sorted partition: its links, and its first and last rows for the seams."""
 
-    def rows(a=(), b=(), part=None, places=(), size=None, turn=None, v=None) -> pa.RecordBatch:
+    def rows(kind, a=(), b=(), part=None, places=(), size=None, turn=None, v=None) -> pa.RecordBatch:
         n = max(len(a), len(places))
         none = lambda t: pa.nulls(n, t)
         columns = [
@@ -142,8 +148,8 @@ def windows(window: int, cosine: float):
             none(pa.int64()) if part is None else pa.array([part] * n, pa.int64()),
             none(pa.int32()) if part is None else pa.array(places, pa.int32()),
             none(pa.int32()) if part is None else pa.array([size] * n, pa.int32()),
-            none(pa.int32()) if part is None else pa.array([turn] * n, pa.int32()),
-            none(pa.list_(pa.float64())) if part is None else v,
+            pa.array([turn] * n, pa.int32()),
+            none(kind) if part is None else v,
         ]
         return pa.RecordBatch.from_arrays(columns, names=["a", "b", "part", "place", "size", "pass", "v"])
 
@@ -157,15 +163,15 @@ def windows(window: int, cosine: float):
                 ids, x, v = run.column(3).to_pylist(), unit(matrix(run.column(4))), run.column(4)
                 if seen < window:  # the first rows of the partition
                     n = min(window - seen, len(ids))
-                    yield rows(ids[:n], part=part, places=list(range(seen, seen + n)), size=here[0], turn=here[1], v=v[:n])
+                    yield rows(v.type, ids[:n], part=part, places=list(range(seen, seen + n)), size=here[0], turn=here[1], v=v[:n])
                 seen += len(ids)
                 if kind == here:
                     ids, x, v = last_ids + ids, np.concatenate([last_x, x]), pa.concat_arrays([last_v, v])
-                yield rows(*links_of(ids, x, window, cosine))
+                yield rows(v.type, *links_of(ids, x, window, cosine), turn=here[1])
                 kind, last_ids, last_x, last_v = here, ids[-window:], x[-window:], v[-window:]
         if kind:
             n = len(last_ids)
-            yield rows(last_ids, part=part, places=list(range(-n, 0)), size=kind[0], turn=kind[1], v=last_v)
+            yield rows(last_v.type, last_ids, part=part, places=list(range(-n, 0)), size=kind[0], turn=kind[1], v=last_v)
 
     return compare
 
@@ -181,16 +187,26 @@ def seams(found: DataFrame, window: int, cosine: float) -> DataFrame:
     def across(group: pa.Table) -> pa.Table:
         group = group.sort_by([("part", "ascending"), ("place", "ascending")])
         a, b = links_of(group.column("a").to_pylist(), unit(matrix(group.column("v"))), window, cosine)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        turn = group.column("pass")[0].as_py()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "pass": pa.array([turn] * len(a), pa.int32())})
 
-    return edge.groupBy("border", "size", "pass").applyInArrow(across, "a long, b long")
+    return edge.groupBy("border", "size", "pass").applyInArrow(across, "a long, b long, pass int")
 
 
 def half_links(folded: DataFrame, first: int, passes: int, mean: np.ndarray, window: int, cosine: float) -> DataFrame:
-    order = folded.select("id", "v").mapInArrow(keyed(first, passes, mean), "size int, pass int, code long, id long, v array<double>")
+    """(a, b, pass): links found in these passes, each at least once."""
+    kind = folded.schema["v"].dataType.elementType.simpleString()
+    order = folded.select("id", "v").mapInArrow(keyed(first, passes, mean), f"size int, pass int, code long, id long, v array<{kind}>")
     ordered = order.repartitionByRange("size", "pass", "code", "id").sortWithinPartitions("size", "pass", "code", "id")
-    found = stage(ordered.mapInArrow(windows(window, cosine), SEAM), "vector-pass")
-    return found.where("part is null").select("a", "b").union(seams(found, window, cosine))
+    found = stage(ordered.mapInArrow(windows(window, cosine), SEAM.format(kind)), "vector-pass")
+    return found.where("part is null").select("a", "b", "pass").union(seams(found, window, cosine))
+
+
+def unseen(seen: DataFrame, passes: int) -> tuple[float, int]:
+    """Of vectors seen (id, pass) linked: how many more there are by Chao's estimate, and how many are hard to link."""
+    often = seen.groupBy("id").agg(F.count("*").alias("n"))
+    r = often.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"), F.count_if(F.col("n") <= max(2, passes // 4)).alias("hard")).first()
+    return r["once"] * (r["once"] - 1) / (2 * (r["twice"] + 1)), r["hard"]
 
 
 def counter(cosine: float):
@@ -232,7 +248,7 @@ def link_counts(placed: DataFrame, cosine: float) -> DataFrame:
     double = "component_id long, place int, total double"
     totals = placed.select("component_id", "v").mapInArrow(component_sums, double).groupBy("component_id", "place").agg(F.sum("total").alias("total"))
     middle = totals.groupBy("component_id").agg(F.array_sort(F.collect_list(F.struct("place", "total"))).alias("m")).select("component_id", F.col("m.total").alias("m"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, x: s + x)
     # two vectors within half the angle of the mean are within the angle of each other; the margin is for rounding
     near = math.cos(math.acos(cosine) / 2) + 1e-9
     is_core = F.coalesce(dot(F.col("v"), F.col("m")) >= near * F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("m"), F.col("m"))), F.lit(False))
@@ -255,7 +271,9 @@ def link_counts(placed: DataFrame, cosine: float) -> DataFrame:
 
 def near_vectors(table: DataFrame, cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of table (vec_id, embedding)."""
-    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # single-precision components stay so while they move; all sums are in double precision
+    narrow = dict(table.dtypes)["embedding"] == "array<float>"
+    rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if narrow else "array<double>").alias("v"))
     whole = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     usable = F.coalesce(whole & F.col("vec_id").isNotNull(), F.lit(False))
     folded = stage(rows.where(usable).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("k", F.xxhash64("v")), "vectors")
@@ -264,15 +282,20 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, passes: int | None =
     if n:
         for r in folded.where(F.size("v") == common["size"]).select("v").mapInArrow(means, "place int, total double").groupBy("place").agg(F.sum("total").alias("t")).collect():  # one row a component of a vector
             mean[r["place"]] = r["t"] / n
-    half = -(-(passes or passes_for(n, window, cosine)) // 2)
-    links, rank, turn = None, 0, 0
+    first = passes or passes_for(n, window, cosine)
+    half = -(-first // 2)
+    links, seen, rank, turn = None, None, 0, 0
     while True:
-        found = half_links(folded, turn * half, half, mean, window, cosine)
-        links = stage((found if links is None else links.union(found)).where("a <> b").distinct(), "vector-links")
+        found = stage(half_links(folded, turn * half, half, mean, window, cosine).where("a <> b"), "vector-found")
+        pairs = found.select("a", "b")
+        links = stage((pairs if links is None else links.union(pairs)).distinct(), "vector-links")
+        ends = found.select(F.col("a").alias("id"), "pass").union(found.select("b", "pass")).distinct()
+        seen = stage(ends if seen is None else seen.union(ends), "vector-seen")
         parts = stage(connected(links), "vector-parts")
         linked = parts.agg(F.count("*") - F.count_distinct("component_id")).first()[0]
         turn += 1
-        if turn > 1 and (linked - rank) * 20 <= linked:
+        missing, hard = unseen(seen, turn * half)
+        if turn > 1 and ((linked - rank) * 20 <= linked and missing <= 1 + UNSEEN * (hard + missing) or turn * half >= MOST_TIMES * first):
             break
         rank = linked
     counts = link_counts(folded.join(parts, "id").select("component_id", "id", "k", "n", "v"), cosine)

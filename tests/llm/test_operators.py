@@ -458,6 +458,31 @@ def test_vector_windows_cross_partitions(spark):
     assert links[1] == links[40] and len(links[1]) > 100
 
 
+def cone_table(n_easy, n_cone, n_hard, size=64, seed=8):
+    """Easy pairs at cosine 0.97 among unlike vectors, and pairs at 0.952 in a cone of mutual cosine 0.8: (vectors, first hard row)."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    def beside(x, cosine):
+        other = rng.standard_normal(x.shape)
+        other = unit(other - (other * x).sum(1, keepdims=True) * x)
+        return cosine * x + np.sqrt(1 - cosine * cosine) * other
+
+    easy = unit(rng.standard_normal((n_easy, size)))
+    axis = unit(rng.standard_normal(size))
+    cone = unit(np.sqrt(0.8) * axis + np.sqrt(0.2) * unit(rng.standard_normal((n_cone, size))))
+    hard = cone[:n_hard]
+    return np.concatenate([easy, beside(easy, 0.97), hard, beside(hard, 0.952), cone[n_hard:]]), 2 * n_easy
+
+
+def test_vectors_hard_pairs_behind_easy_ones(spark):
+    x, at = cone_table(2_000, 4_000, 300)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}).to_pandas())
+    part = {r["vec_id"]: r["component_id"] for r in vectors.near_vectors(df).collect()}
+    assert sum(part[i] == part[i + 2_000] for i in range(2_000)) >= 0.99 * 2_000
+    assert sum(part[at + i] == part[at + 300 + i] for i in range(300)) >= 0.95 * 300
+
+
 def test_vectors_recall_at_the_threshold(spark):
     # 50,000 vectors, 500 planted pairs of cosine 0.95 to 0.96
     rng = np.random.default_rng(22)
