@@ -78,25 +78,37 @@ def simple_paths(edges: DataFrame, starts: DataFrame, hops: int = 3) -> DataFram
 
 
 def ranking_metrics(hits: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(query, recall, precision, hit, mrr, ndcg) at k from hits (query, item, rank) and wanted (query, item).
+    """(query, recall, precision, hit, mrr, ndcg) at k from hits (query, item, rank) and wanted (query, item)."""
+    wanted = wanted.distinct()
+    return counted_metrics(hits.join(wanted, ["query", "item"]), wanted.groupBy("query").agg(F.count("*").alias("need")), k)
+
+
+def counted_metrics(good: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """The same from the good hits alone (query, rank) and how many there could be (query, need): nothing wanted is written out.
 
     Precision divides by k even where fewer were returned; the reciprocal rank is cut at k.
     """
-    need = wanted.distinct().groupBy("query").agg(F.count("*").alias("need"))
-    good = hits.where(F.col("rank") <= k).join(wanted.distinct(), ["query", "item"])
-    got = good.groupBy("query").agg(F.count("*").alias("got"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    got = good.where(F.col("rank") <= k).groupBy("query").agg(F.count("*").alias("got"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("need", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = need.join(got, "query", "left")
+    out = need.where("need > 0").join(got, "query", "left")
     return out.select("query", zero(F.col("got") / F.col("need")).alias("recall"), zero(F.col("got") / k).alias("precision"), zero((F.col("got") > 0).cast("double")).alias("hit"), zero(1 / F.col("first")).alias("mrr"), zero(F.col("dcg") / ideal).alias("ndcg"))
 
 
 def grouped_gains(hits: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(query, recall, dcg) where each evidence group (query, grp, item, relevance) scores once, at its first hit, with gain 2**relevance - 1."""
-    first = hits.where(F.col("rank") <= k).join(groups, ["query", "item"]).groupBy("query", "grp", "relevance").agg(F.min("rank").alias("rank"))
-    need = groups.select("query", "grp").distinct().groupBy("query").agg(F.count("*").alias("need"))
-    got = first.groupBy("query").agg(F.count("*").alias("got"), F.sum((F.pow(F.lit(2.0), "relevance") - 1) / F.log2(F.col("rank") + 1.0)).alias("dcg"))
-    return need.join(got, "query", "left").select("query", F.coalesce(F.col("got") / F.col("need"), F.lit(0.0)).alias("recall"), F.coalesce("dcg", F.lit(0.0)).alias("dcg"))
+    """(query, recall, precision, mrr, dcg, ndcg) at k where each evidence group (query, grp, item, relevance) scores once, at its first hit.
+
+    A group's relevance is the highest of its items and its gain 2**relevance - 1; the ideal order has the most relevant groups first.
+    """
+    gain = (F.pow(F.lit(2.0), "relevance") - 1) / F.log2(F.col("rank") + 1.0)
+    whole = groups.groupBy("query", "grp").agg(F.max("relevance").alias("relevance"))
+    first = hits.where(F.col("rank") <= k).join(groups.select("query", "item", "grp").distinct(), ["query", "item"]).groupBy("query", "grp").agg(F.min("rank").alias("rank"))
+    got = first.join(whole, ["query", "grp"]).groupBy("query").agg(F.count("*").alias("got"), F.min("rank").alias("first"), F.sum(gain).alias("dcg"))
+    best = whole.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("relevance"), "grp")))
+    need = best.groupBy("query").agg(F.count("*").alias("need"), F.sum(F.when(F.col("rank") <= k, gain)).alias("ideal"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = need.join(got, "query", "left")
+    return out.select("query", zero(F.col("got") / F.col("need")).alias("recall"), zero(F.col("got") / k).alias("precision"), zero(1 / F.col("first")).alias("mrr"), zero(F.col("dcg")).alias("dcg"), zero(F.try_divide("dcg", "ideal")).alias("ndcg"))
 
 
 def greedy_assignment(cells: DataFrame, query: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import query_terms
+from quern.sources.shared import staged
 
 
 def last_turns(turns: DataFrame, conv: str, turn: str, n: int) -> DataFrame:
@@ -61,11 +62,20 @@ def recall_memories(queries: DataFrame, memories: DataFrame, n: int) -> DataFram
 
 
 def related(items: DataFrame, least: int, n: int) -> DataFrame:
-    """(item, other, shared, rank): the n items that share the most terms, ``least`` or more."""
+    """(item, other, shared, rank): the n items that share the most terms, ``least`` or more.
+
+    Two items that share so many also share one outside the least - 1 commonest terms of each, so only
+    those meet; what a pair shares is counted from the two lists of terms.
+    """
     t = items.select("item", F.explode(query_terms(F.col("text"), 10_000)).alias("term")).where(F.char_length("term") >= 4)
-    telling = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= 2).select("term")
-    t = t.join(telling, "term")
-    pairs = t.join(t.withColumnRenamed("item", "other"), "term").where("item <> other").groupBy("item", "other").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    telling = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= 2)
+    lists = t.join(telling, "term").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("v"))  # the terms of one item
+    lists = staged(lists.select("item", F.transform("v", lambda x: x["term"]).alias("terms")).where(F.size("terms") >= least), "related-terms")
+    rare = lists.select("item", F.explode(F.slice("terms", F.lit(1), F.size("terms") - (least - 1))).alias("term"))
+    met = rare.join(rare.withColumnRenamed("item", "other"), "term").where("item < other").select("item", "other").distinct()
+    both = met.join(lists.withColumnRenamed("terms", "a"), "item").join(lists.select(F.col("item").alias("other"), F.col("terms").alias("b")), "other")
+    pairs = both.select("item", "other", F.size(F.array_intersect("a", "b")).cast("long").alias("shared")).where(F.col("shared") >= least)
+    pairs = pairs.unionByName(pairs.select(F.col("other").alias("item"), F.col("item").alias("other"), "shared"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("shared"), "other"))).where(F.col("rank") <= n)
 
 

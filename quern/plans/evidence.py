@@ -21,12 +21,12 @@ m as (select need.query, coalesce(got / need::double, 0) as recall, coalesce(got
 
 
 def metrics(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """Neighbour lists of every 20th vector against the vectors of its label."""
-    hits = neighbours_of(spark, sf_dir, 10).select("query", F.col("vec_id").alias("item"), "rank")
+    """Neighbour lists of every 20th vector against the vectors of its label, which are counted and not paired."""
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label")
-    wanted = v.join(q, "label").where("vec_id <> query").select("query", F.col("vec_id").alias("item"))
-    return E.ranking_metrics(hits, wanted, k)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("of"))
+    hits = neighbours_of(spark, sf_dir, 10).join(v.select("vec_id", "label"), "vec_id").join(q, "query")
+    sizes = v.groupBy(F.col("label").alias("of")).agg((F.count("*") - 1).alias("need"))
+    return E.counted_metrics(hits.where("label = of").select("query", "rank"), q.join(sizes, "of").select("query", "need"), k)
 
 
 @plan.query(KNN.format(extra="") + WANT.format(k=5) + "select query, round(recall, 6) as recall, round(precision, 6) as precision, hit, round(ndcg, 6) as ndcg from m")
@@ -48,14 +48,15 @@ def ir_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan.query(RANKED + """, gg as (select r.query, doc as item, rank, source as grp, case when lang = 'en' then 3 else 1 end as relevance from r join documents on doc = doc_id where rank <= 20),
-f as (select query, grp, relevance, min(rank) as rank from gg where rank <= 10 group by all), n as (select query, count(distinct grp) as need from gg group by query),
-t as (select query, count(*) as got, sum((2.0 ** relevance - 1) / log2(rank + 1.0)) as dcg from f group by query)
-select query, round(coalesce(got / need::double, 0), 6) as recall, round(coalesce(dcg, 0), 6) as dcg from n left join t using (query)""")
+wh as (select query, grp, max(relevance) as relevance from gg group by all), f as (select query, grp, min(rank) as rank from gg where rank <= 10 group by all),
+n as (select query, count(*) as need, sum((2.0 ** relevance - 1) / log2(i + 1.0)) filter (i <= 10) as ideal from (select *, row_number() over (partition by query order by relevance desc, grp) as i from wh) group by query),
+t as (select query, count(*) as got, min(rank) as first, sum((2.0 ** relevance - 1) / log2(rank + 1.0)) as dcg from f join wh on f.query = wh.query and f.grp is not distinct from wh.grp group by query)
+select query, round(coalesce(got / need::double, 0), 6) as recall, round(coalesce(got / 10.0, 0), 6) as precision, round(coalesce(1.0 / first, 0), 6) as mrr, round(coalesce(dcg, 0), 6) as dcg, round(coalesce(dcg / ideal, 0), 6) as ndcg from n left join t using (query)""".replace("select query, count(*) as got", "select f.query, count(*) as got").replace("wh.grp group by query)", "wh.grp group by f.query)"))
 def ir_grouped_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("grp"), F.when(F.col("lang") == "en", 3).otherwise(1).alias("relevance"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("")).alias("grp"), F.when(F.col("lang") == "en", 3).otherwise(1).alias("relevance"))
     hits = ranked(spark, sf_dir, 20).join(docs, "doc").withColumnRenamed("doc", "item")
     out = E.grouped_gains(hits.select("query", "item", "rank"), hits.select("query", "item", "grp", "relevance"), 10)
-    return out.select("query", F.round("recall", 6).alias("recall"), F.round("dcg", 6).alias("dcg"))
+    return out.select("query", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "dcg", "ndcg")])
 
 
 @plan.query(KNN.format(extra="") + WANT.format(k=5) + ", m2 as (select query, recall as a, precision * 5 / 8 as b from m) select count(*) as n, count(*) filter (b < a) as regressions, count(*) filter (b > a) as improvements, avg(b) >= avg(a) as promote from m2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.canonical import digest
 from quern.operators import journal as J
 from quern.operators import models as M
 from quern.operators.scoring import top_k_mean
@@ -140,3 +141,10 @@ def dense_autoencoder_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_usage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").isNotNull().alias("measured"))
     return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("n"))))
+
+
+@plan.query("""select event_id, sha256('{"bad":null,"kept":{"a":[1,null,"NaN"],"b":' || event_id || '},"props":' || replace(props, ' ', '') || ',"type":"' || event_type || '"}') as digest from events""")
+def canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as loose JSON, with keys in any order, spaces, and numbers that are none; the digest is of its canonical spelling without its time of reading."""
+    loose = F.concat(F.lit('{ "type": "'), "event_type", F.lit('",\n "read_at": 5, "props": '), "props", F.lit(', "kept": {"b": '), F.col("event_id").cast("string"), F.lit(', "a": [1, -Infinity, "NaN"]}, "bad": NaN }'))
+    return table(spark, sf_dir, "events").select("event_id", digest(loose, ("read_at",)).alias("digest"))
