@@ -52,9 +52,9 @@ def expand(questions: DataFrame, rules: tuple[Rule, ...] = RULES, marks: tuple[s
 
     def work(plain: Column) -> Column:
         has = lambda word: F.contains(plain, F.lit(word))
-        any_of = lambda words: F.lit(False) if not words else _any([has(w) for w in words])
-        review = any_of(marks)
-        fired = [(_all([any_of(g) for g in r.groups]), r) for r in rules]
+        has_any = lambda words: F.lit(False) if not words else any_of([has(w) for w in words])
+        review = has_any(marks)
+        fired = [(all_of([has_any(g) for g in r.groups]), r) for r in rules]
         more = [F.when(hit, strings(r.variations)).otherwise(strings(())) for hit, r in fired]
         words = [F.when(hit, strings(r.terms)).otherwise(strings(())) for hit, r in fired if r.terms]
         broad = list(dict.fromkeys(w.lower() for t in topics for w in t.split() if len(w) > 3))
@@ -71,14 +71,14 @@ def expand(questions: DataFrame, rules: tuple[Rule, ...] = RULES, marks: tuple[s
     return questions.select("query", "text", bound(plain, work).alias("_w")).select("query", "text", "_w.*")
 
 
-def _any(flags: list[Column]) -> Column:
+def any_of(flags: list[Column]) -> Column:
     out = flags[0]
     for f in flags[1:]:
         out = out | f
     return out
 
 
-def _all(flags: list[Column]) -> Column:
+def all_of(flags: list[Column]) -> Column:
     out = flags[0]
     for f in flags[1:]:
         out = out & f

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import query_terms, terms
+from quern.functions.text import query_terms, searchable, terms
 from quern.operators import lexical as X
+from quern.operators import notes as N
 from quern.operators import questions as Q
+from quern.operators import retrieval as R
 from quern.plans.base import Plan
-from quern.plans.retrieval import BM25_CTE, STOPS, TOKENS, kept_index
+from quern.plans.retrieval import BM25_CTE, RANKED, STOPS, TOKENS, kept_index, ranked
 from quern.plans.texts import SEARCH
 from quern.sources.tables import documents, table
 
@@ -109,3 +111,36 @@ def author_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each named author the first five chunks of every file, one of each file in turn."""
     found = Q.author_scan(named(spark, sf_dir), signed(spark, sf_dir).where("author is not null"), 5)
     return Q.spread_by_file(found, 60).select("query", "author", "file", "chunk", "rank", "place")
+
+
+NOTES = RANKED + f""", v as (select q.vec_id as query, v.vec_id as chunk, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as sim, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) desc, v.vec_id) as rank
+  from embeddings q join benchmark on q.vec_id = item_id, embeddings v where v.vec_id <> q.vec_id),
+sg as (select query, chunk, max(s) as s from (select query, doc as chunk, 0.72::double as s from r where rank <= 20 union all select query, chunk, 1.0 / (1.0 + greatest(1.0 - round(sim, 9), 0.0)) from v where rank <= 30) group by all),
+lb as (select doc_id, min(quality) as quality from labels group by doc_id),
+ch as (select d.doc_id as chunk, source as note, text, lang, n_chars, quality from documents d left join lb on d.doc_id = lb.doc_id),
+qs as (select item_id as query, list_distinct({TOLD}) as qt, {_any(MARKS)} as historical from (select *, ' ' || {SEARCH} || ' ' as n from benchmark)),
+ns as (select query, chunk, note, historical, s + 0.08 * len(list_intersect(qt, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9][a-z0-9_-]{{2,}}'))) + case lang when 'en' then 0.10 when 'de' then -0.04 when 'fr' then case when historical then 0.24 else -0.10 end else 0 end
+  + case when n_chars > 2000 then 0.12 when n_chars > 500 then 0.06 else 0 end + case when quality = 0 then -0.18 else 0 end as score, quality is distinct from 0 as current from sg join ch using (chunk) join qs using (query)),
+no as (select *, row_number() over (partition by query, note order by round(score, 9) desc, chunk) as own from ns),
+np as (select *, row_number() over (partition by query order by round(score, 9) desc, chunk) as place from no where own <= case when historical then 5 else 2 end)
+"""
+
+
+@plan.query(NOTES + "select query, chunk, note, round(score, 6) as score, current, place::int as place from np where place <= 5")
+def note_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks of notes: the better of words and vectors, raised by language as kind and length as confidence, lowered for bad quality as a superseded state."""
+    lexical = ranked(spark, sf_dir, 20).select("query", F.col("doc").alias("chunk"), F.lit(N.LEXICAL).alias("signal"))
+    v = table(spark, sf_dir, "embeddings")
+    benchmark = table(spark, sf_dir, "benchmark")
+    asked = v.join(benchmark.select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    near = R.nearest(asked, v.select("vec_id", "embedding"), 30).select("query", F.col("vec_id").alias("chunk"), N.semantic_signal(1 - F.col("similarity")).alias("signal"))
+    quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    kind = F.when(F.col("lang") == "en", "curada").when(F.col("lang") == "de", "literatura_obsidian").when(F.col("lang") == "fr", "sessao_arquivada").otherwise("nota_vault")
+    sure = F.when(F.col("n_chars") > 2000, "alta").when(F.col("n_chars") > 500, "media").otherwise("baixa")
+    chunks = table(spark, sf_dir, "documents").join(quality, "doc_id", "left")
+    chunks = chunks.select(F.col("doc_id").alias("chunk"), F.col("source").alias("note"), "text", kind.alias("kind"), sure.alias("confidence"), F.when(F.col("quality") == 0, "Superado").alias("status"))
+    plain = F.concat(F.lit(" "), searchable(F.col("text")), F.lit(" "))
+    about_past = Q.any_of([F.contains(plain, F.lit(m)) for m in MARKS])
+    questions = benchmark.select(F.col("item_id").alias("query"), "text", about_past.alias("historical"))
+    out = N.search_notes(lexical.unionByName(near), chunks, questions)
+    return out.select("query", "chunk", "note", F.round("score", 6).alias("score"), "current", "place")
