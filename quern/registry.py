@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quern.plans import catalogue, detection, evidence, journals, library, likenesses, questions, retrieval, signals, sweeps, texts
+from quern.plans import catalogue, detection, evidence, journals, library, likenesses, questions, retrieval, signals, sources, sweeps, texts
 
-PLANS = [retrieval.plan, signals.plan, detection.plan, evidence.plan, texts.plan, journals.plan, library.plan, catalogue.plan, questions.plan, sweeps.plan, likenesses.plan]
+PLANS = [retrieval.plan, signals.plan, detection.plan, evidence.plan, texts.plan, journals.plan, library.plan, catalogue.plan, questions.plan, sweeps.plan, likenesses.plan, sources.plan]
 
 QUERIES = {name: query for plan in PLANS for name, query in plan.queries.items()}
 ORACLE_SQL = {name: sql for plan in PLANS for name, sql in plan.oracles.items()}
