@@ -121,7 +121,8 @@ def comparing(n: int):
             qids, q, qkey = asked.column("id").to_numpy(), unit_rows(matrix(asked.column("v"))), np.array(asked.column("key").to_pylist(), object)
             for at in range(0, len(qids), 1024):
                 part = slice(at, at + 1024)
-                s = np.round(q[part] @ x.T, 9)
+                exact = q[part] @ x.T
+                s = np.round(exact, 9)
                 s[(qids[part][:, None] == ids) | (qkey[part][:, None] != key)] = -np.inf
                 least = -np.partition(-s, min(n, s.shape[1]) - 1, axis=1)[:, min(n, s.shape[1]) - 1]
                 r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
@@ -129,7 +130,7 @@ def comparing(n: int):
                 r, c = r[order], c[order]
                 first = np.arange(len(r)) - np.searchsorted(r, r) < n
                 r, c = r[first], c[first]
-                for column, values in zip(out, (qids[part][r], ids[c], s[r, c]), strict=True):
+                for column, values in zip(out, (qids[part][r], ids[c], exact[r, c]), strict=True):
                     column.append(values)
         return pa.table({name: pa.array(np.concatenate(c) if c else [], kind) for name, c, kind in zip(("query", "vec_id", "similarity"), out, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
@@ -154,7 +155,7 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, n: int, probes: int = PROBES, exact: bool = True) -> DataFrame:
         """(query, vec_id, similarity, rank): the n nearest of its key to each query (id, v, key), exact or of the probed cells only."""
-        w = Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")
+        w = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
         cut = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
         if not len(self.centroids):
             return queries.sparkSession.createDataFrame([], "query long, vec_id long, similarity double, rank int")
@@ -166,7 +167,7 @@ class VectorIndex:
             return best
         best = staged(best, "vector-probed")
         # without n neighbours so far every cell is in reach; a cosine of s is a distance of sqrt(2 - 2 s)
-        far = best.where(F.col("rank") == n).select(F.col("query").alias("id"), F.sqrt(F.greatest(2 - 2 * F.col("similarity") + ROUNDING, F.lit(0.0))).alias("far"))
+        far = best.where(F.col("rank") == n).select(F.col("query").alias("id"), F.sqrt(F.greatest(2 - 2 * F.col("similarity") + 4 * ROUNDING, F.lit(0.0))).alias("far"))
         open_ = queries.select("id", "v", "key").join(far, "id", "left").withColumn("far", F.coalesce("far", F.lit(2.0)))
         rest = open_.mapInArrow(reaching(self.centroids, self.radius, probes, True), cells)
         return cut(best.drop("rank").unionByName(self._best(rest, n, blocks)))

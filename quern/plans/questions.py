@@ -115,7 +115,7 @@ def author_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NOTES = RANKED + f""", v as (select q.vec_id as query, v.vec_id as chunk, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as sim, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) desc, v.vec_id) as rank
   from embeddings q join benchmark on q.vec_id = item_id, embeddings v where v.vec_id <> q.vec_id),
-sg as (select query, chunk, max(s) as s from (select query, doc as chunk, 0.72::double as s from r where rank <= 20 union all select query, chunk, 1.0 / (1.0 + greatest(1.0 - round(sim, 9), 0.0)) from v where rank <= 30) group by all),
+sg as (select query, chunk, max(s) as s from (select query, doc as chunk, 0.72::double as s from r where rank <= 20 union all select query, chunk, 1.0 / (1.0 + greatest(1.0 - sim, 0.0)) from v where rank <= 30) group by all),
 lb as (select doc_id, min(quality) as quality from labels group by doc_id),
 ch as (select d.doc_id as chunk, source as note, text, lang, n_chars, quality from documents d left join lb on d.doc_id = lb.doc_id),
 qs as (select item_id as query, list_distinct({TOLD}) as qt, {_any(MARKS)} as historical from (select *, ' ' || {SEARCH} || ' ' as n from benchmark)),
