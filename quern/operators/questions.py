@@ -39,8 +39,27 @@ RULES = (
     Rule((("paderborn",),), ("Paderborn dataset IGBT three phase inverter Stender", "data set description three phase IGBT two level inverter"), ("stender", "igbt", "data", "set", "description")),
     Rule((("ceamazon",),), ("CEAMAZON sistema fotovoltaico UFPA Torres RCM FMECA",), ("ceamazon", "torres", "ufpa")),
 )
-REVIEW_MARKS = ("literatura completa", "literatura toda", "revisao bibliografica", "revisao da literatura", "estado da arte", "todos os artigos", "todas as fontes", "panorama", "survey", "review", "literatura sobre", "cite a literatura", "fundamentacao teorica", "referencial teorico", "bibliografia completa")
-REVIEW_TOPICS = ("FMEA FMECA failure mode and effects analysis criticality NPR RPN", "RCM reliability centered maintenance manutencao centrada em confiabilidade", "autoencoder anomaly detection erro de reconstrucao normalidade", "Weibull RUL remaining useful life MTTF B10 confiabilidade")
+REVIEW_MARKS = (
+    "literatura completa", "literatura toda", "revisao bibliografica", "revisao da literatura", "estado da arte", "todos os artigos",
+    "todas as fontes", "todas as referencias", "todos os autores", "panorama", "sintese da literatura", "survey", "review",
+    "literatura da dissertacao", "literatura do mestrado", "literatura sobre", "cite a literatura", "cite as referencias", "cite as fontes",
+    "cite artigos", "cite papers", "cite os artigos", "cite os autores", "citar artigos", "liste artigos", "listar artigos",
+    "completa da dissertacao", "fundamentacao teorica", "referencial teorico", "bibliografia completa",
+)
+REVIEW_TOPICS = (
+    "FMEA FMECA failure mode and effects analysis criticality NPR RPN",
+    "RCM reliability centered maintenance manutencao centrada em confiabilidade",
+    "inversor fotovoltaico on-grid trifasico PV inverter falhas",
+    "autoencoder anomaly detection erro de reconstrucao normalidade",
+    "machine learning fault detection PV inverter diagnostico",
+    "Weibull RUL remaining useful life MTTF B10 confiabilidade",
+    "filtro LCL IGBT capacitor contactor sensor CA inversor",
+    "manutencao preditiva monitoramento de condicao prognostico",
+    "harmonicos THD sinais eletricos CA inversor fotovoltaico",
+    "isolation forest random forest XGBoost classificacao falhas PV",
+    "dataset GPVS-Faults microrede fotovoltaica inversor falhas F0 F1 F7",
+    "FMECA NPR criticidade inversor lado CA componente critico",
+)
 
 
 def strings(values: tuple[str, ...] | list[str]) -> Column:
