@@ -81,3 +81,30 @@ def upsert_stream(changes: DataFrame, target: str, checkpoint: str, key: str = "
         merged.write.mode("overwrite").parquet(f"{target}/v={number}")
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def journal(turns: DataFrame, key: str, ts: str, late: str = "1 hour", enough: int = 15, wait_hours: int = 72) -> DataFrame:
+    """(key, n, reason): sessions due for consolidation, each once: when ``enough`` turns have come, or ``wait_hours`` after the last turn.
+
+    State is a counter and the time of the last turn of each session; the wait is a timer on
+    event time, so it ends when the watermark (``late`` behind the newest turn) has passed it.
+    """
+
+    def update(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, last, told = state.get if state.exists else (0, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not told:
+                yield pd.DataFrame({key: [k[0]], "n": [n], "reason": ["wait"]})
+            return
+        for part in parts:
+            n += len(part)
+            last = max(last, int(part[ts].max().timestamp() * 1000))
+        if n >= enough and not told:
+            told = True
+            yield pd.DataFrame({key: [k[0]], "n": [n], "reason": ["count"]})
+        state.update((n, last, told))
+        state.setTimeoutTimestamp(max(last + wait_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+
+    dated = turns.withWatermark(ts, late)
+    return dated.groupBy(key).applyInPandasWithState(update, f"{key} long, n long, reason string", "n long, last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
