@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, mixing, neardup, quality, toxicity
-from quern.llm.common import shared_dir, stage
+from quern.llm.common import stage, stage_root
 
 #: SQL can express neither the classifier nor the tokenizer; the tests hold run() against plain Python.
 ORACLE_SQL = None
@@ -59,7 +59,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result's rows are those of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark)}/quern/pipeline-{uuid.uuid4().hex}"
+    root = f"{stage_root(spark)}/pipeline-{uuid.uuid4().hex}"  # llm.common.clear_stages deletes it
     for k, (name, step) in enumerate(STAGES):
         step(spark, docs, sf_dir).write.parquet(f"{root}/{k}-{name}")
         docs = spark.read.parquet(f"{root}/{k}-{name}")
