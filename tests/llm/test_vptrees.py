@@ -81,3 +81,15 @@ def test_awkward_rows(spark):
     assert got == {q: hits for q, hits in brute(rows).items() if hits}
     assert [i for i, _ in got[0]][:3] == [2, 3, 4]
     assert vptrees.nearest(frame(spark, [])).count() == 0
+
+
+def test_stages_are_cleared(spark):
+    from quern.llm import common
+
+    staged = common.stage(spark.range(5), "cleared")
+    assert staged.count() == 5
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.stage_root(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(root)
+    common.clear_stages(spark)
+    assert not files.exists(root)
