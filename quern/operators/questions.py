@@ -37,7 +37,6 @@ RULES = (
     ),
     Rule((("rcm", "manutencao"),), ("manutencao centrada em confiabilidade RCM", "reliability centered maintenance preventive predictive")),
     Rule((("paderborn",),), ("Paderborn dataset IGBT three phase inverter Stender", "data set description three phase IGBT two level inverter"), ("stender", "igbt", "data", "set", "description")),
-    Rule((("ceamazon",),), ("CEAMAZON sistema fotovoltaico UFPA Torres RCM FMECA",), ("ceamazon", "torres", "ufpa")),
 )
 REVIEW_MARKS = (
     "literatura completa", "literatura toda", "revisao bibliografica", "revisao da literatura", "estado da arte", "todos os artigos",

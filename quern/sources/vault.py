@@ -25,9 +25,11 @@ def yes(value: Column) -> Column:
     return F.lower(F.trim(value)).isin(*YES)
 
 
-def scan(notes: DataFrame) -> DataFrame:
+def scan(notes: DataFrame, index_key: str = "index") -> DataFrame:
     """notes (path, content) with ``left_out`` (null: kept), title, status, links and sha256; a note is left out by the first reason that holds.
 
+    ``index_key`` is the key of the front matter by which a note asks not to be indexed.
+
     Reasons: not Markdown, a folder that holds no notes, not for the index, private, empty, a secret in it.
     """
     rows = front_matter(notes)
@@ -38,7 +40,7 @@ def scan(notes: DataFrame) -> DataFrame:
     why = (
         F.when(~F.lower("path").endswith(".md"), "kind")
         .when(F.arrays_overlap(folders, F.array(*[F.lit(f) for f in LEFT_OUT])), "folder")
-        .when(meta("al_iado").isNotNull() & ~yes(meta("al_iado")), "not_indexed")
+        .when(meta(index_key).isNotNull() & ~yes(meta(index_key)), "not_indexed")
         .when(F.coalesce(yes(meta("privado")), F.lit(False)) | status.isin(*PRIVATE), "private")
         .when(F.coalesce(body, F.lit("")) == "", "empty")
         .when(has_secret(F.col("content")), "secret")

@@ -30,8 +30,8 @@ def test_vault(spark, tmp_path):
         ".obsidian/x.md": "text",
         "p.md": "---\nprivado: sim\n---\ntext",
         "q.md": "---\nstatus: Private\n---\ntext",
-        "n.md": "---\nal_iado: não\n---\ntext",
-        "y.md": "---\nal_iado: sim\n---\ntext",
+        "n.md": "---\nindex: não\n---\ntext",
+        "y.md": "---\nindex: sim\n---\ntext",
         "e.md": "---\ntitulo: x\n---\n \n",
         "s.md": "password = hunter2hunter2",
         "image.png": "no note",
