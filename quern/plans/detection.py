@@ -267,15 +267,19 @@ def modulo_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.withColumn("place", (F.col("place") - 1) % F.lit(max(m, 1)) + 1).join(f, "place").select("event_id", "fault")
 
 
-@plan.query("""with e2 as (select event_type as model, avg(value) as e2 from events group by 1), e3 as (select event_type as model, user_id, avg(value) as recall from events group by all)
-select e2.model, count(recall) as n, round(min(recall), 6) as low, round(max(recall), 6) as high, case when count(recall) = 0 then 'missing' when max(e2) between min(recall) and max(recall) then 'inside' else 'outside' end as status from e2 left join e3 using (model) group by e2.model""")
+@plan.query("""with e as (select event_type as model, coalesce(user_id % 2 <> 0, false)::int as half, user_id, value from events),
+e2 as (select model, half, avg(value) as e2 from e group by all), e3 as (select model, 1 - half as half, user_id, avg(value) as recall from e group by all)
+select e2.model, e2.half, count(recall) as n, round(min(recall), 6) as low, round(max(recall), 6) as high, case when count(recall) = 0 then 'missing' when max(e2) between min(recall) and max(recall) then 'inside' else 'outside' end as status from e2 left join e3 on e2.model is not distinct from e3.model and e2.half = e3.half group by e2.model, e2.half""")
 def fidelity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    e2 = e.groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("e2"))
-    e3 = e.groupBy(F.col("event_type").alias("model"), "user_id").agg(F.avg("value").alias("recall"))
-    g = e3.groupBy("model").agg(F.count("recall").alias("n"), F.min("recall").alias("lo"), F.max("recall").alias("hi"))
+    """The mean of each half of the users against the range of means by user of the other half; a mean always lies in the range of its own users."""
+    half = F.coalesce(F.col("user_id") % 2 != 0, F.lit(False)).cast("int")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), half.alias("half"), "user_id", "value")
+    e2 = e.groupBy("model", "half").agg(F.avg("value").alias("e2"))
+    e3 = e.groupBy("model", "half", "user_id").agg(F.avg("value").alias("recall"))
+    g = e3.groupBy(F.col("model").alias("m"), (1 - F.col("half")).alias("h")).agg(F.count("recall").alias("n"), F.min("recall").alias("lo"), F.max("recall").alias("hi"))
     status = F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("e2").between(F.col("lo"), F.col("hi")), "inside").otherwise("outside")
-    return e2.join(g, "model", "left").select("model", F.coalesce("n", F.lit(0)).alias("n"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"), status.alias("status"))
+    joined = e2.join(g, F.col("model").eqNullSafe(F.col("m")) & (F.col("half") == F.col("h")), "left")
+    return joined.select("model", "half", F.coalesce("n", F.lit(0)).alias("n"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"), status.alias("status"))
 
 
 RATE_SQL = "rt as (select p_brand as s, avg(p_size) * 1e-7 as r from part group by p_brand)"
