@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import BROADCAST_BLOCKS, bloom_block, bloom_blocks, bloom_mask, stage
-from quern.llm.components import connected
+from quern.llm.components import connected, merged
 
 PLACES = 1 << 20
 ROWS = 6
@@ -137,14 +137,14 @@ def signer(size: int, bands: int, rows: int):
 def verifier(size: int, percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last: tuple = (None, None)
+        last: tuple = (0, None)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = np.zeros(len(a), bool)
+            keep = np.zeros(batch.num_rows, bool)
             left, right = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-            for i in range(len(a)):
-                if last[0] != a[i]:
-                    last = (a[i], shingles(left[i].as_py(), size, hashes))
+            for i in range(batch.num_rows):
+                text = left[i].as_py()
+                if last[0] != text:  # a doc_id may have several texts
+                    last = (text, shingles(text, size, hashes))
                 x, y = last[1], shingles(right[i].as_py(), size, hashes)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both)
@@ -184,7 +184,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, pe
     ids = stage(fit.select(F.col("a").alias("doc_id")).union(fit.select("b")).distinct(), "candidate-ids")
     texts = stage(only(docs, ids).select("doc_id", "text"), "candidate-texts")
     # a document of many pairs is a hot key: its pairs are dealt on as many salts as they ask for, and its text goes to each
-    hot = stage(fit.groupBy("a").count().where(F.col("count") > SALTED).select("a", F.ceil(F.col("count") / SALTED).cast("int").alias("salts")), "hot-heads")
+    hot = fit.groupBy("a").count().where(F.col("count") > SALTED).select("a", F.ceil(F.col("count") / SALTED).cast("int").alias("salts"))
     salted = fit.join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left")
     one = one.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
@@ -192,6 +192,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, pe
     return stage(salted.join(two, "b").join(one, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(verifier(size, percent), "a long, b long"), "verified")
 
 
+def several(signed: DataFrame, folded: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets, by their ids, of a doc_id that has several: its rows count as one document."""
+    own = signed.where("n_shingles > 0 and doc_id is not null")
+    a_set = F.struct("set_hi", "set_lo")
+    many = own.groupBy("doc_id").agg(F.min(a_set).alias("x"), F.max(a_set).alias("y")).where("x <> y").select("doc_id")
+    ids = own.join(many, "doc_id", "left_semi").join(folded, ["set_hi", "set_lo"]).select("doc_id", "id")
+    return stage(ids.join(ids.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "shared-ids")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -206,11 +215,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     heads = banded.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     shared = stage(banded.join(heads, "key").select("key", "id", "head"), "shared-buckets")
     first = stage(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "head-pairs")
-    links = [confirmed(first, docs, sizes, size, percent)]
-    parts = stage(connected(links[0]), "components")
-    compared, turn, found = first, 0, True
+    found_first = connected(confirmed(first, docs, sizes, size, percent))
+    parts = stage(sizes.select("id").join(found_first, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id")), "components")
+    compared, turn, found, more = first, 0, True, several(signed, folded)
     while True:
-        placed = stage(shared.join(parts, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("part")), "placed")
+        placed = stage(shared.join(parts, "id").select("key", "id", F.col("component_id").alias("part")), "placed")
         tally = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("pick"))
         largest = F.max_by(F.struct("part", "pick"), "n")
         mixed = tally.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.count("*").alias("parts"), largest.alias("best"))
@@ -229,16 +238,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             outside = joined.where("part <> best.part")
             pairs = outside.select(F.least("best.pick", "id").alias("a"), F.greatest("best.pick", "id").alias("b"))
         pairs = stage(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "bucket-pairs")
-        links.append(confirmed(pairs, docs, sizes, size, percent))
+        links = confirmed(pairs, docs, sizes, size, percent)
         if last:
+            more = more.union(links)
             break
-        found = 100 * links[-1].count() >= pairs.count()
+        found = 100 * links.count() >= pairs.count()
         compared, turn = compared.union(pairs), turn + 1
-        parts = stage(connected(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(links[-1])), "components")
-    more = links[-1]
-    same = signed.where("n_shingles > 0").join(folded, whole).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    final = stage(connected(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more).union(same)), "components")
-    out = signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        parts = merged(parts, links)
+    of_sets = folded.join(merged(parts, more), "id").select(*whole, "component_id")
+    out = signed.join(of_sets, whole, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

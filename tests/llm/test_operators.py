@@ -242,6 +242,27 @@ def test_near_duplicates_awkward(odd, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_join_the_sets_of_one_id(spark):
+    # 5 has two texts: one is 1's, the other 9's; 2 and 3 are alike, null ids are apart
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b), (7, b + " end"), (2, c), (3, c + " end"), (None, a), (4, "")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out if r["doc_id"] is not None) == [(1, 1), (2, 2), (3, 2), (4, 4), (5, 1), (5, 1), (7, 1), (9, 1)]
+    assert [(r["component_id"], r["kept"]) for r in out if r["doc_id"] is None] == [(None, True)]
+
+
+def test_components_walk_only_what_is_new(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(components, "stage", lambda df, label, to=components.stage: staged.append(label) or to(df, label))
+    star = spark.createDataFrame([(9, 1), (8, 1), (7, 1), (4, 3)], "a long, b long")
+    parts = {r["id"]: r["component_id"] for r in components.connected(star).collect()}
+    assert parts == {1: 1, 7: 1, 8: 1, 9: 1, 3: 3, 4: 3} and staged == ["links"]
+    held = spark.createDataFrame([*parts.items(), (20, 20)], "id long, component_id long")
+    new = spark.createDataFrame([(4, 9), (8, 7)], "a long, b long")
+    assert {r["id"]: r["component_id"] for r in components.merged(held, new).collect()} == {1: 1, 7: 1, 8: 1, 9: 1, 3: 1, 4: 1, 20: 20}
+    assert "large-star" not in staged
+
+
 def test_parity_bits_are_a_bound():
     rng = np.random.default_rng(7)
     for _ in range(50):
