@@ -3,7 +3,8 @@
 Texts are cut where their pre-tokens part (blocks.SpacedUnits); the distinct words of
 all blocks meet by hash, each is split by the tokenizer's pattern and merged once, and
 the ids go back to the blocks, which reassemble their documents by position. Decoding
-joins the token-byte table (50,256 entries, a fixed size) to the ids, batch by batch.
+joins the token-byte table (50,256 entries, a fixed size) to the ids, batch by batch;
+round_trip does both in one pass over the blocks.
 
 Defined cases: a null text counts as empty and has no ids; very long texts are encoded
 whole; a null doc_id stays null; repeated rows each get their row; an empty table gives
@@ -13,7 +14,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,10 @@ from quern.llm.blocks import ANSWERS, SpacedUnits, exchange, pack, reassemble, u
 
 RANKS = "byte_bpe_50k.tiktoken"
 CACHE = 400_000  # units a task remembers between blocks
-SLICE_BYTES = 64 << 20  # of ids or decoded text in one Arrow batch, whose offsets have 32 bits
+SLICE_BYTES = 8 << 20  # of ids or decoded text in one Arrow batch, which Python and the JVM both hold; its offsets have 32 bits
+
+ENCODED = "doc_id long, n_tokens long, ids binary"
+DECODED = ENCODED + ", decoded binary"
 
 
 @lru_cache(2)
@@ -117,20 +121,29 @@ def _ids_table(doc_ids: list, n_tokens: np.ndarray, tokens: np.ndarray) -> pa.Ta
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids": ids})
 
 
+def _reassembled(docs: DataFrame, path: str, body: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    rows = exchange(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SpacedUnits)
+    return reassemble(rows, rows.mapInArrow(word_encoder(path), ANSWERS), body, schema)
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids of every row of docs."""
-    rows = exchange(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SpacedUnits)
-    answers = rows.mapInArrow(word_encoder(path or public_tokenizers.path(RANKS)), ANSWERS)
-    return reassemble(rows, answers, block_ids, "doc_id long, n_tokens long, ids binary")
+    return _reassembled(docs, path or public_tokenizers.path(RANKS), block_ids, ENCODED)
+
+
+@lru_cache(2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after the other, where each starts, and its size."""
+    table = sorted((i, b) for b, i in ranks(path).items())
+    size = np.zeros(table[-1][0] + 1, np.int64)
+    for i, b in table:
+        size[i] = len(b)
+    return np.frombuffer(b"".join(b for _, b in table), np.uint8), np.cumsum(size) - size, size
 
 
 def decoder(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sorted((i, b) for b, i in ranks(path).items())
-        size = np.zeros(table[-1][0] + 1, np.int64)
-        for i, b in table:
-            size[i] = len(b)
-        raw, starts = np.frombuffer(b"".join(b for _, b in table), np.uint8), np.cumsum(size) - size
+        raw, starts, size = token_bytes(path)
         for batch in batches:
             # a token has few bytes on average, but a batch is cut by what its ids stand for
             lists = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
@@ -147,11 +160,22 @@ def decoder(path: str):
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with ``decoded``, the bytes that its ids stand for."""
-    rows = encoded.select("doc_id", "n_tokens", "ids")
-    return rows.mapInArrow(decoder(path or public_tokenizers.path(RANKS)), "doc_id long, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(decoder(path or public_tokenizers.path(RANKS)), DECODED)
+
+
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """decode(encode(docs)) by one Python worker a task, where each of the two would have its own."""
+    path = path or public_tokenizers.path(RANKS)
+    again = decoder(path)
+
+    def body(code: pa.Table, answers: pa.Table) -> pa.Table:
+        coded = block_ids(code, answers)
+        return pa.Table.from_batches(again(coded.to_batches()), schema=coded.schema.append(pa.field("decoded", pa.binary())))
+
+    return _reassembled(docs, path, body, DECODED)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    both = decode(encode(docs))
+    both = round_trip(docs)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -95,6 +95,22 @@ def test_bpe_round_trip(odd, empty):
     assert bpe.encode(empty).count() == 0
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="test tables absent")
+def test_bpe_decodes_where_it_reassembles(spark, odd, empty, monkeypatch):
+    # a task of two Python stages has two workers, each with the memory of a block
+    plan = bpe.op2_bpe(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], bytes(r["ids"]))
+    apart = sorted(bpe.decode(bpe.encode(odd)).collect(), key=key)
+    assert sorted(bpe.round_trip(odd).collect(), key=key) == apart
+    assert bpe.round_trip(empty).count() == 0
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 64)  # of a batch here; workers keep their own
+    ids = bpe._ids_table([1, 2, 3], np.array([20, 0, 40]), np.arange(60))
+    path = public_tokenizers.path(bpe.RANKS)
+    batches = list(bpe.decoder(path)(ids.to_batches()))
+    assert [r for b in batches for r in b.column("decoded").to_pylist()] == [bpe.encoding(path).decode_bytes(x) for x in (range(20), [], range(20, 60))]
+
+
 def test_units_tokenise_apart():
     rng = np.random.default_rng(4)
     enc = bpe.encoding(public_tokenizers.path(bpe.RANKS))
