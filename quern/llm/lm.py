@@ -12,11 +12,10 @@ The attention model reads subword ids: each has an embedding of its company (wha
 follows and what follows it, counted over all training texts and projected on random
 signs) and of its class; it predicts the class of the next subword (the FREQUENT most
 used alone, the others in bands by use) by masked attention over a window. It learns
-from all blocks of training documents: in each round every block of texts (12 MB) takes
-LOCAL steps on windows drawn, with replacement, from all windows of its training texts,
-and the blocks' changes are averaged. So the work of learning grows with the corpus and
-every window may be drawn, but of a full block's 340,000 windows about 30,000 are, 9 in
-100; the counts and the embeddings are of all texts.
+from all windows of all training texts: each round takes its share of every block's
+windows (12 MB of text) in a random order, in local steps of BATCH windows, and the
+blocks' changes are averaged. The shares of all rounds hold every window once; a block
+of few windows goes round again until it has made LOCAL steps a round.
 Texts are scored in overlapping windows of 16; the first scores all its places, each
 further one the 12 that no earlier window scored, many windows at a time.
 
@@ -51,7 +50,7 @@ WIDTH = 16
 CLUSTERS = 96
 FREQUENT = 64
 ROUNDS = 4  # of averaging
-LOCAL = 30  # steps of a block in a round
+LOCAL = 30  # steps of a block in a round, at least
 BATCH = 256  # windows of a step
 DISCOUNT = 0.75
 WINDOWS = 256  # scored at a time
@@ -181,45 +180,72 @@ class Attention:
         np.exp(out, out=out)
         return chosen - top - np.log(out.sum(2))
 
-    def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean loss over the places with weight."""
+    def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, skip: int = 0) -> dict[str, np.ndarray]:
+        """Gradients of the mean loss over the places with weight, from place ``skip`` on."""
         w = self.parts
-        h, q, k, v, a, mixed, last = self.hidden(x)
-        out = last @ w["u"] + w["b"]
-        out -= out.max(2, keepdims=True)
-        p = np.exp(out)
-        p /= p.sum(2, keepdims=True)
-        np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - 1, 2)
-        p *= (weight / weight.sum())[..., None].astype(np.float32)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        g = {"u": flat(last).T @ flat(p), "b": p.sum((0, 1))}
-        d_last = p @ w["u"].T
-        g["o"] = flat(mixed).T @ flat(d_last)
-        d_mixed = d_last @ w["o"].T
-        d_a, d_v = d_mixed @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ d_mixed
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
-        for name, d in (("q", d_q), ("k", d_k), ("v", d_v)):
-            g[name] = flat(h).T @ flat(d)
-        d_h = d_last + d_q @ w["q"].T + d_k @ w["k"].T + d_v @ w["v"].T
-        g["p"] = d_h.sum(0)
+        own, near = self.cluster[x].reshape(-1), self.company[x.reshape(-1)]
+        h = w["e"][own]
+        h += near @ w["f"]
+        h = h.reshape(*x.shape, WIDTH)
+        h += w["p"][: x.shape[1]]
+        flat, scale = h.reshape(-1, WIDTH), np.float32(WIDTH**-0.5)
+        to_qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], 1)
+        qkv = (flat @ to_qkv).reshape(*x.shape, 3 * WIDTH)
+        q, k, v = qkv[:, skip:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
+        past = np.tril(np.ones((x.shape[1], x.shape[1]), h.dtype))
+        # as in reader(): numbers stay far from the limits of exp()
+        a = q @ k.transpose(0, 2, 1)
+        a = np.exp(np.minimum(a, 60, out=a), out=a)
+        a *= past[skip:]
+        a /= (a @ past[-1])[..., None]
+        mixed = (a @ v).reshape(-1, WIDTH)
+        last = np.ascontiguousarray(h[:, skip:]).reshape(-1, WIDTH) + mixed @ w["o"]
+        last = np.concatenate([last, np.ones((len(last), 1), last.dtype)], 1)  # the last column is for b
+        p = last @ np.concatenate([w["u"], w["b"][None]])
+        p = np.exp(np.minimum(p, 60, out=p), out=p)
+        total = p @ np.ones(p.shape[1], p.dtype)
+        p[np.arange(len(p)), y[:, skip:].reshape(-1)] -= total
+        share = (weight[:, skip:].reshape(-1) / (weight[:, skip:].sum() * total)).astype(p.dtype)[:, None]
+        g_last = (last * share).T @ p
+        g = {"u": g_last[:-1], "b": g_last[-1]}
+        d_last = (p @ w["u"].T) * share
+        g["o"] = mixed.T @ d_last
+        d_mixed = (d_last @ w["o"].T).reshape(len(x), -1, WIDTH)
+        d_a = d_mixed @ v.transpose(0, 2, 1)
+        d_a -= ((d_a * a) @ past[-1])[..., None]
+        d_a *= a
+        d = np.zeros_like(qkv)
+        np.matmul(d_a, k, out=d[:, skip:, :WIDTH])
+        np.matmul(d_a.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), d_mixed, out=d[:, :, 2 * WIDTH :])
+        d = d.reshape(-1, 3 * WIDTH)
+        g_qkv = flat.T @ d
+        g["q"], g["k"], g["v"] = g_qkv[:, :WIDTH] * scale, g_qkv[:, WIDTH : 2 * WIDTH], g_qkv[:, 2 * WIDTH :]
+        d_h = (d @ to_qkv.T).reshape(h.shape)
+        d_h[:, skip:] += d_last.reshape(len(x), -1, WIDTH)
+        g["p"] = np.zeros_like(w["p"])
+        g["p"][: x.shape[1]] = d_h.sum(0)
+        d_h = d_h.reshape(-1, WIDTH)
+        order = np.argsort(own.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(own[order], np.arange(CLUSTERS + 1))
+        some = np.flatnonzero(np.diff(edges))
         g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], self.cluster[x].reshape(-1), flat(d_h))
-        g["f"] = flat(self.company[x]).T @ flat(d_h)
+        g["e"][some] = np.add.reduceat(d_h[order], edges[some])
+        g["f"] = near.T @ d_h
         return g
 
-    def learn(self, tokens: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, rate: float) -> None:
-        """LOCAL steps of Adam on windows drawn from all windows of the texts (subword ids, each with its end)."""
+    def learn(self, tokens: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, rate: float, turn: int = 0, rounds: int = 1) -> None:
+        """Steps of Adam on the turn's share of all windows of the texts (subword ids, each with its end); rng is the same each turn."""
         n = window_counts(lengths)
         ends, starts = np.cumsum(n), np.cumsum(lengths) - lengths
-        m, v = {}, {}
-        for t in range(1, LOCAL + 1):
-            at = rng.integers(0, ends[-1], BATCH)
+        order = rng.permutation(int(ends[-1]))
+        m, v, t = {}, {}, 0
+        for at, skip in batches_of(order, ends - n, turn, rounds):
+            t += 1
             doc = np.searchsorted(ends, at, "right")
-            number = at - (ends - n)[doc]
-            x, y, weight, _ = window_rows(tokens, starts[doc], lengths[doc], number)
-            weight[number > 0, : LENGTH - STEP] = 0  # a place counts in the window that scores it
-            for name, g in self.step(x, self.cluster[y], weight).items():
+            # a place counts in the window that scores it
+            x, y, weight, _ = window_rows(tokens, starts[doc], lengths[doc], at - (ends - n)[doc])
+            for name, g in self.step(x, self.cluster[y], weight, skip).items():
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * g
                 v[name] = 0.99 * v.get(name, 0) + 0.01 * g * g
                 self.parts[name] = (self.parts[name] - rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
@@ -271,6 +297,19 @@ def window_counts(lengths: np.ndarray) -> np.ndarray:
     return 1 + np.maximum(0, -(-(lengths - LENGTH) // STEP))
 
 
+def batches_of(order: np.ndarray, heads: np.ndarray, turn: int, rounds: int) -> Iterator[tuple[np.ndarray, int]]:
+    """A turn's share of the windows in ``order`` and the first place that counts, a batch at a time: first windows of texts (heads) and later ones apart.
+
+    The shares of all rounds together hold every window; where there are few, each share goes round again to make LOCAL steps.
+    """
+    size = max(LOCAL * BATCH, -(-len(order) // rounds))
+    share = order[np.arange(turn * size, (turn + 1) * size) % len(order)]
+    first = np.isin(share, heads)
+    parts = [(part, skip) for own, skip in ((share[first], 0), (share[~first], LENGTH - STEP)) if len(own) for part in np.array_split(own, -(-len(own) // BATCH))]
+    for i in np.random.default_rng(turn).permutation(len(parts)):
+        yield parts[i]
+
+
 def window_rows(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple:
     """Inputs, targets, weights (0 beyond the text) and places in tokens of windows, each the number-th of a text."""
     place = number[:, None] * STEP + np.arange(LENGTH)
@@ -463,7 +502,7 @@ def trainer(model: Attention, turn: int):
                 if not len(lengths):
                     continue
                 own, windows = model.copy(), int(window_counts(lengths).sum())
-                own.learn(tokens, lengths, np.random.default_rng([turn, code["key"] & 0xFFFFFFFF, code["key"] >> 32]), 0.02 * (1 - turn / (ROUNDS + 1)))
+                own.learn(tokens, lengths, np.random.default_rng([code["key"] & 0xFFFFFFFF, code["key"] >> 32]), 0.02 * (1 - turn / (ROUNDS + 1)), turn, ROUNDS)
                 change, weight = change + np.rint((own.flat() - before) * FIXED).astype(np.int64) * min(windows, 1 << 24) // (1 << 10), weight + min(windows, 1 << 24)
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(before))), pa.array(np.append(weight, change).astype(np.int64))], names=["place", "change"])

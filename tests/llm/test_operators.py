@@ -595,6 +595,29 @@ def test_training_reads_whole_texts():
     assert np.exp(model.log_p(late, model.cluster[np.roll(late, -1, 1)], 4)).mean() > 0.8
 
 
+def test_training_takes_every_place_of_every_block(monkeypatch):
+    # more windows than LOCAL steps a round can take; each subword of a text is its place
+    lengths = np.array([1, 16, 17, 25_000, 400_000, 5])
+    values = np.tile(np.arange(lm.END), 10)[: lengths.sum()]
+    model = lm.Attention.start(np.ones(lm.END + 1))
+    model.cluster = np.arange(lm.END + 1)
+    starts, at = set(np.cumsum(lengths).tolist()), {}
+    for i in range(len(values)):
+        at.setdefault((int(values[i - 1]) if i and i not in starts else lm.END, int(values[i])), []).append(i)
+    uses = collections.Counter()
+
+    def step(self, x, y, weight, skip=0):
+        used = weight[:, skip:] > 0
+        uses.update(zip(x[:, skip:][used].tolist(), y[:, skip:][used].tolist(), strict=True))
+        return {}
+
+    monkeypatch.setattr(lm.Attention, "step", step)
+    code = {"key": 3, "block": 3, "bucket": 0, "a": lm.pack_codes(np.arange(len(lengths))), "b": lm.pack(np.ones(len(lengths), "<i8")), "c": lm.pack(np.zeros(2)), "d": lm.pack(np.concatenate([[len(lengths)], lengths, values]).astype("<u4")), "doc_ids": [None] * len(lengths)}
+    for turn in range(lm.ROUNDS):
+        list(lm.trainer(model, turn)([lm.table_of([tuple(code.values())], lm.PAIR_SCHEMA).to_batches()[0]]))
+    assert all(len(places) <= uses[pair] <= len(places) + 3 * lm.LENGTH for pair, places in at.items())
+
+
 def test_company_tells_subwords_of_one_band_apart():
     counts = np.ones(lm.END + 1)
     counts[:64] = 1e6
