@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,19 @@ BUCKET_BYTES = 64 << 20  # of text a bucket
 EXCHANGE = "key long, block long, bucket int, a binary, b binary, c binary, doc_ids array<long>"
 ANSWERS = "block long, bucket int, a binary, b binary, c binary"
 
+PACKER, UNPACKER = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
 #: Only such a space parts a text into units that can be read apart: the white space before it ends there.
 INNER = re.compile(r" \s")
 CUT = re.compile(r" (?=\S)")
 
 
 def pack(values: np.ndarray | bytes) -> bytes:
-    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), 3)
+    return PACKER.compress(values if isinstance(values, bytes) else values.tobytes())
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype)
+    return np.frombuffer(UNPACKER.decompress(data), dtype)
 
 
 def pack_codes(codes: np.ndarray) -> bytes:
@@ -69,7 +72,7 @@ class SpacedUnits:
 
     def __init__(self):
         counter = [0]
-        self.first, self.rest = Numbering(counter), Numbering(counter)
+        self.first, self.rest, self.texts = Numbering(counter), Numbering(counter), []
 
     def codes(self, text: bytes) -> list[int]:
         text = text.decode("utf-8", "replace")
@@ -78,6 +81,15 @@ class SpacedUnits:
         out.extend(map(self.rest.__getitem__, pieces[1:]))
         return out
 
+    def add(self, text: bytes) -> int:
+        """How many units the text has."""
+        self.texts.append(np.asarray(self.codes(text), np.int32))
+        return len(self.texts[-1])
+
+    def flat(self) -> np.ndarray:
+        """The units of all texts added, text after text, by their place in units()."""
+        return np.concatenate([np.asarray(c, np.int64) for c in self.texts])
+
     def units(self) -> list[bytes]:
         out: list[bytes] = [b""] * (len(self.first) + len(self.rest))
         for text, n in self.first.items():
@@ -91,56 +103,68 @@ class LowerWords:
     """Units are the words of the text with A-Z lowered; white space is dropped."""
 
     def __init__(self):
-        self.words = Numbering([0])
+        self.texts, self.words = [], pa.array([], pa.binary())
 
-    def codes(self, text: bytes) -> list[int]:
-        return list(map(self.words.__getitem__, text.lower().split()))
+    def add(self, text: bytes) -> int:
+        words = text.lower().split()
+        self.texts.append(pa.array(words, pa.binary()))
+        return len(words)
+
+    def flat(self) -> np.ndarray:
+        coded = pa.concat_arrays(self.texts).dictionary_encode()
+        self.words = coded.dictionary
+        return coded.indices.to_numpy().astype(np.int64)
 
     def units(self) -> list[bytes]:
-        return list(self.words)
+        """Of the texts in flat()."""
+        if not len(self.words):
+            return []
+        _, ends, held = self.words.buffers()
+        ends, held = np.frombuffer(ends, np.int32, len(self.words) + 1, 4 * self.words.offset).tolist(), held.to_pybytes() if held else b""
+        return [held[i:j] for i, j in pairwise(ends)]
 
 
 def cutter(kind: type, buckets: int):
     """mapInArrow function from (doc_id, text) to the rows of the exchange."""
 
-    def flush(block: int, maker, ids: list, counts: list, codes: list, flags: list) -> Iterator[pa.RecordBatch]:
+    def flush(block: int, maker, ids: list, counts: list, flags: list) -> Iterator[pa.RecordBatch]:
+        flat = maker.flat()
         units = maker.units()
-        flat = np.concatenate([np.asarray(c, np.int64) for c in codes]) if codes else np.zeros(0, np.int64)
         # frequent units get small codes
         order = np.argsort(-np.bincount(flat, minlength=len(units)), kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        bucket = np.fromiter((xxhash.xxh32_intdigest(u) for u in units), np.int64, len(units)) % buckets
+        bucket = np.fromiter(map(xxhash.xxh32_intdigest, units), np.int64, len(units)) % buckets
         by_bucket = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
         used = np.bincount(flat, np.repeat(np.asarray(flags, float), counts), len(units)).astype("<i8")
         rows = [(block, block, -1, pack_codes(rank[flat]), pack(rank[by_bucket].astype("<u4")), pack(np.asarray(counts, "<i4")), ids)]
+        units, used = [units[i] for i in by_bucket.tolist()], used[by_bucket]
+        sizes = np.fromiter(map(len, units), "<u4", len(units))
         for k in range(buckets):
-            own = [units[i] for i in by_bucket[edges[k] : edges[k + 1]]]
-            if own:
-                rows.append((-1 - k, block, k, pack(b"".join(own)), pack(np.array([len(u) for u in own], "<u4")), pack(used[by_bucket[edges[k] : edges[k + 1]]]), None))
+            i, j = edges[k], edges[k + 1]
+            if j > i:
+                rows.append((-1 - k, block, k, pack(b"".join(units[i:j])), pack(sizes[i:j]), pack(used[i:j]), None))
         names = ["key", "block", "bucket", "a", "b", "c", "doc_ids"]
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        n, held, maker, ids, counts, codes, flags = 0, 0, kind(), [], [], [], []
+        n, held, maker, ids, counts, flags = 0, 0, kind(), [], [], []
         for batch in batches:
             marks = batch.column(2).to_pylist() if batch.num_columns > 2 else [False] * batch.num_rows
             for doc, text, mark in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), marks, strict=True):
                 text = text.as_py() or b""
-                found = maker.codes(text)
                 ids.append(doc)
-                counts.append(len(found))
-                codes.append(np.asarray(found, np.int32))
+                counts.append(maker.add(text))
                 flags.append(mark)
                 held += len(text) + 64
                 if held >= BLOCK_BYTES:
-                    yield from flush(task | n, maker, ids, counts, codes, flags)
-                    n, held, maker, ids, counts, codes, flags = n + 1, 0, kind(), [], [], [], []
+                    yield from flush(task | n, maker, ids, counts, flags)
+                    n, held, maker, ids, counts, flags = n + 1, 0, kind(), [], [], []
         if ids:
-            yield from flush(task | n, maker, ids, counts, codes, flags)
+            yield from flush(task | n, maker, ids, counts, flags)
 
     return cut
 
@@ -149,7 +173,7 @@ def unit_lists(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     """(block, bucket, units) of the unit rows of an exchange batch."""
     for key, block, bucket, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
         if key < 0:
-            text, ends = zstandard.decompress(a), np.cumsum(unpack(b, "<u4")).tolist()
+            text, ends = UNPACKER.decompress(a), np.cumsum(unpack(b, "<u4")).tolist()
             yield block, bucket, [text[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quern.llm.blocks import ANSWERS, SpacedUnits, exchange, pack, reassemble, unit_lists, unpack, unpack_codes
 
 RANKS = "byte_bpe_50k.tiktoken"
+PLACED = 1 << 17  # codes spread at a time
 CACHE = 400_000  # units a task remembers between blocks
 SLICE_BYTES = 8 << 20  # of ids or decoded text in one Arrow batch, which Python and the JVM both hold; its offsets have 32 bits
 
@@ -73,10 +74,12 @@ def spread(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.
     n = sizes[codes]
     ends = np.concatenate([[0], np.cumsum(n)])
     out = np.empty(ends[-1], values.dtype)
-    for i in range(0, len(codes), 1 << 20):  # a part at a time, for the size of the index
-        own, part = codes[i : i + (1 << 20)], n[i : i + (1 << 20)]
+    for i in range(0, len(codes), PLACED):  # a part at a time, so that the index stays in the cache
+        own, part = codes[i : i + PLACED], n[i : i + PLACED]
         first, last = ends[i], ends[i + len(own)]
-        out[first:last] = values[np.repeat(starts[own] - (ends[i : i + len(own)] - first), part) + np.arange(last - first)]
+        at = np.repeat(starts.take(own) - (ends[i : i + len(own)] - first), part)
+        at += np.arange(last - first)
+        out[first:last] = values.take(at)
     return out, n
 
 

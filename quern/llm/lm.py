@@ -32,6 +32,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.blocks import ANSWERS, EXCHANGE, LowerWords, buckets_for, cutter, pack, pack_codes, reassemble, unit_lists, unpack, unpack_codes
+from quern.llm.blocks import ANSWERS, EXCHANGE, LowerWords, Numbering, buckets_for, cutter, pack, pack_codes, reassemble, unit_lists, unpack, unpack_codes
 from quern.llm.bpe import RANKS, encoding, runs, spread
 from quern.llm.common import stage
 
@@ -55,6 +56,8 @@ BATCH = 256  # windows of a step
 DISCOUNT = 0.75
 WINDOWS = 256  # scored at a time
 PART = 1 << 18  # subwords scored at a time
+ROWS = 192  # of a matrix product at a time
+BOUND = np.where(np.tri(LENGTH, dtype=bool), 60, -np.inf).astype(np.float32)  # of the exponents with which a place (row) sees others: none after it
 MARK = 65_535  # before a word's first subword
 INNER = np.uint64(0x9E3779B97F4A7C15)
 FIXED = float(1 << 30)  # sums of changes are added as whole numbers, so their order does not matter
@@ -74,27 +77,23 @@ def answering(path: str) -> Callable[[pa.Table], pa.Table]:
 
     def answer(group: pa.Table) -> pa.Table:
         of = encoding(path).encode_ordinary
-        counts: dict[bytes, int] = {}
-        batches = group.to_batches()
-        for batch in batches:
-            for (_, _, units), c in zip(unit_lists(batch), batch.column(5).to_pylist(), strict=True):
-                for u, n in zip(units, unpack(c, "<i8").tolist(), strict=True):
-                    counts[u] = counts.get(u, 0) + n
-        ids: dict[bytes, bytes] = {}
-        pieces = np.zeros(END + 1, np.int64)
-        for u, n in counts.items():
-            found = of(" " + u.decode("utf-8", "replace"))
-            ids[u] = np.array(found, "<u4").tobytes()
-            if n:
-                np.add.at(pieces, found, n)
-        out = [
-            (block, bucket, pack(b"".join(ids[u] for u in units)), pack(np.array([len(ids[u]) >> 2 for u in units], "<u4")), pack(np.array([counts[u] for u in units], "<i8")))
-            for batch in batches
-            for block, bucket, units in unit_lists(batch)
-        ]
+        number, rows, used = Numbering([0]), [], []
+        for batch in group.to_batches():
+            for (block, bucket, units), c in zip(unit_lists(batch), batch.column(5).to_pylist(), strict=True):
+                rows.append((block, bucket, np.fromiter(map(number.__getitem__, units), np.int64, len(units))))
+                used.append(unpack(c, "<i8"))
+        found = [of(" " + u.decode("utf-8", "replace")) for u in number]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids, starts = np.fromiter(chain.from_iterable(found), np.uint32, sizes.sum()), np.cumsum(sizes) - sizes
+        # sums of whole numbers, exact below 2^53
+        counts = np.bincount(np.concatenate([c for *_, c in rows]), np.concatenate(used), len(found)).astype("<i8")
+        pieces = np.bincount(ids, np.repeat(counts, sizes), END + 1).astype("<i8")
+        out = []
+        for block, bucket, codes in rows:
+            values, n = spread(codes, starts, sizes, ids)
+            out.append((block, bucket, pack(values.astype("<u4")), pack(n.astype("<u4")), pack(counts[codes])))
         some = np.flatnonzero(pieces)
-        known = np.array([sum(n > 0 for n in counts.values()), sum(counts.values())], "<i8")
-        out.append((-1, 0, pack(some.astype("<u4")), pack(pieces[some].astype("<i8")), pack(known)))
+        out.append((-1, 0, pack(some.astype("<u4")), pack(pieces[some]), pack(np.array([(counts > 0).sum(), counts.sum()], "<i8"))))
         return table_of(out, ANSWER_SCHEMA)
 
     return answer
@@ -108,6 +107,68 @@ def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate([unpack(b, "<i8"), unpack(c, "<i8")]))], names=["place", "n"])
 
 
+def times(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """rows @ by, a few rows at a time: products that stay in the cache take two thirds of the time."""
+    whole = len(rows) - len(rows) % ROWS
+    out = np.empty((len(rows), by.shape[1]), rows.dtype)
+    np.matmul(rows[:whole].reshape(-1, ROWS, rows.shape[1]), by, out=out[:whole].reshape(-1, ROWS, by.shape[1]))
+    np.matmul(rows[whole:], by, out=out[whole:])
+    return out
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, a few rows at a time."""
+    whole = len(a) - len(a) % ROWS
+    parts = a[:whole].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:whole].reshape(-1, ROWS, b.shape[1])
+    return parts.sum(0) + a[whole:].T @ b[whole:]
+
+
+def row_sums(a: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, each as often as that is long: the product is faster than spreading them."""
+    return (a.reshape(-1, a.shape[-1]) @ np.ones((a.shape[-1], a.shape[-1]), a.dtype)).reshape(a.shape)
+
+
+def turned(a: np.ndarray) -> np.ndarray:
+    """The last two axes exchanged, as a copy: a product with it is so much faster that the copy pays."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
+
+
+def seen_shares(q: np.ndarray, h: np.ndarray, skip: int) -> np.ndarray:
+    """The shares with which places from ``skip`` on, with queries q, see the places with numbers h."""
+    a = q @ turned(h)
+    # numbers stay far from the limits of exp(); the bound is for models gone astray
+    a = np.exp(np.minimum(a, BOUND[skip : h.shape[1], : h.shape[1]], out=a), out=a)
+    a /= row_sums(a)
+    return a
+
+
+def powers(rows: np.ndarray, by: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """exp(rows @ by), its sums by row, the places in it of columns y, and the exponents there.
+
+    Where a sum shows that an exponent is beyond 60 (a model gone astray), all are bounded by 60.
+    """
+    by = by * by.dtype.type(1 / np.log(2))
+    ones, at = np.ones(by.shape[1], by.dtype), np.arange(0, len(rows) * by.shape[1], by.shape[1]) + y
+    for most in (None, 60 / np.log(2)):
+        p = times(rows, by)
+        if most:
+            np.minimum(p, most, out=p)
+        chosen = p.reshape(-1).take(at)
+        with np.errstate(over="ignore"):
+            total = np.exp2(p, out=p) @ ones
+        if most or total.max() < np.exp(60):
+            return p, total, at, chosen * by.dtype.type(np.log(2))
+
+
+def laid_out(parts: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """All parts in one row, and the same parts as views of it."""
+    row, views, at = np.concatenate([w.reshape(-1) for w in parts.values()]), {}, 0
+    for name, w in parts.items():
+        views[name] = row[at : at + w.size].reshape(w.shape)
+        at += w.size
+    return row, views
+
+
 @dataclass
 class Attention:
     """One masked attention layer over subword embeddings, and the share of each subword in its class."""
@@ -145,29 +206,30 @@ class Attention:
         mixed = s @ v
         return h, q, k, v, s, mixed, h + mixed @ w["o"]
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """What leads from a place's numbers to its query of the numbers of others, and to what it adds where it is seen.
+
+        The products q k' and v o, worked out once, spare every place its key and its way out.
+        """
+        w = self.parts
+        return w["q"] @ w["k"].T * w["q"].dtype.type(WIDTH**-0.5), w["v"] @ w["o"]
+
     def reader(self) -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
         """log_p with what does not depend on the windows worked out before: faster for many windows."""
         w = self.parts
         embedded = (w["e"][self.cluster] + self.company @ w["f"]).astype(np.float32)
-        qkv = np.concatenate([w["q"] * np.float32(WIDTH**-0.5), w["k"], w["v"]], 1)
-        past = np.tril(np.ones((LENGTH, LENGTH), np.float32))
-        ones = np.ones(CLUSTERS, np.float32)
+        to_q, to_v = self.joined()
+        to_class = np.concatenate([w["u"], w["b"][None]])
 
         def log_p(x: np.ndarray, y: np.ndarray, skip: int) -> np.ndarray:
-            h = embedded[x] + w["p"]
-            mixed = h.reshape(-1, WIDTH) @ qkv
-            q, k, v = (mixed[:, i : i + WIDTH].reshape(h.shape) for i in (0, WIDTH, 2 * WIDTH))
-            s = q[:, skip:] @ k.transpose(0, 2, 1)
-            # numbers stay far from the limits of exp(); the bound is for models gone astray
-            s = np.exp(np.minimum(s, 60, out=s), out=s)
-            s *= past[skip:]
-            s /= (s @ past[-1])[..., None]
-            last = h[:, skip:] + (s @ v) @ w["o"]
-            out = last.reshape(-1, WIDTH) @ w["u"]
-            out += w["b"]
-            np.minimum(out, 60, out=out)
-            chosen = out[np.arange(len(out)), y[:, skip:].reshape(-1)]
-            return (chosen - np.log(np.exp(out, out=out) @ ones)).reshape(len(x), -1)
+            h = embedded.take(x, 0)
+            h += w["p"]
+            q, v = h[:, skip:] @ to_q, times(h.reshape(-1, WIDTH), to_v).reshape(h.shape)
+            last = np.empty((len(x), LENGTH - skip, WIDTH + 1), np.float32)
+            np.add(h[:, skip:], seen_shares(q, h, skip) @ v, out=last[:, :, :WIDTH])
+            last[:, :, WIDTH] = 1
+            _, total, _, chosen = powers(last.reshape(-1, WIDTH + 1), to_class, y[:, skip:].reshape(-1))
+            return (chosen - np.log(total)).reshape(len(x), -1)
 
         return log_p
 
@@ -183,72 +245,74 @@ class Attention:
     def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, skip: int = 0) -> dict[str, np.ndarray]:
         """Gradients of the mean loss over the places with weight, from place ``skip`` on."""
         w = self.parts
-        own, near = self.cluster[x].reshape(-1), self.company[x.reshape(-1)]
-        h = w["e"][own]
-        h += near @ w["f"]
-        h = h.reshape(*x.shape, WIDTH)
+        kind = w["u"].dtype
+        ids = x.reshape(-1)
+        own, near = self.cluster.take(ids), self.company.take(ids, 0)
+        flat = times(near, w["f"])
+        flat += w["e"].take(own, 0)
+        h = flat.reshape(*x.shape, WIDTH)
         h += w["p"][: x.shape[1]]
-        flat, scale = h.reshape(-1, WIDTH), np.float32(WIDTH**-0.5)
-        to_qkv = np.concatenate([w["q"] * scale, w["k"], w["v"]], 1)
-        qkv = (flat @ to_qkv).reshape(*x.shape, 3 * WIDTH)
-        q, k, v = qkv[:, skip:, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH], qkv[:, :, 2 * WIDTH :]
-        past = np.tril(np.ones((x.shape[1], x.shape[1]), h.dtype))
-        # as in reader(): numbers stay far from the limits of exp()
-        a = q @ k.transpose(0, 2, 1)
-        a = np.exp(np.minimum(a, 60, out=a), out=a)
-        a *= past[skip:]
-        a /= (a @ past[-1])[..., None]
-        mixed = (a @ v).reshape(-1, WIDTH)
-        last = np.ascontiguousarray(h[:, skip:]).reshape(-1, WIDTH) + mixed @ w["o"]
-        last = np.concatenate([last, np.ones((len(last), 1), last.dtype)], 1)  # the last column is for b
-        p = last @ np.concatenate([w["u"], w["b"][None]])
-        p = np.exp(np.minimum(p, 60, out=p), out=p)
-        total = p @ np.ones(p.shape[1], p.dtype)
-        p[np.arange(len(p)), y[:, skip:].reshape(-1)] -= total
-        share = (weight[:, skip:].reshape(-1) / (weight[:, skip:].sum() * total)).astype(p.dtype)[:, None]
-        g_last = (last * share).T @ p
+        to_q, to_v = self.joined()
+        q, v = h[:, skip:] @ to_q, times(flat, to_v).reshape(h.shape)
+        a = seen_shares(q, h, skip)
+        last = np.empty((len(x), x.shape[1] - skip, WIDTH + 1), kind)  # the last column is for b
+        np.add(h[:, skip:], a @ v, out=last[:, :, :WIDTH])
+        last[:, :, WIDTH] = 1
+        last = last.reshape(-1, WIDTH + 1)
+        p, total, at, _ = powers(last, np.concatenate([w["u"], w["b"][None]]), y[:, skip:].reshape(-1))
+        p.reshape(-1)[at] -= total
+        share = (weight[:, skip:].reshape(-1) / (weight[:, skip:].sum() * total)).astype(kind)[:, None]
+        last *= share
+        g_last = crossed(last, p)
         g = {"u": g_last[:-1], "b": g_last[-1]}
-        d_last = (p @ w["u"].T) * share
-        g["o"] = mixed.T @ d_last
-        d_mixed = (d_last @ w["o"].T).reshape(len(x), -1, WIDTH)
-        d_a = d_mixed @ v.transpose(0, 2, 1)
-        d_a -= ((d_a * a) @ past[-1])[..., None]
+        d_last = times(p, np.ascontiguousarray(w["u"].T))
+        d_last *= share
+        d_last = d_last.reshape(len(x), -1, WIDTH)
+        d_a = d_last @ turned(v)
+        d_a -= row_sums(d_a * a)
         d_a *= a
-        d = np.zeros_like(qkv)
-        np.matmul(d_a, k, out=d[:, skip:, :WIDTH])
-        np.matmul(d_a.transpose(0, 2, 1), q, out=d[:, :, WIDTH : 2 * WIDTH])
-        np.matmul(a.transpose(0, 2, 1), d_mixed, out=d[:, :, 2 * WIDTH :])
-        d = d.reshape(-1, 3 * WIDTH)
-        g_qkv = flat.T @ d
-        g["q"], g["k"], g["v"] = g_qkv[:, :WIDTH] * scale, g_qkv[:, WIDTH : 2 * WIDTH], g_qkv[:, 2 * WIDTH :]
-        d_h = (d @ to_qkv.T).reshape(h.shape)
-        d_h[:, skip:] += d_last.reshape(len(x), -1, WIDTH)
+        d = np.empty((*x.shape, 2 * WIDTH), kind)
+        d[:, :skip, :WIDTH] = 0
+        np.matmul(d_a, h, out=d[:, skip:, :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), d_last, out=d[:, :, WIDTH:])
+        d = d.reshape(-1, 2 * WIDTH)
+        g_qv = crossed(flat, d)
+        # of the parts of the two products in joined()
+        scale = kind.type(WIDTH**-0.5)
+        g["q"], g["k"] = g_qv[:, :WIDTH] @ w["k"] * scale, g_qv[:, :WIDTH].T @ w["q"] * scale
+        g["v"], g["o"] = g_qv[:, WIDTH:] @ w["o"].T, w["v"].T @ g_qv[:, WIDTH:]
+        d_flat = times(d, np.concatenate([to_q.T, to_v.T]))
+        d_h = d_flat.reshape(h.shape)
+        d_h += d_a.transpose(0, 2, 1) @ q
+        d_h[:, skip:] += d_last
         g["p"] = np.zeros_like(w["p"])
         g["p"][: x.shape[1]] = d_h.sum(0)
-        d_h = d_h.reshape(-1, WIDTH)
-        order = np.argsort(own.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(own[order], np.arange(CLUSTERS + 1))
-        some = np.flatnonzero(np.diff(edges))
+        order, n = np.argsort(own.astype(np.uint8), kind="stable"), np.bincount(own, minlength=CLUSTERS)
+        some = np.flatnonzero(n)
         g["e"] = np.zeros_like(w["e"])
-        g["e"][some] = np.add.reduceat(d_h[order], edges[some])
-        g["f"] = near.T @ d_h
+        g["e"][some] = np.add.reduceat(d_flat.take(order, 0), (np.cumsum(n) - n)[some])
+        g["f"] = crossed(near, d_flat)
         return g
 
     def learn(self, tokens: np.ndarray, lengths: np.ndarray, rng: np.random.Generator, rate: float, turn: int = 0, rounds: int = 1) -> None:
         """Steps of Adam on the turn's share of all windows of the texts (subword ids, each with its end); rng is the same each turn."""
         n = window_counts(lengths)
         ends, starts = np.cumsum(n), np.cumsum(lengths) - lengths
-        order = rng.permutation(int(ends[-1]))
-        m, v, t = {}, {}, 0
+        order, owner = rng.permutation(int(ends[-1])), np.repeat(np.arange(len(n)), n)
+        # all weights lie in one row, so that Adam takes few and long operations
+        row, self.parts = laid_out(self.parts)
+        gradient, g = laid_out({name: np.zeros_like(w) for name, w in self.parts.items()})
+        m, v, t = np.zeros_like(row), np.zeros_like(row), 0
         for at, skip in batches_of(order, ends - n, turn, rounds):
             t += 1
-            doc = np.searchsorted(ends, at, "right")
+            doc = owner.take(at)
             # a place counts in the window that scores it
             x, y, weight, _ = window_rows(tokens, starts[doc], lengths[doc], at - (ends - n)[doc])
-            for name, g in self.step(x, self.cluster[y], weight, skip).items():
-                m[name] = 0.9 * m.get(name, 0) + 0.1 * g
-                v[name] = 0.99 * v.get(name, 0) + 0.01 * g * g
-                self.parts[name] = (self.parts[name] - rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            for name, found in self.step(x, self.cluster.take(y), weight, skip).items():
+                g[name][...] = found
+            m += 0.1 * (gradient - m)
+            v += 0.01 * (gradient * gradient - v)
+            row -= rate / (1 - 0.9**t) * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.parts[k].reshape(-1) for k in sorted(self.parts)]).astype(np.float64)
@@ -263,9 +327,9 @@ class Attention:
     def copy(self) -> Attention:
         return Attention(self.cluster, self.share, self.company, dict(self.parts))
 
-    def places(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Natural log p of each subword of the texts that stand one after the other in tokens, each with its end."""
-        out, read = self.share[tokens], self.reader()
+    def places(self, tokens: np.ndarray, lengths: np.ndarray, read: Callable | None = None) -> np.ndarray:
+        """Natural log p of each subword of the texts that stand one after the other in tokens, each with its end; read: reader(), if there is one already."""
+        out, read = np.append(self.share.take(tokens), 0), read or self.reader()
         n, starts = window_counts(lengths), np.cumsum(lengths) - lengths
         for later in (0, 1):
             ends = np.cumsum(n - 1 if later else np.minimum(n, 1))
@@ -275,21 +339,25 @@ class Attention:
                 doc = np.searchsorted(ends, at, "right")
                 number = at - np.where(doc > 0, ends[doc - 1], 0) + later
                 x, y, weight, place = window_rows(tokens, starts[doc], lengths[doc], number)
-                used = weight[:, skip:] > 0
-                out[place[:, skip:][used]] += read(x, self.cluster[y], skip)[used]
-        return out
+                # what no window scores goes to the last place
+                out[np.where(weight[:, skip:] > 0, place[:, skip:], len(tokens))] += read(x, self.cluster.take(y), skip)
+        return out[:-1]
+
+    def score(self, tokens: np.ndarray, lengths: np.ndarray, counted: np.ndarray | None = None, free: np.ndarray | None = None, read: Callable | None = None) -> np.ndarray:
+        """log10 p of each of the texts; counted and free are as in discounted(), by place; read as in places()."""
+        p = self.places(tokens, lengths, read)
+        if counted is not None:
+            p = np.log(counted + free * np.exp(p))
+        return np.bincount(np.repeat(np.arange(len(lengths)), lengths), p, len(lengths)) / np.log(10)
 
-    def score(self, tokens: np.ndarray, lengths: np.ndarray, seen: np.ndarray | None = None, total: np.ndarray | None = None, kinds: np.ndarray | None = None) -> np.ndarray:
-        """log10 p of each of the texts.
 
-        By place: seen, how often its subword follows what stands before it in the training
-        texts; total and kinds, how often and by how many subwords that is followed there.
-        """
-        p = self.places(tokens, lengths)
-        if seen is not None:
-            free = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
-            p = np.log(np.maximum(seen - DISCOUNT, 0) / np.maximum(total, 1) + free * np.exp(p))
-        return np.bincount(np.repeat(np.arange(len(lengths)), lengths), p, len(lengths)) / np.log(10)
+def discounted(seen: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the counts say of a subword after what stands before it, and the share that they leave to the model.
+
+    seen: how often it follows that in the training texts; total and kinds: how often and
+    by how many subwords that is followed there.
+    """
+    return np.maximum(seen - DISCOUNT, 0) / np.maximum(total, 1), np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
 
 
 def window_counts(lengths: np.ndarray) -> np.ndarray:
@@ -312,12 +380,11 @@ def batches_of(order: np.ndarray, heads: np.ndarray, turn: int, rounds: int) ->
 
 def window_rows(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple:
     """Inputs, targets, weights (0 beyond the text) and places in tokens of windows, each the number-th of a text."""
-    place = number[:, None] * STEP + np.arange(LENGTH)
-    weight = place < lengths[:, None]
-    at = np.minimum(starts[:, None] + place, len(tokens) - 1)
-    y = np.where(weight, tokens[at], 0)
-    x = np.where(place == 0, END, tokens[np.maximum(at - 1, 0)])
-    return x, y, weight.astype(np.float32), at
+    at = (starts + number * STEP)[:, None] + np.arange(-1, LENGTH)
+    span = tokens.take(at, mode="clip")
+    span[number == 0, 0] = END
+    weight = np.arange(LENGTH) < (lengths - number * STEP)[:, None]
+    return span[:, :-1], span[:, 1:], weight.astype(np.float32), at[:, 1:]
 
 
 def held_out(doc_id):
@@ -348,6 +415,15 @@ class Spelled:
         tokens, n = spread(self.flat, self.starts, self.sizes, self.values)
         return tokens, self.of_texts(n)
 
+    def chosen_texts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """texts() of the chosen ones, as 16-bit numbers: Arrow copies a word's subwords in one piece."""
+        starts = np.append(self.starts, len(self.values)) * 2
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(starts), pa.py_buffer(self.values.astype("<u2"))])
+        found = words.take(pa.array(self.flat[np.repeat(chosen, self.counts)]))
+        _, ends, held = found.buffers()
+        ends = np.frombuffer(ends, np.int64, len(found) + 1)[np.append(0, np.cumsum(self.counts[chosen]))] // 2
+        return np.frombuffer(held, "<u2", ends[-1]), np.diff(ends)
+
     def of_texts(self, by_word: np.ndarray) -> np.ndarray:
         """Sums over the words of each text."""
         return np.add.reduceat(by_word, np.cumsum(self.counts) - self.counts) if len(self.counts) else by_word[:0]
@@ -367,18 +443,20 @@ class Spelled:
         inside[self.starts] = False
         at = np.flatnonzero(inside)
         depth = at - np.repeat(self.starts, self.sizes)[at]
-        h = np.zeros(len(at), np.uint64)
+        h, values = np.zeros(len(at), np.uint64), self.values.astype(np.uint64)
         for back in (1, 2, 3):
-            h = (h ^ np.where(depth >= back, self.values[np.maximum(at - back, 0)], MARK).astype(np.uint64)) * INNER
+            h ^= np.where(depth >= back, values.take(at - back, mode="clip"), np.uint64(MARK))
+            h *= INNER
             h ^= h >> np.uint64(29)
-        pairs, number = np.unique((h & ~np.uint64(0xFFFF)) | self.values[at].astype(np.uint64), return_inverse=True)
-        return at, number, pairs
+        coded = pa.array((h & ~np.uint64(0xFFFF)) | values[at]).dictionary_encode()
+        return at, coded.indices.to_numpy(), coded.dictionary.to_numpy()
 
 
 def dealt(pairs: np.ndarray, by: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of pairs by bucket (of ``by``) and value, and the edges of the buckets in it."""
     bucket = (by.astype(np.uint64) * INNER >> np.uint64(33)) % np.uint64(buckets)
-    order = np.lexsort((pairs, bucket))
+    order = np.argsort(pairs)
+    order = order[np.argsort(bucket[order].astype(np.min_scalar_type(buckets)), kind="stable")]
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -496,11 +574,10 @@ def trainer(model: Attention, turn: int):
         before, change, weight = model.flat(), 0, 0
         for batch in batches:
             for code in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                tokens, lengths = read_block(code)[0].texts()
-                taught = np.array([is_training(d) for d in code["doc_ids"]], bool)
-                tokens, lengths = tokens[np.repeat(taught, lengths)], lengths[taught]
-                if not len(lengths):
+                block, taught = read_block(code)[0], np.array([is_training(d) for d in code["doc_ids"]], bool)
+                if not taught.any():
                     continue
+                tokens, lengths = block.chosen_texts(taught)
                 own, windows = model.copy(), int(window_counts(lengths).sum())
                 own.learn(tokens, lengths, np.random.default_rng([code["key"] & 0xFFFFFFFF, code["key"] >> 32]), 0.02 * (1 - turn / (ROUNDS + 1)), turn, ROUNDS)
                 change, weight = change + np.rint((own.flat() - before) * FIXED).astype(np.int64) * min(windows, 1 << 24) // (1 << 10), weight + min(windows, 1 << 24)
@@ -541,20 +618,21 @@ def scorer(model: Attention, uses: np.ndarray, kinds: np.ndarray, schema: pa.Sch
         seen_first, inner_facts = np.zeros(len(first)), np.zeros((3, len(inner)))
         seen_first[by_first] = np.concatenate([np.zeros(0), *(unpack(x, "<i8") for x in answers.column("a").to_pylist())])
         inner_facts[:, by_inner] = np.concatenate([np.zeros((3, 0)), *(unpack(x, "<i8").reshape(3, -1) for x in answers.column("b").to_pylist())], 1)
-        by_value = np.zeros((3, len(block.values)))  # of each subword of each distinct word
-        by_value[:, at] = inner_facts[:, inside]
         before = (first >> 16).astype(np.int64)
-        edges, scores = np.concatenate([[0], np.cumsum(block.counts)]), []
+        # worked out once for the distinct pairs and for each subword of each distinct word
+        counted_first, free_first = discounted(seen_first, uses[before], kinds[before])
+        counted, free = np.zeros(len(block.values)), np.ones(len(block.values))
+        counted[at], free[at] = (x[inside] for x in discounted(*inner_facts))
+        edges, scores, read = np.concatenate([[0], np.cumsum(block.counts)]), [], model.reader()
         # texts of about PART subwords at a time, for the size of what is known of each place
         for i, j in runs(block.of_texts(block.sizes[block.flat]), PART):
             own = slice(edges[i], edges[j])
-            flat, pair = block.flat[own], number[own]
-            tokens, n = spread(flat, block.starts, block.sizes, block.values)
-            seen, total, kind = (spread(flat, block.starts, block.sizes, row)[0] for row in by_value)
+            pair = number[own]
+            places, n = spread(block.flat[own], block.starts, block.sizes, np.arange(len(block.values)))
             heads = np.cumsum(n) - n
-            seen[heads], total[heads], kind[heads] = seen_first[pair], uses[before[pair]], kinds[before[pair]]
-            lengths = np.add.reduceat(n, edges[i:j] - edges[i])
-            scores.append(model.score(tokens, lengths, seen, total, kind))
+            by_count, left = counted.take(places), free.take(places)
+            by_count[heads], left[heads] = counted_first[pair], free_first[pair]
+            scores.append(model.score(block.values.take(places), np.add.reduceat(n, edges[i:j] - edges[i]), by_count, left, read))
         scores = np.concatenate(scores)
         return pa.table([pa.array(code["doc_ids"], pa.int64()), pa.array(block.counts), pa.array(known.astype(np.int64)), pa.array(base), pa.array(scores)], schema=schema)
 

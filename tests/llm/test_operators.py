@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -701,6 +702,44 @@ def test_attention_gradients():
         assert (up - down) / 2e-4 == pytest.approx(g[name][i], abs=1e-4), name
 
 
+def test_a_step_costs_little_beside_its_class_products():
+    # the yardstick are the products of 3,072 places with 96 classes there and back, and the powers between
+    rng = np.random.default_rng(14)
+    model = lm.Attention.start(np.ones(lm.END + 1))
+    tokens, lengths = rng.integers(0, 3000, 120_000), np.array([120_000])
+    places = rng.standard_normal((16, lm.BATCH * lm.STEP // 16, lm.WIDTH + 1)).astype(np.float32)
+    classes = rng.standard_normal((lm.WIDTH + 1, lm.CLUSTERS)).astype(np.float32)
+
+    # small products, which one thread takes everywhere
+    def products():
+        for _ in range(lm.LOCAL):
+            p = np.exp(places @ classes)
+            p @ classes.T, places.transpose(0, 2, 1) @ p
+
+    def seconds(work):
+        began = time.thread_time()
+        work()
+        return time.thread_time() - began
+
+    # in turns, so that other load on the machine meets both
+    taken = [(seconds(lambda: model.copy().learn(tokens, lengths, np.random.default_rng(1), 0.02, 0, 2)), seconds(products)) for _ in range(15)]
+    assert min(a for a, _ in taken) < 3.5 * min(b for _, b in taken)
+
+
+def test_exponents_gone_astray_are_bounded():
+    rng = np.random.default_rng(15)
+    rows, by, y = rng.standard_normal((700, 17)).astype(np.float32), rng.standard_normal((17, lm.CLUSTERS)).astype(np.float32), rng.integers(0, lm.CLUSTERS, 700)
+    for times in (1, 100):
+        p, total, at, chosen = lm.powers(rows, by * times, y)
+        plain = np.minimum(rows.astype(float) @ (by * times), 60)
+        assert np.isfinite(p).all() and np.isfinite(total).all()
+        assert np.log(total) == pytest.approx(np.log(np.exp(plain).sum(1)), abs=2e-3)
+        assert chosen == pytest.approx(plain.reshape(-1)[at], abs=2e-3)
+        assert (at % lm.CLUSTERS == y).all()
+    assert lm.crossed(rows, rows[:, :5]) == pytest.approx(rows.T @ rows[:, :5], abs=1e-3)
+    assert lm.times(rows, by) == pytest.approx(rows @ by, abs=1e-4)
+
+
 # the pipeline
 
 
