@@ -42,7 +42,7 @@ RANKED = f"with {BM25_CTE}, r as (select *, row_number() over (partition by quer
 
 def kept_index(spark: SparkSession, sf_dir: str) -> X.Index:
     """The index of the documents table, kept in the shared folder and brought up to date with what the table holds now."""
-    root = f"{shared_dir(spark)}/quern/lexical-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    root = f"{shared_dir(spark)}/quern/lexical-rows-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return X.update(root, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
@@ -140,8 +140,9 @@ f as (select query, item, sum(weight / (60 + rank)) as score, list_sort(list(dis
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical ranks fused, at a quarter of the weight, with the same hits by document length."""
-    hits = ranked(spark, sf_dir, 20)
-    sizes = kept_index(spark, sf_dir).tokens().select("doc", "len")
+    index = kept_index(spark, sf_dir)
+    hits = X.search(index, passages(spark, sf_dir), 20)
+    sizes = index.tokens().select("doc", "len")
     by_len = R.top(hits.drop("rank").join(sizes, "doc"), "query", [F.desc("len"), F.asc("doc")], 20)
     part = lambda df, source, weight: df.select("query", F.col("doc").alias("item"), F.lit(source).alias("source"), F.lit(weight).alias("weight"), "rank")
     return R.fuse(part(hits, "lexical", 1.0).unionByName(part(by_len, "long", 0.25)))

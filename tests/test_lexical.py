@@ -2,6 +2,7 @@
 
 import random
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,31 @@ def test_empty_index(spark, root):
     assert index.n_docs == 0 and lexical.search(index, questions(spark, 1), 3).count() == 0
     index = lexical.update(root, frame(spark, {1: "w0"}))
     assert index.n_docs == 1 and lexical.search(index, questions(spark, 1), 3).count() > 0
+
+
+def written(spark):
+    """Bytes that all stages so far have exchanged."""
+    jvm = spark.sparkContext._jvm
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+
+def test_texts_are_counted_where_they_are_read(spark, root):
+    rng = random.Random(4)
+    held = {i: " ".join(rng.choices(WORDS, k=3000)) for i in range(200)}
+    before = written(spark)
+    index = lexical.update(root, frame(spark, held))
+    text = sum(map(len, held.values()))
+    assert written(spark) - before < text / 100  # 1.4 times the texts when tokens met by document
+    assert sum(f.stat().st_size for f in Path(root.removeprefix("file:")).rglob("*.parquet")) < text / 10  # a fifth when all tokens were kept
+    assert index.postings().groupBy("doc").agg(F.sum("tf").alias("n")).where("n = 3000").count() == 200
+    same_search(spark, index, held)
+
+
+def test_search_over_slices_and_blocks(spark, root, monkeypatch):
+    monkeypatch.setattr(lexical, "SLICE_POSTINGS", 100)
+    monkeypatch.setattr(lexical, "BLOCK", 3)
+    monkeypatch.setattr(lexical, "WAITING", 10)
+    monkeypatch.setattr(lexical, "BUCKET", 2)
+    held = texts(5, 150) | {1000 + i: "w1 w2 w3" for i in range(40)}  # equal scores go by doc
+    same_search(spark, lexical.update(root, frame(spark, held)), held)
