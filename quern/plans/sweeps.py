@@ -12,6 +12,7 @@ from quern.operators import sweep as W
 from quern.operators.recurrent import LENGTH, RecurrentAutoencoder
 from quern.plans.base import Plan
 from quern.plans.signals import cycles
+from quern.sources.shared import staged
 from quern.sources.tables import spread, table
 
 plan = Plan()
@@ -62,10 +63,11 @@ def window_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     price, qty = F.col("l_extendedprice"), F.col("l_quantity")
     f = cycles(spark, sf_dir).groupBy("l_suppkey", "window").agg(F.percentile(price, 0.5).alias("f0"), G.iqr(price).alias("f1"), G.rms(qty).alias("f2"), F.stddev_pop(qty).alias("f3"), F.avg("l_discount").alias("f4"), F.avg("l_tax").alias("f5"))
     names = [f"f{i}" for i in range(6)]
+    f = staged(f, "window-features")  # one row for fifty of the table; every round reads what follows, and none the table again
     fitted = f.agg(*[x for n in names for x in (F.avg(n).alias(f"m{n}"), F.stddev_pop(n).alias(f"s{n}"))]).first()  # two numbers a feature
     scaled = F.array(*[(F.col(n) - F.lit(fitted[f"m{n}"])) / F.lit(fitted[f"s{n}"] or 1.0) for n in names])
     rows = G.causal_sequence(f.select("l_suppkey", "window", scaled.alias("row")), ["l_suppkey"], "window", "row", LENGTH)
-    return rows.select("l_suppkey", "window", F.flatten("sequence").alias("sequence"))
+    return staged(rows.select("l_suppkey", "window", F.flatten("sequence").alias("sequence")), "window-sequences")
 
 
 @plan.query()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import models
 from quern.operators.recurrent import RecurrentAutoencoder
+from quern.plans.sweeps import window_sequences
 
 
 def waves(n, seed, features=3, length=8):
@@ -42,3 +43,10 @@ def test_partitions_learn_together(spark):
     odd = x[500:].copy()
     odd[:, -3:] += 3
     assert model.errors(odd).mean() > 3 * loss
+
+
+def test_rounds_do_not_read_the_table_again(spark):
+    rows = window_sequences(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "lineitem" not in plan
+    assert rows.where(F.size("sequence") == 48).count() == rows.count() > 0
