@@ -13,6 +13,7 @@ from quern.operators import retrieval as R
 from quern.plans.base import Plan
 from quern.plans.retrieval import BM25_CTE, RANKED, STOPS, TOKENS, kept_index, ranked
 from quern.plans.texts import SEARCH
+from quern.sources.shared import staged
 from quern.sources.tables import documents, table
 
 plan = Plan()
@@ -137,10 +138,13 @@ def note_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     kind = F.when(F.col("lang") == "en", "curada").when(F.col("lang") == "de", "literatura_obsidian").when(F.col("lang") == "fr", "sessao_arquivada").otherwise("nota_vault")
     sure = F.when(F.col("n_chars") > 2000, "alta").when(F.col("n_chars") > 500, "media").otherwise("baixa")
-    chunks = table(spark, sf_dir, "documents").join(quality, "doc_id", "left")
+    signals = staged(lexical.unionByName(near), "note-signals")
+    # only the few documents with a signal go on; their texts and no others meet the other tables
+    wanted = signals.select(F.col("chunk").alias("doc_id")).distinct()
+    chunks = table(spark, sf_dir, "documents").join(wanted, "doc_id", "left_semi").join(quality, "doc_id", "left")
     chunks = chunks.select(F.col("doc_id").alias("chunk"), F.col("source").alias("note"), "text", kind.alias("kind"), sure.alias("confidence"), F.when(F.col("quality") == 0, "Superado").alias("status"))
     plain = F.concat(F.lit(" "), searchable(F.col("text")), F.lit(" "))
     about_past = Q.any_of([F.contains(plain, F.lit(m)) for m in MARKS])
     questions = benchmark.select(F.col("item_id").alias("query"), "text", about_past.alias("historical"))
-    out = N.search_notes(lexical.unionByName(near), chunks, questions)
+    out = N.search_notes(signals, chunks, questions)
     return out.select("query", "chunk", "note", F.round("score", 6).alias("score"), "current", "place")

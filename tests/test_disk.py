@@ -9,7 +9,7 @@ from test_lexical import written
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = ["rerank", "variation_search", "hybrid_search", "rrf_fusion"]
+QUERIES = ["rerank", "variation_search", "hybrid_search", "rrf_fusion", "note_search"]
 
 
 @pytest.fixture(scope="module")
