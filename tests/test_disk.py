@@ -9,7 +9,7 @@ from test_lexical import written
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = ["rerank", "variation_search", "hybrid_search", "rrf_fusion", "note_search", "ir_grouped_gain", "per_note_cap", "budget_prefix", "round_robin_pack"]
+QUERIES = ["rerank", "variation_search", "hybrid_search", "rrf_fusion", "note_search", "ir_grouped_gain", "per_note_cap", "budget_prefix", "round_robin_pack", "greedy_assignment"]
 
 
 @pytest.fixture(scope="module")
